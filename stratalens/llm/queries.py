@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality, topk, toxicity, warc
+from . import bpe, pii, quality, suffix_dedup, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": pii.query,
     "op4_quality": quality.query,
     "op5_warc": warc.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op10_bpe": bpe.query,
 }
 
