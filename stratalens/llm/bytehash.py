@@ -67,7 +67,7 @@ def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch, at: int, most_bytes: int = 2 << 20):
+def slices(batch, at: int, most_bytes: int = 256 << 10):
     """A record batch cut into slices whose column ``at`` holds about ``most_bytes`` (one row at least)."""
     _, offsets = bytes_of(batch.column(at))
     start = 0

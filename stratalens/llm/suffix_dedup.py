@@ -285,7 +285,7 @@ def by_merge(strings: DataFrame, width: int, core: int, parts: int) -> DataFrame
         return pd.DataFrame(rows, columns=["core", "context", "spans"])
 
     runs = strings.mapInArrow(make_runs, "part int, run binary")
-    return runs.groupBy("part").applyInPandas(merge, SPANS)
+    return runs.repartition(parts, "part").groupBy("part").applyInPandas(merge, SPANS)
 
 
 def by_windows(strings: DataFrame, width: int, core: int) -> DataFrame:
