@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality, suffix_dedup, topk, toxicity, warc
+from . import bpe, jaccard, packing, pii, quality, suffix_dedup, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": quality.query,
     "op5_warc": warc.query,
     "op6_suffix_dedup": suffix_dedup.query,
+    "op7_jaccard": jaccard.query,
+    "op9_packing": packing.query,
     "op10_bpe": bpe.query,
 }
 

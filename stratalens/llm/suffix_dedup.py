@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialise
+from .common import materialise
 
 #: Bytes of a repeated string, and of the core that selects suffixes; their difference is the slack.
 WIDTH, CORE = 400, 300
@@ -316,9 +316,8 @@ def by_windows(strings: DataFrame, width: int, core: int) -> DataFrame:
 
 
 def with_side(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
-    """Joins a stored table by row; it is broadcast only when its files are small."""
-    size = int(str(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return docs.join(F.broadcast(side) if size * 4 < BROADCAST_BYTES else side, ["doc_id", "row_key"], how)
+    """Joins a stored table by row. It grows with the texts, so both sides are shuffled at any size."""
+    return docs.join(side.hint("shuffle_merge"), ["doc_id", "row_key"], how)
 
 
 def repeated_intervals(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT) -> DataFrame:
