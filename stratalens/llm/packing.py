@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Tokens of a sequence, tokens of a histogram bin, and the id that ends a document.
-LENGTH, BIN, END = 4096, 8, 2
+LENGTH, BIN, END = 4096, 16, 2
 #: The linear program ends when its value is proven to be within this share of the optimum.
 TOLERANCE = 1e-3
 #: Words whose ids a worker remembers; emptied when full.
@@ -46,7 +46,7 @@ PIECES = "doc_id long, doc_key long, start long, length long, ids_crc32 long, do
 #: Words of these signs are lower-cased, cut and merged without the tokenizer's
 #: general path: printable ASCII but the apostrophe (which starts contractions), Latin-1 letters.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
-UNITS = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|[^a-z0-9à-öø-ÿ]+")
+UNITS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 class WordTokens(dict):
