@@ -100,15 +100,14 @@ _tokens: dict[str, WordTokens] = {}
 
 def token_ids(file: str, text: str | None) -> bytes:
     """Ids of a text. The vocabulary drops white space and never merges across it, so words are
-    encoded one by one; only ASCII white space is cut at, which the tokenizer also drops."""
+    encoded one by one. ``str.split`` cuts at what the tokenizer drops and at four control signs
+    that it keeps; texts with those are cut at ASCII white space only."""
     if file not in _tokens:
         _tokens[file] = WordTokens(file)
     if not text:
         return b""
-    return b"".join(map(_tokens[file].__getitem__, text.translate(_SPACES).split(" ")))
-
-
-_SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+    odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return b"".join(map(_tokens[file].__getitem__, re.split(r"[ \t\n\v\f\r]+", text) if odd else text.split()))
 
 
 def pieces(docs: DataFrame, file: str, length: int = LENGTH, end: int = END) -> DataFrame:
