@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, packing, pii, quality, suffix_dedup, topk, toxicity, warc
+from . import bpe, jaccard, langid, packing, pii, quality, suffix_dedup, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": warc.query,
     "op6_suffix_dedup": suffix_dedup.query,
     "op7_jaccard": jaccard.query,
+    "op8_langid": langid.query,
     "op9_packing": packing.query,
     "op10_bpe": bpe.query,
 }
