@@ -5,9 +5,10 @@ groups; the group counts are a point, and the sum of coordinate minima of two po
 overlap of their sets from above. R-trees over the points find the pairs whose bound reaches what
 the Jaccard threshold needs, and surviving pairs are verified on the sets themselves.
 
-Which documents share a tree follows from the pigeonhole principle, so no pair is lost: by a size
-class a set is split into more segments than the class allows differing tokens; two similar sets
-agree in at least one whole segment, and that segment's fingerprint is the key of a block.
+Which documents share a tree follows from the prefix principle, so no pair is lost: in one order
+of all tokens (those that a sample finds frequent come last, the others by fingerprint), two
+similar sets share a token among their first ``n - needed + 1``. Each such token is a block. The
+sample only shapes the order; any order gives the same links.
 
 1. Equal sets collapse to their smallest document (pre-aggregated), which links them.
 2. Of each block the smallest document is the centre; all others are tested against it: bound,
@@ -35,8 +36,12 @@ from .components import components
 GROUPS = 32
 #: Documents of a block that one R-tree holds at most, apart from replicated small components.
 CHUNK = 2000
+#: Documents, about, whose frequent tokens come last in the order of tokens.
+SAMPLE = 5000
 #: Children of an R-tree node.
 FANOUT = 8
+#: Documents of a block that are one leaf: a tree is built above that.
+LEAF = 64
 
 
 class Threshold:
@@ -45,38 +50,14 @@ class Threshold:
     def __init__(self, percent: int):
         self.percent = percent
 
-    def most_different(self, size: int) -> int:
-        """Tokens that may differ between a set of ``size`` and an equal or larger similar one."""
-        # |b| <= 100 |a| / p, and the symmetric difference is at most (|a| + |b|) (100 - p) / (100 + p)
-        p = self.percent
-        return (size + size * 100 // p) * (100 - p) // (100 + p)
+    def prefix(self, size: int) -> int:
+        """Tokens among which a set of ``size`` shares one with every similar set."""
+        return size - -(-self.percent * size // 100) + 1
 
     def needed(self, a, b):
         """The least overlap of similar sets of these sizes; works on arrays."""
         return -(-(self.percent * (a + b)) // (100 + self.percent))
 
-    def classes(self, size: int) -> list[int]:
-        """Size classes in which a set looks for partners: its own, and the one below if close."""
-        c = self.class_of(size)
-        return [c, c - 1] if c and (self.top(c - 1) - 1) * 100 >= self.percent * size else [c]
-
-    @staticmethod
-    def top(c: int) -> int:
-        """Sizes of class c are below this: 2, 3, 5, 8, 12, 18, ..."""
-        t = 2
-        for _ in range(c):
-            t = max(t + 1, t * 3 // 2)
-        return t
-
-    def class_of(self, size: int) -> int:
-        c = 0
-        while self.top(c) <= size:
-            c += 1
-        return c
-
-    def segments(self, c: int) -> int:
-        return self.most_different(self.top(c) - 1) + 1
-
 
 def shingle_sets(data, offsets, words: int):
     """For each text of a batch its sorted distinct shingle fingerprints (uint64)."""
@@ -126,23 +107,42 @@ def points(sets, groups: int):
     return out
 
 
-def segment_keys(s, c: int, m: int):
-    """Fingerprints of the ``m`` segments of a set, for a size class."""
+def prefix_keys(s, size: int, frequent):
+    """The first ``size`` tokens of a sorted set, with frequent ones (a sorted array) last."""
     import numpy as np
 
-    from .bytehash import mix
+    if not len(frequent):
+        return s[:size]
+    often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+    return np.concatenate([s[~often], s[often]])[:size]
 
-    salt = np.uint64(c * 1000003 + 17)
-    where = (mix(s + salt) >> np.uint64(20)).astype(np.int64) % m
-    sums = np.zeros(m, np.uint64)
-    np.add.at(sums, where, mix(s ^ np.uint64(int(salt) * 0x9E3779B97F4A7C15 % 2**64)))
-    return mix(sums + np.arange(m, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + salt)
+
+def frequent_tokens(docs: DataFrame, words: int, sample: int = SAMPLE, least: int = 3, most: int = 100_000):
+    """Tokens that at least ``least`` of about ``sample`` documents share: at most ``most``."""
+    import numpy as np
+
+    n = docs.count()
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // sample))) == 0).select("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from .bytehash import bytes_of, slices
+
+        for whole in batches:
+            for batch in slices(whole, 0):
+                sets = shingle_sets(*bytes_of(batch.column(0)), words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["token"])
+
+    counted = some.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= least)
+    rows = counted.orderBy(F.desc("count"), "token").limit(most).select("token").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
 SKETCH = "doc_id long, n long, h1 long, h2 long, point binary, keys binary"
 
 
-def sketches(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
+def sketches(docs: DataFrame, words: int, limit: Threshold, frequent) -> DataFrame:
     """Of each document: set size, two fingerprints of the set, its point, and its block keys."""
 
     def run(batches: Iterator) -> Iterator:
@@ -151,19 +151,13 @@ def sketches(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
 
         from .bytehash import bytes_of, mix, slices
 
-        classes: dict[int, list[tuple[int, int]]] = {}
         for whole in batches:
             for batch in slices(whole, 1):
                 sets = shingle_sets(*bytes_of(batch.column(1)), words)
                 counts = points(sets, GROUPS)
                 h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 h2 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                keys = []
-                for s in sets:
-                    n = len(s)
-                    if n not in classes:
-                        classes[n] = [(c, limit.segments(c)) for c in limit.classes(n)]
-                    keys.append(b"".join(segment_keys(s, c, m).tobytes() for c, m in classes[n]) if n else b"")
+                keys = [prefix_keys(s, limit.prefix(len(s)), frequent).tobytes() if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), pa.array([x.astype("<u4").tobytes() for x in counts], pa.binary()), pa.array(keys, pa.binary())],
                     names=["doc_id", "n", "h1", "h2", "point", "keys"],
@@ -293,23 +287,64 @@ def across(blocks: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
     placed = placed.withColumn("in_main", F.col("component") == F.col("main")).withColumn("chunk", F.explode(F.when(F.col("in_main"), own).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
     placed = placed.join(reps.select("node", "n", "point"), "node").select("key", "chunk", "node", "component", "in_main", "n", "point")
 
-    def search(pdf):
+    def search(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("node").reset_index(drop=True)
-        counts = np.frombuffer(b"".join(pdf.point), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        sizes, comp, main, node = pdf.n.to_numpy(), pdf.component.to_numpy(), pdf.in_main.to_numpy(), pdf.node.to_numpy()
-        tree = RTree(counts, sizes)
-        first = pdf.chunk.iloc[0] == 0
-        found = []
-        for i in np.flatnonzero(~main):  # one side at least is outside the largest component
-            for j in tree.search(counts[i], int(sizes[i]), limit):
-                if comp[j] != comp[i] and (main[j] or (first and node[j] < node[i])):
-                    found.append((min(node[i], node[j]), max(node[i], node[j])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        import pyarrow as pa
 
-    return placed.groupBy("key", "chunk").applyInPandas(search, "a long, b long").distinct()
+        def settle(t):
+            col = lambda c: t.column(c).to_numpy()
+            counts = np.frombuffer(b"".join(t.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)
+            node, comp, main, sizes, first = col("node"), col("component"), col("in_main"), col("n"), col("chunk") == 0
+            edge = np.flatnonzero(np.concatenate([[True], (col("key")[1:] != col("key")[:-1]) | (col("chunk")[1:] != col("chunk")[:-1]), [True]]))
+            group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+            small = (np.diff(edge) <= LEAF)[group]
+
+            def tested(i, j):
+                keep = (comp[i] != comp[j]) & (main[i] | main[j] | first[i])
+                i, j = i[keep], j[keep]
+                low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+                keep = low * 100 >= limit.percent * high
+                i, j = i[keep], j[keep]
+                bound = np.concatenate([np.minimum(counts[i[k : k + 4096]], counts[j[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(i), 4096)] or [np.zeros(0, np.int64)])
+                keep = bound >= limit.needed(sizes[i], sizes[j])
+                return i[keep], j[keep]
+
+            found = []
+            # blocks that fit a leaf: every point of the leaf is bounded, for all leaves at once
+            for step in range(1, LEAF):
+                i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if len(group) > step else np.zeros(0, int)
+                if not len(i):
+                    break
+                found.append(tested(i, i + step))
+            for g in np.flatnonzero(np.diff(edge) > LEAF):
+                a, b = edge[g], edge[g + 1]
+                tree = RTree(counts[a:b].astype(np.int64), sizes[a:b])
+                for i in a + np.flatnonzero(~main[a:b]):  # one side at least is outside the largest component
+                    j = a + tree.search(counts[i].astype(np.int64), int(sizes[i]), limit)
+                    j = j[main[j] | (node[j] < node[i])]
+                    found.append(tested(np.full(len(j), i), j))
+            i = np.concatenate([x for x, _ in found]) if found else np.zeros(0, int)
+            j = np.concatenate([x for _, x in found]) if found else np.zeros(0, int)
+            pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            last = held.slice(held.num_rows - 1)
+            key, chunk = last.column("key")[0].as_py(), last.column("chunk")[0].as_py()
+            own = (held.column("key").to_numpy() == key) & (held.column("chunk").to_numpy() == chunk)
+            cut = int(np.argmax(own))  # rows are sorted: the last group begins here
+            if cut >= 20_000:
+                yield settle(held.slice(0, cut).combine_chunks())
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield settle(held.combine_chunks())
+
+    parts = max(8, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = placed.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk", "node")
+    return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -319,7 +354,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """
     limit = Threshold(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = materialise(sketches(docs, words, limit), "sketches")
+    made = materialise(sketches(docs, words, limit, frequent_tokens(docs, words)), "sketches")
     light = made.select("doc_id", "n", "h1", "h2")
     classes = light.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     members = materialise(light.join(classes, ["n", "h1", "h2"], "left").select("doc_id", "n", "rep"), "set-members")
