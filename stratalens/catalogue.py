@@ -179,8 +179,10 @@ def hypothesis_choice(spark, sf_dir):
 def _entropy_sql(k: int) -> str:
     return f"""SELECT count(DISTINCT ctx) AS n_contexts, CAST(sum(c) AS BIGINT) AS n_bytes, round(sum(-c * log2(c / t)) / sum(c), 6) AS bits_per_byte FROM (
     SELECT ctx, byte, count(*) AS c, sum(count(*)) OVER (PARTITION BY ctx) AS t FROM (
-    SELECT array_to_string(l[p - {k} + 1 : p], '') AS ctx, l[p + 1] AS byte FROM (
-    SELECT l, unnest(range({k}, len(l))) AS p FROM (SELECT regexp_extract_all(hex(encode(text)), '..') AS l FROM documents))) GROUP BY ctx, byte)"""
+    SELECT {' || '.join(f"lag(byte, {i}) OVER w" for i in range(k, 0, -1)) or "''"} AS ctx, byte, p FROM ({_BYTES}) WINDOW w AS (PARTITION BY doc_id ORDER BY p)) WHERE p > {k} GROUP BY ctx, byte)"""
+
+
+_BYTES = "SELECT doc_id, unnest(l) AS byte, unnest(range(1, len(l) + 1)) AS p FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents)"
 
 
 for _k in range(5):
@@ -189,7 +191,7 @@ for _k in range(5):
 
 def _repeat_sql(k: int) -> str:
     return f"""SELECT CAST(sum(c) AS BIGINT) AS n_grams, CAST(sum(c - 1) AS BIGINT) AS n_repeats FROM (SELECT count(*) AS c FROM (
-    SELECT array_to_string(l[p : p + {k - 1}], '') AS g FROM (SELECT l, unnest(range(1, len(l) - {k - 2})) AS p FROM (SELECT regexp_extract_all(hex(encode(text)), '..') AS l FROM documents) WHERE len(l) >= {k})) GROUP BY g)"""
+    SELECT {' || '.join(f"lag(byte, {i}) OVER w" for i in range(k - 1, 0, -1))} || byte AS g, p FROM ({_BYTES}) WINDOW w AS (PARTITION BY doc_id ORDER BY p)) WHERE p >= {k} GROUP BY g)"""
 
 
 for _k in (6, 16):

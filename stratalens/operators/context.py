@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def byte_rows(df: DataFrame, text: str, k: int) -> DataFrame:
     """(ctx, byte) of every byte that has k bytes before it, as hexadecimal text."""
-    b = F.encode(F.col(text), "utf-8")  # a substring of bytes costs its own length only
-    rows = df.filter(F.octet_length(text) > k).select(b.alias("b"), F.explode(F.sequence(F.lit(k), F.octet_length(text) - 1)).alias("p"))
-    at = lambda start, size: F.hex(F.substring(F.col("b"), start + 1, F.lit(size)))
-    return rows.select(at(F.col("p") - k, k).alias("ctx"), at(F.col("p"), 1).alias("byte"))
+    def rows(b: Column) -> Column:
+        at = lambda p, size: F.hex(F.substring(b, p + 1, F.lit(size)))
+        return F.transform(F.sequence(F.lit(k), F.octet_length(b) - 1), lambda p: F.struct(at(p - k, k).alias("ctx"), at(p, 1).alias("byte")))
+
+    return _exploded(df.filter(F.octet_length(text) > k), text, rows).select("x.ctx", "x.byte")
+
+
+def _exploded(df: DataFrame, text: str, rows) -> DataFrame:
+    """One row for each element that ``rows`` makes of a text's bytes. The bytes are bound once as
+    a lambda variable and are not repeated beside every element."""
+    bound = F.transform(F.array(F.encode(F.col(text), "utf-8")), rows)
+    return df.select(F.explode(F.element_at(bound, 1)).alias("x"))
 
 
 def entropy(rows: DataFrame) -> DataFrame:
@@ -26,7 +34,6 @@ def entropy(rows: DataFrame) -> DataFrame:
 def repeat_coverage(df: DataFrame, order: str, text: str, k: int) -> DataFrame:
     """How many k-grams of all texts have occurred before. The first occurrence of each is the only
     one that has not, so counting distinct k-grams replaces a sort of all positions."""
-    b = F.encode(F.col(text), "utf-8")
-    rows = df.filter(F.octet_length(text) >= k).select(b.alias("b"), F.explode(F.sequence(F.lit(1), F.octet_length(text) - k + 1)).alias("p"))
-    grams = rows.select(F.substring(F.col("b"), F.col("p"), F.lit(k)).alias("g")).groupBy("g").agg(F.count("*").alias("c"))
+    rows = lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - k + 1), lambda p: F.substring(b, p, F.lit(k)))
+    grams = _exploded(df.filter(F.octet_length(text) >= k), text, rows).groupBy("x").agg(F.count("*").alias("c"))
     return grams.agg(F.sum("c").alias("n_grams"), F.count("*").alias("n_distinct")).select("n_grams", (F.col("n_grams") - F.col("n_distinct")).alias("n_repeats"))

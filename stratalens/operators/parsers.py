@@ -11,7 +11,7 @@ from ..functions.detect import integer_token
 def json_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, field, value, number) of the fields of flat objects; the field is the key's name only."""
     rows = df.select(key, text, F.explode(F.json_object_keys(text)).alias("field"))
-    value = F.get_json_object(F.col(text), F.concat(F.lit("$."), F.col("field")))
+    value = F.expr(f"get_json_object(`{text}`, concat('$.', field))")
     return rows.select(key, "field", value.alias("value")).withColumn("number", integer_token(F.col("value")))
 
 
