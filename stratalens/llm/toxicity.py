@@ -145,7 +145,8 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     rows = [(words_of(t or ""), int(y)) for t, y in rows]
     if not {y for _, y in rows} >= {0, 1}:
         return Lexicon(dict(SEED))
-    sides = rows[0::2], rows[1::2]
+    by_label = [[r for r in rows if r[1] == y] for y in (0, 1)]
+    sides = [[r for own in by_label for r in own[k::2]] for k in (0, 1)]  # each half has its share of either label
     counts = []
     for side in sides:
         hit, miss = Counter(), Counter()
