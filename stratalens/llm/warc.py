@@ -92,13 +92,11 @@ def member(record: bytes) -> bytes:
     return c.compress(record) + c.flush()
 
 
-def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds ``is_revisit`` and ``refers_to`` to (page_id, url, payload)."""
-    keyed = pages.withColumn("key", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    first = keyed.filter(F.col("size") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("key", "first_id")
-    joined = keyed.join(first, "key", "left")
-    other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select("page_id", "url", "payload", "size", other.alias("is_revisit"), F.when(other, F.col("first_id")).alias("refers_to"))
+def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(page_id, key, refers_to) of the rows of (page_id, key, size) that revisit a smaller id."""
+    first = pages.filter(F.col("size") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("key", "first_id")
+    joined = pages.join(first, "key").filter(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
+    return joined.select("page_id", "key", F.col("first_id").alias("refers_to"))
 
 
 def shards_of(records: DataFrame, shard_bytes: int) -> tuple[Column, int]:
@@ -122,10 +120,13 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = R
     """Writes (page_id, url, html) as an archive in ``folder`` and returns its manifest."""
     spark = pages.sparkSession
     payload = F.coalesce(F.encode(F.col("html").cast("string"), "utf-8"), F.lit(b""))
-    records = with_revisits(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")), min_bytes)
-    sized = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size"))
-    shard, n = shards_of(sized, shard_bytes)
-    dealt = records.withColumn("shard", shard).repartitionByRange(n, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page_id"), F.asc("is_revisit"), "url")
+    records = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
+    narrow = records.select("page_id", "key", F.octet_length("payload").cast("long").alias("size"))
+    shard, n = shards_of(narrow, shard_bytes)
+    # payloads are moved once: notes on revisits travel to the same place and sort before their record
+    notes = revisits(narrow, min_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "key", "refers_to")
+    both = records.withColumn("refers_to", F.lit(None).cast("long")).unionByName(notes)
+    dealt = both.withColumn("shard", shard).repartitionByRange(n, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "key", F.desc(F.col("payload").isNull()), "url")
 
     def put(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -148,10 +149,15 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = R
             state.update(shard=shard, part=part, temp=temp, sink=store.open_output_stream(temp, compression=None), size=0, n=0, sha=hashlib.sha256())
 
         store.create_dir(root, recursive=True)
-        last = None
+        last = noted = None
         for batch in batches:
-            for row in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("shard", "page_id", "url", "payload", "is_revisit", "refers_to")), strict=True):
-                shard, page_id, url, payload, revisit, refers = (x.as_py() for x in row)
+            for row in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("shard", "page_id", "url", "payload", "key", "refers_to")), strict=True):
+                shard, page_id, url, payload, key, refers = (x.as_py() for x in row)
+                if payload is None:
+                    noted = (page_id, key, refers)
+                    continue
+                revisit = noted is not None and noted[:2] == (page_id, key)
+                refers = noted[2] if revisit else None
                 if not revisit and page_id is not None and last == (page_id, payload):
                     revisit, refers = True, page_id  # a repeated row
                 last = last if revisit else (page_id, payload)
