@@ -29,11 +29,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 from .components import components
 
 #: Groups that tokens are hashed into: the dimensions of a point.
 GROUPS = 32
+#: Groups of the second bound, before sets are compared.
+FINE = 512
 #: Documents of a block that one R-tree holds at most, apart from replicated small components.
 CHUNK = 2000
 #: Documents, about, whose frequent tokens come last in the order of tokens.
@@ -239,8 +241,8 @@ def bounded(pairs: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
-    """Pairs of representatives whose sets are similar enough, by the sets themselves."""
+def set_values(pairs: DataFrame, docs: DataFrame, words: int, make) -> DataFrame:
+    """(node, value) of the documents in ``pairs``: the bytes that ``make`` gives for their sets."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
 
     def run(batches: Iterator) -> Iterator:
@@ -251,31 +253,57 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, limit: Threshold) ->
         for whole in batches:
             for batch in slices(whole, 1):
                 sets = shingle_sets(*bytes_of(batch.column(1)), words)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(s) for s in sets], pa.binary())], names=["node", "value"])
+
+    return materialise(docs.join(needed.hint("shuffle_merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, value binary"), "set-values")
 
-    sets = materialise(docs.join(needed.hint("shuffle_merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, tokens binary"), "token-sets")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t_{x}"))
+
+def passing(pairs: DataFrame, values: DataFrame, kind: str, test) -> DataFrame:
+    """Pairs whose values, read as arrays of ``kind``, pass the test."""
+    side = lambda x: values.select(F.col("node").alias(x), F.col("value").alias(f"v_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
-    def check(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 t = whole.slice(k, 256)
-                good = []
-                for x, y in zip(t.column(t.schema.get_field_index("t_a")), t.column(t.schema.get_field_index("t_b")), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    if len(x) > len(y):
-                        x, y = y, x
-                    at = np.searchsorted(y, x)
-                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                    good.append(100 * both >= limit.percent * (len(x) + len(y) - both) and both > 0)
-                keep = pa.array(good, pa.bool_())
+                read = lambda c: (np.frombuffer(x.as_buffer(), kind) for x in t.column(t.schema.get_field_index(c)))  # noqa: B023, E731
+                keep = pa.array([bool(test(x, y)) for x, y in zip(read("v_a"), read("v_b"), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([t.column(t.schema.get_field_index(c)).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
-    return joined.mapInArrow(check, "a long, b long").distinct()
+    return joined.mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
+    """Pairs of representatives whose sets are similar enough, by the sets themselves.
+
+    Large sets fill ``GROUPS`` groups evenly, so that their bound is weak; counts of ``FINE`` groups
+    bound the overlap once more before whole sets are sent. What is stored goes after its use.
+    """
+
+    def enough(x, y) -> bool:
+        import numpy as np
+
+        return np.minimum(x, y).sum(dtype=np.int64) >= limit.needed(int(x.sum()), int(y.sum()))
+
+    def similar(x, y) -> bool:
+        import numpy as np
+
+        if len(x) > len(y):
+            x, y = y, x
+        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+        return both > 0 and 100 * both >= limit.percent * (len(x) + len(y) - both)
+
+    counts = set_values(pairs, docs, words, lambda s: points([s], FINE)[0].astype("<u4").tobytes())
+    close = materialise(passing(pairs, counts, "<u4", enough), "close-pairs")
+    discard(counts)
+    sets = set_values(close, docs, words, lambda s: s.tobytes())
+    out = materialise(passing(close, sets, "<u8", similar), "similar-pairs")
+    discard(sets)
+    return out
 
 
 def across(blocks: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
@@ -365,7 +393,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     blocks = materialise(rows.join(centres, "key").select("key", "node", "centre").distinct(), "blocks")
     reps = reps.select("node", "n", "point")
     stars = blocks.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialise(verified(materialise(bounded(stars, reps, limit), "star-pairs"), docs, words, limit), "links")
+    links = verified(materialise(bounded(stars, reps, limit), "star-pairs"), docs, words, limit)
     found = materialise(components(links), "components")
     named = blocks.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
