@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import catalogue_models
 from .functions.detect import integer_token, mode_code, sniff
 from .operators import context, numeric, parsers
 from .sources import blocks
@@ -230,3 +231,7 @@ def compression_ratio(spark, sf_dir):
 def container_rejects(spark, sf_dir):
     rows = spark.createDataFrame([(1, 1, "json", 10), (2, 99, "json", 10), (3, 1, "other", 10), (4, 1, "csv", 1048577), (5, 1, "xml", -1), (6, 1, "generic", 0)], "id int, version int, mode string, orig_len long")
     return rows.withColumn("accepted", blocks.valid_header(F.col("version"), F.col("mode"), F.col("orig_len")))
+
+
+QUERIES |= catalogue_models.QUERIES
+ORACLES |= catalogue_models.ORACLES

@@ -37,3 +37,17 @@ def repeat_coverage(df: DataFrame, order: str, text: str, k: int) -> DataFrame:
     rows = lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - k + 1), lambda p: F.substring(b, p, F.lit(k)))
     grams = _exploded(df.filter(F.octet_length(text) >= k), text, rows).groupBy("x").agg(F.count("*").alias("c"))
     return grams.agg(F.sum("c").alias("n_grams"), F.count("*").alias("n_distinct")).select("n_grams", (F.col("n_grams") - F.col("n_distinct")).alias("n_repeats"))
+
+
+def field_bytes(cells: DataFrame, field: str, value: str, by: str, most: int = 31) -> DataFrame:
+    """(ctx, byte) of every byte of token rows. The context is the field with the byte's position in
+    its token (``by='position'``, up to ``most``) or with the byte before it (``by='previous'``)."""
+
+    def rows(b: Column) -> Column:
+        byte = lambda p: F.hex(F.substring(b, p, F.lit(1)))
+        second = lambda p: F.least(p - 1, F.lit(most)).cast("string") if by == "position" else F.when(p > 1, byte(p - 1)).otherwise("")
+        return F.transform(F.sequence(F.lit(1), F.octet_length(b)), lambda p: F.struct(second(p).alias("s"), byte(p).alias("byte")))
+
+    bound = F.element_at(F.transform(F.array(F.encode(F.col(value), "utf-8")), rows), 1)
+    out = cells.filter(F.octet_length(value) > 0).select(field, F.explode(bound).alias("x"))
+    return out.select(F.concat_ws(":", F.col(field).cast("string"), F.col("x.s")).alias("ctx"), "x.byte")
