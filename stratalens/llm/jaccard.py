@@ -33,7 +33,7 @@ from .common import discard, materialise
 from .components import components
 
 #: Groups that tokens are hashed into: the dimensions of a point.
-GROUPS = 32
+GROUPS = 128
 #: Groups of the second bound, before sets are compared.
 FINE = 512
 #: Documents of a block that one R-tree holds at most, apart from replicated small components.
