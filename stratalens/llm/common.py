@@ -10,8 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its measured size is below this many bytes.
-BROADCAST_BYTES = 32 << 20
+#: A key with more than this share of all rows (one part in so many) is hot: fewer keys than this can be.
+HOT_KEYS = 1024
+#: Parts that the rows of a hot key are dealt into.
+SALTS = 64
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -47,6 +49,21 @@ def discard(stored: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def salted_join(rows: DataFrame, side: DataFrame, keys: list[str], deal_by: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with the stored ``side``, whose column ``n`` counts the rows of a key.
+
+    Rows of hot keys are dealt by ``deal_by`` into ``SALTS`` parts. There are fewer than ``HOT_KEYS``
+    hot keys at any size, so the table that marks them can be broadcast.
+    """
+    total = side.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_KEYS > total
+    marks = side.filter(hot).select(*keys, F.lit(True).alias("is_hot")).distinct()
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*deal_by), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(marks), keys, "left").withColumn("salt", salt).drop("is_hot")
+    spread = side.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    return dealt.join(spread, [*keys, "salt"]).drop("salt")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Binds ``value`` once and evaluates ``body`` on it.
 

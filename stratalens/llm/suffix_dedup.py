@@ -32,12 +32,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, salted_join
 
 #: Bytes of a repeated string, and of the core that selects suffixes; their difference is the slack.
 WIDTH, CORE = 400, 300
 #: Different contexts of one core that are merged in one task; cores with more are counted by windows.
 HOT = 4096
+#: Suffixes that one merge is meant to hold.
+MERGED = 200_000
 
 SAMPLES = "core long, context long, doc_id long, row_key long, pos int, left int, right int"
 
@@ -240,13 +242,14 @@ def by_merge(strings: DataFrame, width: int, core: int, parts: int) -> DataFrame
         size = 0
 
         def out() -> Iterator:
-            rows = []
+            rows, coded = [], 0
             for part, run in held.items():
                 run.sort()
                 rows.append({"part": part, "run": front_code(run)})
-                if sum(len(r["run"]) for r in rows) > 8 << 20:
+                coded += len(rows[-1]["run"])
+                if coded > 8 << 20:
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("run", pa.binary())]))
-                    rows = []
+                    rows, coded = [], 0
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("run", pa.binary())]))
             held.clear()
@@ -311,8 +314,8 @@ def by_windows(strings: DataFrame, width: int, core: int) -> DataFrame:
 
     kinds = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("o", pa.int32()), ("w", pa.binary())])
     windows = strings.mapInArrow(run, "core long, context long, o int, w binary")
-    shared = windows.groupBy("core", "o", "w").count().filter("count > 1").drop("count")
-    return windows.join(shared, ["core", "o", "w"]).groupBy("core", "context").agg(F.transform(F.array_sort(F.collect_set("o")), lambda o: F.struct(o.alias("low"), o.alias("high"))).alias("spans"))
+    shared = materialise(windows.groupBy("core", "o", "w").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-windows")
+    return salted_join(windows, shared, ["core", "o", "w"], ["context"]).groupBy("core", "context").agg(F.transform(F.array_sort(F.collect_set("o")), lambda o: F.struct(o.alias("low"), o.alias("high"))).alias("spans"))
 
 
 def with_side(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
@@ -323,16 +326,16 @@ def with_side(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
 def repeated_intervals(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT) -> DataFrame:
     """(doc_id, row_key, intervals) of (doc_id, text, row_key): byte ranges to remove, unmerged."""
     slack = width - core
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     all_samples = samples(docs, width, core)
-    cores = all_samples.groupBy("core").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).filter("n > 1").select("core", (F.col("c0") != F.col("c1")).alias("mixed"))
-    shared = materialise(all_samples.join(cores, "core"), "suffix-shared")
+    cores = all_samples.groupBy("core").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).filter("n > 1").select("core", "n", (F.col("c0") != F.col("c1")).alias("mixed"))
+    cores = materialise(cores, "suffix-cores")
+    shared = materialise(salted_join(all_samples, cores, ["core"], ["doc_id", "row_key", "pos"]), "suffix-shared")
     contexts = materialise(
         shared.filter("mixed").groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "pos", "left", "right")).alias("rep")),
         "suffix-contexts",
     )
-    sizes = contexts.groupBy("core").agg(F.count("*").alias("n_contexts")).filter(F.col("n_contexts") > hot).select("core", F.lit(True).alias("hot"))
-    wanted = contexts.join(sizes, "core", "left").select("core", "context", F.coalesce("hot", F.lit(False)).alias("hot"), "rep.*")
+    sizes = materialise(contexts.groupBy("core").agg(F.count("*").alias("n")).withColumn("hot", F.col("n") > hot), "suffix-sizes")
+    wanted = salted_join(contexts.select("core", "context", "rep"), sizes, ["core"], ["context"]).select("core", "context", "hot", "rep.*")
     by_row = materialise(wanted.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("core", "context", "hot", "pos", "left", "right")).alias("reps")), "suffix-reps")
 
     def cut(batches: Iterator) -> Iterator:
@@ -354,10 +357,13 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, core: int = CORE, ho
 
     strings = with_side(docs, by_row, "inner").select("text", "reps").mapInArrow(cut, "core long, context long, hot boolean, tail binary, before binary")
     strings = materialise(strings, "suffix-strings")
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-contexts.count() // MERGED))
     spans = by_merge(strings.filter("not hot"), width, core, parts).unionByName(by_windows(strings.filter("hot"), width, core))
     whole = F.array(F.struct(F.greatest(F.lit(slack) - (F.col("right") - core), F.lit(0)).cast("int").alias("low"), F.col("left").alias("high")))
-    repeated = contexts.filter("n > 1").select("core", "context", F.lit(True).alias("all"))
-    mixed = shared.filter("mixed").join(repeated, ["core", "context"], "left").join(spans, ["core", "context"], "left")
+    # of a context that repeats all windows do, so the merge decides for single ones only
+    judged = contexts.select("core", "context", "n").join(spans, ["core", "context"], "left").filter("n > 1 or spans is not null")
+    judged = materialise(judged.dropDuplicates(["core", "context"]), "suffix-judged")
+    mixed = salted_join(shared.filter("mixed"), judged.withColumn("all", F.col("n") > 1), ["core", "context"], ["doc_id", "row_key", "pos"])
     mixed = mixed.select("doc_id", "row_key", "pos", F.when(F.col("all"), whole).otherwise(F.col("spans")).alias("spans"))
     plain = shared.filter("not mixed").select("doc_id", "row_key", "pos", whole.alias("spans"))
     runs = plain.unionByName(mixed).select("doc_id", "row_key", "pos", F.explode("spans").alias("s"))
