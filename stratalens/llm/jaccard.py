@@ -14,8 +14,9 @@ sample only shapes the order; any order gives the same links.
 2. Of each block the smallest document is the centre; all others are tested against it: bound,
    then verification. These stars connect most of a large group by linear work.
 3. Blocks that still hold several components are indexed by R-trees, which give the pairs across
-   components; the largest component of a block is cut into bounded chunks, so a hot block is
-   many tasks, and pairs within a component, which change nothing, are never made.
+   components; the largest component of a block and the others are cut into bounded parts that
+   meet two by two, so a hot block is many tasks, and pairs within a component, which change
+   nothing, are never made.
 
 Defined cases: null or wordless text has an empty set and no link; fewer words than a shingle are
 one shingle; repeated rows count once; rows with equal ids but different texts are one node that
@@ -29,14 +30,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, salted_join
 from .components import components
 
 #: Groups that tokens are hashed into: the dimensions of a point.
-GROUPS = 128
-#: Groups of the second bound, before sets are compared.
-FINE = 512
-#: Documents of a block that one R-tree holds at most, apart from replicated small components.
+GROUPS = 512
+#: Groups left when those of a point are added up for the R-tree; it divides ``GROUPS``.
+COARSE = 128
+#: Groups of the last bound, before sets are compared.
+FINE = 2048
+#: Documents, about, of a block's largest component, or of its others, that meet in one R-tree.
 CHUNK = 2000
 #: Documents, about, whose frequent tokens come last in the order of tokens.
 SAMPLE = 5000
@@ -109,6 +112,26 @@ def points(sets, groups: int):
     return out
 
 
+def packed(counts) -> bytes:
+    """A point as bytes: one for each group, or four where a count needs them."""
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def point_of(data, groups: int):
+    import numpy as np
+
+    return np.frombuffer(data, "u1" if len(data) == groups else "<u4")
+
+
+def points_of(values: list[bytes], groups: int = GROUPS):
+    """The matrix of packed points."""
+    import numpy as np
+
+    if all(len(v) == groups for v in values):
+        return np.frombuffer(b"".join(values), "u1").reshape(-1, groups)
+    return np.stack([point_of(v, groups).astype(np.uint32) for v in values])
+
+
 def prefix_keys(s, size: int, frequent):
     """The first ``size`` tokens of a sorted set, with frequent ones (a sorted array) last."""
     import numpy as np
@@ -161,7 +184,7 @@ def sketches(docs: DataFrame, words: int, limit: Threshold, frequent) -> DataFra
                 h2 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 keys = [prefix_keys(s, limit.prefix(len(s)), frequent).tobytes() if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), pa.array([x.astype("<u4").tobytes() for x in counts], pa.binary()), pa.array(keys, pa.binary())],
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), pa.array([packed(x) for x in counts], pa.binary()), pa.array(keys, pa.binary())],
                     names=["doc_id", "n", "h1", "h2", "point", "keys"],
                 )
 
@@ -232,9 +255,9 @@ def bounded(pairs: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
             for k in range(0, whole.num_rows, 8192):
                 t = whole.slice(k, 8192)
                 col = lambda c: t.column(t.schema.get_field_index(c))  # noqa: B023, E731
-                vec = lambda c: np.frombuffer(b"".join(col(c).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)  # noqa: B023, E731
+                vec = lambda c: points_of(col(c).to_pylist())  # noqa: B023, E731
                 a, b = col("n_a").to_numpy(), col("n_b").to_numpy()
-                good = np.minimum(vec("p_a"), vec("p_b")).sum(1) >= limit.needed(a, b)
+                good = np.minimum(vec("p_a"), vec("p_b")).sum(1, dtype=np.int64) >= limit.needed(a, b)
                 keep = pa.array(good)
                 yield pa.RecordBatch.from_arrays([col("a").filter(keep), col("b").filter(keep)], names=["a", "b"])
 
@@ -258,19 +281,18 @@ def set_values(pairs: DataFrame, docs: DataFrame, words: int, make) -> DataFrame
     return materialise(docs.join(needed.hint("shuffle_merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, value binary"), "set-values")
 
 
-def passing(pairs: DataFrame, values: DataFrame, kind: str, test) -> DataFrame:
-    """Pairs whose values, read as arrays of ``kind``, pass the test."""
+def passing(pairs: DataFrame, values: DataFrame, array_of, test) -> DataFrame:
+    """Pairs whose values, read by ``array_of``, pass the test."""
     side = lambda x: values.select(F.col("node").alias(x), F.col("value").alias(f"v_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 t = whole.slice(k, 256)
-                read = lambda c: (np.frombuffer(x.as_buffer(), kind) for x in t.column(t.schema.get_field_index(c)))  # noqa: B023, E731
+                read = lambda c: (array_of(x.as_buffer()) for x in t.column(t.schema.get_field_index(c)))  # noqa: B023, E731
                 keep = pa.array([bool(test(x, y)) for x, y in zip(read("v_a"), read("v_b"), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([t.column(t.schema.get_field_index(c)).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
@@ -280,7 +302,7 @@ def passing(pairs: DataFrame, values: DataFrame, kind: str, test) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
     """Pairs of representatives whose sets are similar enough, by the sets themselves.
 
-    Large sets fill ``GROUPS`` groups evenly, so that their bound is weak; counts of ``FINE`` groups
+    Very large sets fill ``GROUPS`` groups evenly, so that their bound is weak; counts of ``FINE`` groups
     bound the overlap once more before whole sets are sent. What is stored goes after its use.
     """
 
@@ -297,11 +319,16 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, limit: Threshold) ->
         both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
         return both > 0 and 100 * both >= limit.percent * (len(x) + len(y) - both)
 
-    counts = set_values(pairs, docs, words, lambda s: points([s], FINE)[0].astype("<u4").tobytes())
-    close = materialise(passing(pairs, counts, "<u4", enough), "close-pairs")
+    def tokens(data):
+        import numpy as np
+
+        return np.frombuffer(data, "<u8")
+
+    counts = set_values(pairs, docs, words, lambda s: packed(points([s], FINE)[0]))
+    close = materialise(passing(pairs, counts, lambda data: point_of(data, FINE), enough), "close-pairs")
     discard(counts)
     sets = set_values(close, docs, words, lambda s: s.tobytes())
-    out = materialise(passing(close, sets, "<u8", similar), "similar-pairs")
+    out = materialise(passing(close, sets, tokens, similar), "similar-pairs")
     discard(sets)
     return out
 
@@ -309,11 +336,18 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, limit: Threshold) ->
 def across(blocks: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
     """Candidate pairs across components, by R-trees over the blocks (key, node, component)."""
     sizes = blocks.groupBy("key", "component").count()
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most"))
-    placed = blocks.join(main, "key").withColumn("chunks", F.ceil(F.col("most") / CHUNK).cast("int"))
-    own = F.array(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    placed = placed.withColumn("in_main", F.col("component") == F.col("main")).withColumn("chunk", F.explode(F.when(F.col("in_main"), own).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
-    placed = placed.join(reps.select("node", "n", "point"), "node").select("key", "chunk", "node", "component", "in_main", "n", "point")
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most"), (F.sum("count") - F.max("count")).alias("others"))
+    parts_of = lambda c: F.greatest(F.ceil(F.col(c) / CHUNK), F.lit(1)).cast("int")
+    placed = blocks.join(main, "key").withColumn("chunks", parts_of("most")).withColumn("buckets", parts_of("others")).withColumn("in_main", F.col("component") == F.col("main"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("chunks")).otherwise(F.col("buckets"))).cast("int"))
+    # tasks of a block: each chunk of the largest component with each bucket of the others, then each two buckets
+    count, every = F.col("buckets"), lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    with_others = F.transform(every("buckets"), lambda g: F.col("own") * count + g)
+    with_main = F.transform(every("chunks"), lambda c: c * count + F.col("own"))
+    two = F.transform(F.filter(every("buckets"), lambda g: g != F.col("own")), lambda g: (F.col("chunks") + F.least(g, F.col("own"))) * count + F.greatest(g, F.col("own")))
+    placed = placed.withColumn("chunk", F.explode(F.when(F.col("in_main"), with_others).otherwise(F.concat(with_main, two))))
+    placed = placed.withColumn("first", F.col("chunk") < count).withColumn("two", F.col("chunk") >= F.col("chunks") * count)
+    placed = placed.join(reps.select("node", "n", "point"), "node").select("key", "chunk", "node", "component", "in_main", "own", "first", "two", "n", "point")
 
     def search(batches: Iterator) -> Iterator:
         import numpy as np
@@ -321,21 +355,25 @@ def across(blocks: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
 
         def settle(t):
             col = lambda c: t.column(c).to_numpy()
-            counts = np.frombuffer(b"".join(t.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)
-            node, comp, main, sizes, first = col("node"), col("component"), col("in_main"), col("n"), col("chunk") == 0
+            fine = points_of(t.column("point").to_pylist())
+            counts = fine.reshape(len(fine), -1, COARSE).sum(1, dtype=np.uint32)
+            node, comp, main, sizes, first = col("node"), col("component"), col("in_main"), col("n"), col("first")
+            own, two = col("own"), col("two")
             edge = np.flatnonzero(np.concatenate([[True], (col("key")[1:] != col("key")[:-1]) | (col("chunk")[1:] != col("chunk")[:-1]), [True]]))
             group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
             small = (np.diff(edge) <= LEAF)[group]
 
             def tested(i, j):
-                keep = (comp[i] != comp[j]) & (main[i] | main[j] | first[i])
+                keep = (comp[i] != comp[j]) & (main[i] | main[j] | np.where(two[i], own[i] != own[j], first[i]))
                 i, j = i[keep], j[keep]
                 low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
                 keep = low * 100 >= limit.percent * high
                 i, j = i[keep], j[keep]
-                bound = np.concatenate([np.minimum(counts[i[k : k + 4096]], counts[j[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(i), 4096)] or [np.zeros(0, np.int64)])
-                keep = bound >= limit.needed(sizes[i], sizes[j])
-                return i[keep], j[keep]
+                for level in (counts, fine):  # the finer points bound what the coarser ones leave
+                    bound = np.concatenate([np.minimum(level[i[k : k + 4096]], level[j[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(i), 4096)] or [np.zeros(0, np.int64)])
+                    keep = bound >= limit.needed(sizes[i], sizes[j])
+                    i, j = i[keep], j[keep]
+                return i, j
 
             found = []
             # blocks that fit a leaf: every point of the leaf is bounded, for all leaves at once
@@ -384,8 +422,11 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = materialise(sketches(docs, words, limit, frequent_tokens(docs, words)), "sketches")
     light = made.select("doc_id", "n", "h1", "h2")
-    classes = light.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    members = materialise(light.join(classes, ["n", "h1", "h2"], "left").select("doc_id", "n", "rep"), "set-members")
+    classes = light.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = materialise(classes.select(F.col("n").alias("size"), "h1", "h2", "rep", F.col("copies").alias("n")), "set-classes")
+    named = salted_join(light.filter("n > 0").withColumnRenamed("n", "size"), classes, ["size", "h1", "h2"], ["doc_id"])
+    wordless = light.filter("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("rep"))
+    members = materialise(named.select("doc_id", F.col("size").alias("n"), "rep").unionByName(wordless), "set-members")
     # a node is one representative; of equal ids with different sets, the rows are joined at the end
     reps = made.filter("n > 0").join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("n", "h1", "h2", "point", "keys")).alias("x")).select(F.col("doc_id").alias("node"), "x.n", "x.point", "x.keys")
     rows = unpacked(reps)

@@ -7,8 +7,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalens.llm import bpe, jaccard, langid, packing, pii, quality, suffix_dedup, topk, toxicity, warc
+from stratalens.llm.common import salted_join
 from stratalens.llm.components import components
 
 P = pytest.importorskip("public_tokenizers")
@@ -135,10 +137,25 @@ def test_loser_tree():
         assert n == suffix_dedup.common(a, b, 0)
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
-def test_jaccard(spark, words, percent):
+def test_salted_join(spark):
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(3000)], "k long, i long")
+    side = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("low")).filter("k % 2 = 0")
+    for some in (rows, rows.limit(0)):
+        got = {(r.k, r.i, r.low) for r in salted_join(some, side, ["k"], ["i"]).collect()}
+        want = {(r.k, r.i, r.low) for r in some.join(side, "k").collect()}
+        assert got == want and (len(got) > 2000 or not some.head())
+
+
+@pytest.mark.parametrize(("words", "percent", "chunk"), [(3, 90, 2000), (5, 80, 2000), (3, 90, 3)])
+def test_jaccard(spark, monkeypatch, words, percent, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    if chunk == 3:  # any order of tokens gives the same links; this one puts many texts in one block
+        monkeypatch.setattr(jaccard, "frequent_tokens", lambda *_: np.zeros(0, np.uint64))
     rng = random.Random(4)
-    texts = []
+    passage = prose(rng, 24)
+    # a passage that many texts share: the block of its words holds many components
+    texts = [f"{passage} {prose(rng, 3)}" for _ in range(40)]
+    texts += [f"{t} end" for t in texts[5:25]]
     for _ in range(12):
         base = prose(rng, 120).split()
         for _ in range(6):
