@@ -36,7 +36,7 @@ LENGTH, BIN, END = 4096, 16, 2
 #: The linear program ends when its value is proven to be within this share of the optimum.
 TOLERANCE = 1e-3
 #: Words whose ids a worker remembers; emptied when full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 #: Rows that one ranking task is meant to hold.
 RANKED = 50_000
 
