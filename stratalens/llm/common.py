@@ -40,11 +40,15 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def discard(stored: DataFrame) -> None:
-    """Deletes what ``materialise`` stored, once everything that reads it is itself stored. Shuffle
-    files of finished steps go when the driver collects its garbage, so that is asked for as well."""
+    """Deletes what ``materialise`` stored, once everything that reads it is itself stored."""
     spark = stored.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver collects its garbage: asks for that."""
     gc.collect()
     spark._jvm.System.gc()
 

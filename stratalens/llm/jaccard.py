@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, salted_join
+from .common import discard, materialise, release, salted_join
 from .components import components
 
 #: Groups that tokens are hashed into: the dimensions of a point.
@@ -432,14 +432,20 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     rows = unpacked(reps)
     centres = rows.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre <> last").select("key", "centre")
     blocks = materialise(rows.join(centres, "key").select("key", "node", "centre").distinct(), "blocks")
+    release(docs.sparkSession)
     reps = reps.select("node", "n", "point")
     stars = blocks.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(materialise(bounded(stars, reps, limit), "star-pairs"), docs, words, limit)
+    near = materialise(bounded(stars, reps, limit), "star-pairs")
+    release(docs.sparkSession)
+    links = verified(near, docs, words, limit)
     found = materialise(components(links), "components")
     named = blocks.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    rest = across(materialise(named.join(open_keys, "key", "left_semi"), "open-blocks"), reps, limit)
-    more = verified(materialise(rest.join(stars, ["a", "b"], "left_anti"), "cross-pairs"), docs, words, limit)
+    open_blocks = materialise(named.join(open_keys, "key", "left_semi"), "open-blocks")
+    release(docs.sparkSession)
+    rest = materialise(across(open_blocks, reps, limit).join(stars, ["a", "b"], "left_anti"), "cross-pairs")
+    discard(open_blocks)
+    more = verified(rest, docs, words, limit)
     equal = members.filter("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = materialise(components(links.unionByName(more).unionByName(equal)), "components")
     out = members.join(found, F.col("doc_id") == F.col("node"), "left")
