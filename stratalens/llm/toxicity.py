@@ -7,8 +7,9 @@ count. The weighted hits are normalised by length and turned into a score by a l
 
 The lexicon is a fixed seed list plus entries learned from labelled rows: word beginnings whose
 share among toxic texts stands out. Learning reads a bounded sample (``SAMPLE`` rows of each
-label, by hash order, a documented parameter); scoring reads every whole text, as a map without
-a shuffle, with the lexicon (at most ``LEXICON`` entries) inside the closure.
+label, by hash order, a documented parameter) and counts all labelled rows: sampled rows stand for
+those of their label, so a score means the same at every size. Scoring reads every whole text, as a
+map without a shuffle, with the lexicon (at most ``LEXICON`` entries) inside the closure.
 
 Defined cases: null or empty text has no hit and gets the score of a text without hits; with no
 labelled rows the seed list and default curve are used; repeated label rows count once per
@@ -139,9 +140,10 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + a * density + b * amount))))
 
 
-def learn(rows: list[tuple[str, int]]) -> Lexicon:
+def learn(rows: list[tuple[str, int]], stands_for: tuple[float, float] = (1.0, 1.0)) -> Lexicon:
     """A lexicon from (text, label) pairs. One half of the rows picks and weighs entries, the other
-    fits the curve and checks each entry, so that chance entries do not look better than they are."""
+    fits the curve and checks each entry, so that chance entries do not look better than they are.
+    ``stands_for`` has, by label, how many labelled rows each of ``rows`` stands for in the curve."""
     rows = [(words_of(t or ""), int(y)) for t, y in rows]
     if not {y for _, y in rows} >= {0, 1}:
         return Lexicon(dict(SEED))
@@ -170,35 +172,38 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     weights = {w: x for w, x in weights.items() if not any(weights.get(w[:k], 0) >= x for k in range(4, len(w)))}
     known = [s for s in SEED if not any(s[:k] in weights for k in range(4, len(s) + 1))]
     lexicon = Lexicon(weights | {s: SEED[s] for s in known})
-    lexicon.curve = fit_curve([(*lexicon.features(" ".join(w))[:2], y) for w, y in rows])
+    lexicon.curve = fit_curve([(*lexicon.features(" ".join(w))[:2], y) for w, y in rows], stands_for)
     return lexicon
 
 
-def fit_curve(points: list[tuple[float, float, int]], steps: int = 60, ridge: float = 1e-2) -> tuple[float, float, float]:
-    """Logistic regression by damped Newton steps."""
+def fit_curve(points: list[tuple[float, float, int]], stands_for: tuple[float, float] = (1.0, 1.0), steps: int = 60, ridge: float = 1e-2) -> tuple[float, float, float]:
+    """Logistic regression by damped Newton steps; points are weighted by their label."""
     import numpy as np
 
     x = np.array([(1.0, a, b) for a, b, _ in points])
     y = np.array([c for _, _, c in points], float)
+    many = np.where(y > 0, stands_for[1], stands_for[0])
     w = np.zeros(3)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + (ridge + 1e-3) * np.eye(3)
+        grad = x.T @ (many * (p - y)) + ridge * w
+        hess = (x * (many * p * (1 - p))[:, None]).T @ x + (ridge + 1e-3) * np.eye(3)
         w = w - np.linalg.solve(hess, grad)
     return tuple(float(v) for v in w)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int]]:
-    """The bounded sample: of each label the ``sample`` first rows by a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[tuple[str, int]], tuple[float, float]]:
+    """The bounded sample, of each label the ``sample`` first rows by a hash of the id, and by label
+    how many labelled rows one of the sample stands for."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    total = known.agg(*[F.count_if(c).alias(n) for n, c in (("clean", F.col("toxic") <= 0), ("toxic", F.col("toxic") > 0))]).first()
     picked = None
     for y in (0, 1):
         part = known.filter((F.col("toxic") > 0) if y else (F.col("toxic") <= 0)).select("doc_id", F.lit(y).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * sample rows: the side that is broadcast is bounded by the parameter
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    return [(r.text, r.toxic) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
+    return [(r.text, r.toxic) for r in sorted(rows.collect(), key=lambda r: r.doc_id)], tuple(max(1.0, n / sample) for n in total)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
@@ -227,6 +232,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    lexicon = learn(training_rows(docs, read_table(spark, sf_dir, "labels")))
+    lexicon = learn(*training_rows(docs, read_table(spark, sf_dir, "labels")))
     out = score(docs, lexicon)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "n_hits")

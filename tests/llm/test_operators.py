@@ -60,6 +60,16 @@ def test_toxicity_over_rows(spark):
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_scores_keep_their_scale_when_sampled(spark):
+    rng = random.Random(12)
+    labels = [int(i % 9 == 0) for i in range(1500)]
+    texts = [prose(rng, 40) + (" vileword" if rng.random() < (0.6 if y else 0.05) else "") for y in labels]
+    docs, known = documents(spark, texts), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    for sample in (2500, 100):  # every labelled row, then as many of either label
+        lexicon = toxicity.learn(*toxicity.training_rows(docs, known, sample))
+        assert abs(np.mean([lexicon.score(t) for t in texts]) - np.mean(labels)) < 0.05
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     x = rng.integers(-50, 50, (400, 12))
