@@ -41,6 +41,10 @@ HOT = 4096
 #: Suffixes that one merge is meant to hold.
 MERGED = 200_000
 
+#: Ends a tail in the sorted strings. No byte of UTF-8 is as large, so a tail that the end of its text
+#: cuts short comes behind all that extend it, never between two of them, whatever its left bytes are.
+END = b"\xff"
+
 SAMPLES = "core long, context long, doc_id long, row_key long, pos int, left int, right int"
 
 
@@ -186,7 +190,7 @@ class LoserTree:
 def repeated_offsets(entries: list[tuple[bytes, int]], width: int, core: int):
     """Of merged suffixes (core, tail, left, context in one string) the repeated window offsets.
 
-    A string is 8 bytes of core, the bytes behind the core, then a fixed trailer; ``entries`` has
+    A string is 8 bytes of core, the bytes behind the core, ``END``, then left bytes and a fixed trailer; ``entries`` has
     them in order with common prefixes. Returns contexts and a boolean matrix by offset.
     """
     import numpy as np
@@ -198,7 +202,7 @@ def repeated_offsets(entries: list[tuple[bytes, int]], width: int, core: int):
     core_id = np.frombuffer(b"".join(s[:8] for s, _ in entries), ">u8")
     shared = np.minimum(np.array([x for _, x in entries]) - 8, right)  # with the one before; negative: another core
     shared[1:] = np.minimum(shared[1:], right[:-1])
-    lefts = [s[8 + r : 8 + r + w][::-1] for (s, _), r, w in zip(entries, right, left, strict=True)]  # nearest byte first
+    lefts = [s[9 + r : 9 + r + w][::-1] for (s, _), r, w in zip(entries, right, left, strict=True)]  # nearest byte first
     order = sorted(range(n), key=lambda i: (core_id[i], lefts[i]))
     shared_left = np.full(n, -1)
     for k in range(1, n):
@@ -257,7 +261,7 @@ def by_merge(strings: DataFrame, width: int, core: int, parts: int) -> DataFrame
         for batch in batches:
             for h, c, tail, left in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("core", "context", "tail", "before")), strict=True):
                 key = h + 2**63  # order of signed numbers, so ranges of cores are ranges of strings
-                s = key.to_bytes(8, "big") + tail + left + c.to_bytes(8, "little", signed=True) + len(tail).to_bytes(2, "little") + len(left).to_bytes(2, "little")
+                s = key.to_bytes(8, "big") + tail + END + left + c.to_bytes(8, "little", signed=True) + len(tail).to_bytes(2, "little") + len(left).to_bytes(2, "little")
                 held.setdefault(key * parts >> 64, []).append(s)
                 size += len(s)
             if size > 64 << 20:  # a run fits in memory

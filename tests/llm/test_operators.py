@@ -137,6 +137,31 @@ def test_suffix_dedup(spark, hot):
         assert bytes(got[i].kept) == kept and got[i].n_removed == got[i].n_bytes - len(kept)
 
 
+def test_suffix_dedup_of_a_tail_cut_short(spark):
+    # slack 24: K's text ends behind the core and one byte; its left bytes begin where A and B differ
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    texts = []
+    for _ in range(40):
+        body, left = letters(40), letters(12)
+        texts += [letters(30) + left + body + "x\nA" + letters(30), letters(30) + left + body + "x\nz" + letters(30), letters(20) + "\nM" + letters(22) + body + "x"]
+    got = {r.doc_id: r for r in suffix_dedup.dedup(documents(spark, texts), width=54, core=30).collect()}
+    for i, kept in enumerate(brute_spans(texts, 54)):
+        assert bytes(got[i].kept) == kept
+
+
+def test_suffix_order_of_a_tail_cut_short():
+    def string(tail, left, context):
+        end = getattr(suffix_dedup, "END", b"")
+        return bytes(8) + tail + end + left + bytes(7) + bytes([context]) + len(tail).to_bytes(2, "little") + len(left).to_bytes(2, "little")
+
+    left = b"l" * 22
+    run = sorted([string(b"x\nA" + b"p" * 21, b"a" * 2 + left, 1), string(b"x\nz" + b"q" * 21, b"b" * 2 + left, 2), string(b"x", b"\nM" + b"k" * 22, 3)])
+    found = suffix_dedup.repeated_offsets(list(suffix_dedup.decode_front(suffix_dedup.front_code(run))), 54, 30)
+    by = {s[-5]: found[i] for i, s in enumerate(run)}
+    assert by[1][22] and by[2][22] and not by[3].any()  # two bytes behind the core and 22 before it
+
+
 def test_loser_tree():
     rng = random.Random(2)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) for _ in range(500)]
