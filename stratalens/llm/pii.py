@@ -5,9 +5,12 @@ a keyed Feistel network: equal values get equal pseudonyms in every document, di
 a kind stay different, and card numbers keep their Luhn state, addresses and dates stay valid.
 The operator is a projection without a shuffle; texts without a digit or ``@`` pass untouched.
 
-Kinds: e-mail (local part), phone (all digits behind the country code), card or account number of
-13 to 19 digits (Luhn state kept), IPv4 address (octets up to 255), social-security number,
-hexadecimal secret of 32 to 64 signs, ISO and day-first date from 1900-01-01 to 2099-08-05.
+Kinds: e-mail (local part), phone (all digits behind the country code, or all where that is not set
+apart; compact or grouped behind a plus, national with a leading 0, brackets or the groups usual in the
+United States, France and Spain), card or account number of 13 to 19 digits (Luhn state kept) or IBAN of
+the countries in ``IBAN_SIZES`` (mod 97 checked and kept), IPv4 address (octets up to 255), social-security number,
+hexadecimal secret of 32 to 64 signs, ISO and day-first date from 1700-05-29 to 2099-08-05.
+Not found: bare national numbers without a leading 0, which no sign tells from other numbers.
 
 Defined cases: null text stays null with count 0; values that fail validation stay as they are;
 repeated rows give repeated results; empty tables stay empty; further columns are kept unless
@@ -23,6 +26,8 @@ from .common import let
 
 #: For tests and demonstrations only: production passes its own secret key.
 DEMO_KEY = "stratalens-demo-key"
+#: Setting that holds the secret key; the name makes Spark redact it. Without it DEMO_KEY is used.
+KEY_SETTING = "spark.stratalens.pii.secret"
 ROUNDS = 6  # even, so that the halves end where they began
 
 #: The formats.
@@ -34,7 +39,22 @@ IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d-])(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\d-])"
 HEX = r"(?<![\p{L}\p{N}])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])"
-PATTERN = "|".join((EMAIL, PHONE, ISO_DATE, DAY_DATE, IPV4, SSN, HEX, CARD))
+#: Digits with single separators: 8 to 15 behind a plus; national ones by a leading 0, brackets or the usual groups.
+#: A phone does not reach into another value behind a separator.
+_APART = f"(?!{CARD}|{IPV4}|{ISO_DATE}|{DAY_DATE}|{SSN})"
+PLUS_PHONE = r"\+(?=[1-9])(?:\(?\d\)?(?:[ .-]" + _APART + r")?){7,14}\d(?!\d|\.\d)"
+_END = r"(?![\d-]|[.,]\d)"
+NATIONAL = "|".join((
+    r"(?<![\p{L}\d+])\(0?\d{2,5}\)[ .-]?\d{3,4}(?:(?:[ .-]" + _APART + r")?\d{2,5}){1,2}" + _END,
+    r"(?<![\p{L}\d+.,/-])0\d(?=(?:[ /-]?\d){6})\d{0,3}[ /-]\d{3,8}(?:[ -]" + _APART + r"\d{2,5}){0,2}" + _END,
+    r"(?<![\p{L}\d+.,/-])0[1-9](?:(?:[ .-]\d{2}){4}|\d{8,9})" + _END,
+    r"(?<![\p{L}\d+.,/-])[2-9]\d{2}[ .-]\d{3}[ .-]\d{4}" + _END,
+    r"(?<![\p{L}\d+.,/-])(?:[6-9]\d{2} \d{3} \d{3}|[6-9]\d{2}(?: \d{2}){3}|9\d \d{3} \d{2} \d{2})(?! ?\d)" + _END,
+))
+#: Signs of an account number by country.
+IBAN_SIZES = {15: "NO", 16: "BE", 18: "DK|FI|NL", 20: "AT|EE|LT|LU", 21: "CH|HR|LI|LV", 22: "BG|DE|GB|IE", 24: "CZ|ES|RO|SE|SK", 25: "PT", 26: "TR", 27: "FR|GR|IT|MC", 28: "CY|HU|PL"}
+IBAN = r"(?<![\p{L}\p{N}])(?:" + "|".join(rf"(?:{c})\d\d(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_SIZES.items()) + r")(?![\p{L}\p{N}])"
+PATTERN = "|".join((EMAIL, PHONE, PLUS_PHONE, ISO_DATE, DAY_DATE, IPV4, SSN, HEX, CARD, IBAN, NATIONAL))
 
 KINDS = ("email", "phone", "date", "ip", "ssn", "card", "secret")
 
@@ -112,6 +132,28 @@ def _card(value: Column, key: Column) -> Column:
     return let(value, on)
 
 
+def _iban_check(bare: Column) -> Column:
+    """The two check digits that make an account number without blanks valid (mod 97)."""
+    moved = F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 2), F.lit("00"))
+    worth = lambda c: F.when(c.rlike("[A-Z]"), F.ascii(c) - 55).otherwise(c.cast("int"))
+    rest = F.aggregate(F.transform(F.filter(F.split(moved, ""), lambda c: c != ""), worth), F.lit(0), lambda s, v: (s * F.when(v > 9, 100).otherwise(10) + v) % 97)
+    return F.lpad((98 - rest).cast("string"), 2, "0")
+
+
+def _is_iban(m: Column) -> Column:
+    return let(F.replace(m, F.lit(" "), F.lit("")), lambda b: F.substring(b, 3, 2) == _iban_check(b))
+
+
+def _iban(value: Column, key: Column) -> Column:
+    """The country stays, the rest is permuted with its blanks in place, the check digits follow."""
+
+    def on(v: Column) -> Column:
+        made = F.concat(F.substring(v, 1, 4), permuted(F.substring(v, F.lit(5), F.length(v)), key, "iban"))
+        return let(made, lambda w: F.concat(F.substring(w, 1, 2), _iban_check(F.replace(w, F.lit(" "), F.lit(""))), F.substring(w, F.lit(5), F.length(w))))
+
+    return let(value, on)
+
+
 def _ip(value: Column, key: Column) -> Column:
     def on(o: Column) -> Column:
         p = permuted_pair(o[0].cast("long") * 256 + o[1].cast("long"), o[2].cast("long") * 256 + o[3].cast("long"), key, "ip", 65536)
@@ -125,9 +167,11 @@ def _ip(value: Column, key: Column) -> Column:
 def _date(value: Column, key: Column, form: str) -> Column:
     def on(v: Column) -> Column:
         day = F.datediff(F.try_to_timestamp(v, F.lit(form)).cast("date"), F.lit("1900-01-01").cast("date"))
-        p = permuted_pair(F.floor(day / 270), day % 270, key, "date", 270)  # 270 * 270 days are in range
-        made = let(p, lambda x: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (x["a"] * 270 + x["b"]).cast("int")), form))
-        return F.when((day >= 0) & (day < 270 * 270), made).otherwise(v)
+        span = 270 * 270  # days of either range, from 1900 on and before
+        first = F.when(day < 0, -span).otherwise(0)
+        p = permuted_pair(F.floor((day - first) / 270), (day - first) % 270, key, "date", 270)
+        made = let(p, lambda x: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (x["a"] * 270 + x["b"] + first).cast("int")), form))
+        return F.when((day >= -span) & (day < span), made).otherwise(v)
 
     return let(value, on)
 
@@ -135,18 +179,21 @@ def _date(value: Column, key: Column, form: str) -> Column:
 def kind_of(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
-        .when(m.startswith("+"), "phone")
+        .when(m.rlike(r"^[+(]"), "phone")
         .when(m.rlike(r"^\d+-\d\d-\d\d$|^\d\d[./]\d\d[./]\d{4}$"), "date")
-        .when(m.contains("."), "ip")
+        .when(m.rlike(r"^(\d+\.){3}\d{1,3}$"), "ip")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(m.rlike("[a-fA-F]"), "secret")
-        .otherwise("card")
+        .when(m.rlike("^(?=.*[a-fA-F])[0-9a-fA-F]{32,64}$"), "secret")
+        .when(m.rlike("^[A-Z]"), F.when(_is_iban(m) | m.rlike(CARD), "card"))
+        .when(m.rlike(f"^(?:{CARD})$"), "card")
+        .otherwise("phone")
     )
 
 
 def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     cut = lambda pattern, g: F.regexp_extract(m, pattern, g)
     email, phone = r"^(.*)(@[^@]*)$", r"^(\+\d{1,3}(?!\d))?(.*)$"
+    card = f"^(.*?)({CARD})(.*)$"  # of what is no valid IBAN
     return (
         F.when(kind == "email", F.concat(permuted(cut(email, 1), key, "email"), cut(email, 2)))
         .when(kind == "phone", F.concat(cut(phone, 1), permuted(cut(phone, 2), key, "phone")))
@@ -154,13 +201,15 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
         .when(kind == "ip", _ip(m, key))
         .when(kind == "ssn", permuted(m, key, "ssn"))
         .when(kind == "secret", permuted(m, key, "secret", 6))
+        .when(kind.isNull(), m)
+        .when(m.rlike("^[A-Z]"), F.when(_is_iban(m), _iban(m, key)).otherwise(F.concat(cut(card, 1), _card(cut(card, 2), key), cut(card, 3))))
         .otherwise(_card(m, key))
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and ``pii_counts``, a map from kind to its number."""
-    k = F.lit(key)
+    k = F.lit(key or docs.sparkSession.conf.get(KEY_SETTING, DEMO_KEY))
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "pii_counts"]
 
     def rebuilt(t: Column) -> Column:

@@ -97,6 +97,30 @@ def test_pii(spark):
     assert rows[5].text is None and rows[6].text == "" and rows[7].text == texts[7]
 
 
+PRIVATE = ["+15551234567", "(212) 555-0123", "212-555-0123", "030 1234567", "+44 20 7946 0958", "+33 1 23 45 67 89", "01 23 45 67 89", "612 345 678", "0301234567",
+           "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "1885-07-06"]
+
+
+def test_pii_formats(spark):
+    texts = [f"call {x} now" for x in PRIVATE] + ["id DE88370400440532013000 now", "10.0.0.1 and 3.14159265 and 1,234,567"]
+    rows = [r for r in pii.pseudonymise(documents(spark, texts)).orderBy("doc_id").collect()]
+    for x, t, r in zip(PRIVATE, texts, rows, strict=False):
+        assert x not in r.text and re.sub(r"\d", "9", re.sub("[A-Z]", "A", r.text)) == re.sub(r"\d", "9", re.sub("[A-Z]", "A", t)), x
+        assert sum(r.pii_counts.values()) == 1
+    for k in (9, 10):
+        bare = rows[k].text[5:-4].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    assert rows[-2].text == texts[-2] and rows[-2].pii_counts == {} and rows[-1].pii_counts == {"ip": 1}
+    card = "4111 1111 1111 1111"
+    for r in pii.pseudonymise(documents(spark, [f"+34 612 345 678 {card}", f"030 1234567 {card}", "DE12 4111111111111111 12"])).collect():
+        assert "4111" not in r.text and "1111 1111" not in r.text and r.pii_counts["card"] == 1
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.pseudonymise(documents(spark, texts[:1])).first().text != rows[0].text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_warc_round_trip(spark):
     pages = [(i, f"http://x/{i}", t) for i, t in enumerate([*ODD, "p" * 5000])]
     from stratalens.llm.common import shared_dir
