@@ -1,15 +1,17 @@
 """Exact top-k inner-product search by no-random-access aggregation over sorted lists.
 
 Vectors are cut into blocks of bounded size. A block keeps one list per dimension, sorted by the
-component; a query reads its lists from the end that gives the larger contribution. What has been
-read of a vector gives a lower bound (unread parts contribute at least the far end of their list)
-and an upper bound (at most the value at the list's frontier). Reading stops when the k-th best
-lower bound is above the upper bound of every vector outside; only then are the final scores of
-the survivors resolved, by reading on for these alone.
+component; a query reads its lists step by step from the end that gives the larger contribution.
+What has been read of a vector gives a lower bound (unread parts contribute at least the far end of
+their list) and an upper bound (at most the value at the list's frontier). Vectors whose upper bound
+is below the k-th best lower bound go. Bounds stop when no more vectors are left than k or one step
+of a list, and the final scores are resolved by reading on for these survivors alone.
 
 Every (query block, vector block) pair is one bounded task: each side is repeated once for each
-block of the other, as in a blocked scan of a stated query set. A block gives at most k rows per
-query, and those are merged in a tree of bounded groups.
+block of the other, as in a blocked scan of a stated query set. So the work is queries times vectors,
+which is quadratic where queries are a share of the vectors. There are as many blocks as their sizes
+ask for; queries are cut finer where that gives fewer tasks than cores. A block gives at most k rows
+per query, and those are merged in a tree of bounded groups.
 
 Defined cases: vectors that are null, hold null or non-finite components, or have a null id take
 no part; repeated ids are separate candidates (a query's own id is never its answer, and of equal
@@ -26,9 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Vectors in a block, and queries in a block.
-BLOCK, QUERIES = 4096, 2048
-#: Blocks at least, so that small tables are spread too.
-LEAST_BLOCKS = 24
+BLOCK, QUERIES = 8192, 2048
+#: Steps in which a list is read, and queries that read together. Bounds are compared after steps 1, 2,
+#: 4 and so on, and after every step from the middle of the lists on, where most vectors go.
+STEPS, TOGETHER = 16, 128
 #: Partial results of so many blocks are merged in one group.
 MERGE = 64
 
@@ -43,49 +46,88 @@ def usable(vector: Column) -> Column:
 
 
 class SortedLists:
-    """The lists of one block of vectors: ``ids`` ascending, ``x`` an integer matrix.
+    """The lists of one block of vectors: one for each dimension, sorted by the component.
 
-    ``place[i, d]`` is where vector i stands in list d, so "list d has been read to depth t" is
-    one comparison for all vectors at once.
+    ``ids`` ascend, so a position among them stands for a vector and ties are in order of ids.
+    Queries of a batch share the reading: a step reads the next entries of every list from both
+    ends, the upper end for queries with a positive component there, the lower end for the others.
     """
 
     def __init__(self, ids, x):
         import numpy as np
 
-        self.ids, self.x = ids, x
-        order = np.argsort(x, axis=0, kind="stable")
-        self.values = np.take_along_axis(x, order, axis=0).T.copy()  # by dimension
-        self.place = np.empty(x.shape, np.int32)
-        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
+        self.ids = ids
+        self.order = np.argsort(x, axis=0, kind="stable").T.astype(np.int32, order="C")  # (dimension, place) -> vector
+        self.values = np.take_along_axis(x.T, self.order, axis=1)
+        #: Entries of lists read under bounds, entries there are, and vectors whose scores were resolved.
+        self.read = self.entries = self.resolved = 0
 
-    def search(self, own_id: int, q, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) of one query, its own id excluded."""
+    def search(self, own, asked, k: int) -> list[list[tuple[int, int]]]:
+        """Of each query (its id in ``own``, a row of ``asked``) the k best (score, id), its own id excluded."""
+        return [best for a in range(0, len(own), TOGETHER) for best in self._batch(own[a : a + TOGETHER], asked[a : a + TOGETHER], k)]
+
+    def _batch(self, own, asked, k: int):
+        import numpy as np
+
+        dims, n = self.order.shape
+        ends = np.concatenate([np.maximum(asked, 0), np.minimum(asked, 0)], 1)  # by query and list end
+        far = np.concatenate([self.values[:, 0], self.values[:, -1]])
+        alive = self.ids != own[:, None]
+        least = np.iinfo(np.int64).min // 2 if asked.dtype.kind == "i" else -np.inf
+        # lower bounds: what is unread counts as the far end of its list
+        lower = np.repeat((ends @ far)[:, None], n, 1)
+        # by list end and vector: what a step reads beyond the far end, and whether it is unread
+        new, unread = np.zeros((2 * dims, n), asked.dtype), np.ones((2 * dims, n), asked.dtype)
+        found: list = [None] * len(own)
+        waiting, step, taken, depth = np.arange(len(own)), max(1, -(-n // STEPS)), 0, 0
+        few, compared = max(k, step), {2**i for i in range(STEPS)}
+        while len(waiting):
+            to, taken = min(n, depth + step), taken + 1
+            new[:] = 0
+            for d in range(dims):
+                for at, places in ((d, slice(n - to, n - depth)), (dims + d, slice(depth, to))):
+                    ids = self.order[d, places]
+                    new[at, ids] = self.values[d, places] - far[at]
+                    unread[at, ids] = 0
+            lower += ends @ new
+            self.read += dims * (to - depth) * len(waiting)
+            depth = to
+            if depth < n and (2 * depth > n or taken in compared):
+                # upper bounds: what is unread counts as the next entry of its list
+                upper = (ends * (np.concatenate([self.values[:, n - 1 - depth], self.values[:, depth]]) - far)) @ unread
+                upper += lower
+                bound = np.where(alive, lower, least)
+                bound.partition(max(n - k, 0), axis=1)
+                alive &= upper >= bound[:, max(n - k, 0), None]  # ties stay
+            done = (alive.sum(1) <= few) | (depth >= n)
+            if done.any():
+                for j in np.flatnonzero(done):
+                    found[waiting[j]] = self._resolved(alive[j], lower[j], asked[waiting[j]], depth, k)
+                waiting, lower, alive, ends = waiting[~done], lower[~done], alive[~done], ends[~done]
+        self.entries += dims * n * len(own)
+        return found
+
+    def _resolved(self, alive, lower, q, depth: int, k: int) -> list[tuple[int, int]]:
+        """Final scores: the lists are read on for the survivors alone."""
         import numpy as np
 
         n = len(self.ids)
-        rows = np.flatnonzero(self.ids != own_id)
-        dims = np.flatnonzero(q)
-        up = q > 0
-        far = np.where(up, self.values[:, 0], self.values[:, -1]) * q
-        depth = n // 4
-        while len(dims) and depth < n and len(rows) > max(4 * k, 32):
-            front = np.where(up, self.values[:, n - depth - 1], self.values[:, depth]) * q  # next to be read
-            place, x = self.place[rows], self.x[rows]
-            seen = np.where(up, place >= n - depth, place < depth)
-            got = (seen * x) @ q
-            lower, upper = got + far.sum() - seen @ far, got + front.sum() - seen @ front
-            kth = np.partition(lower, len(lower) - k)[len(lower) - k]
-            rows = rows[upper >= kth]  # ties stay
-            depth += max(1, n // 4)
-        final = self.x[rows] @ q  # the survivors are read to the end
-        top = np.lexsort((self.ids[rows], -final))[:k]
-        return [(int(final[i]), int(self.ids[rows[i]])) for i in top]
+        rows = np.flatnonzero(alive)
+        self.resolved += len(rows)
+        score = lower.copy()
+        if depth < n:
+            for sign, ids, values, far in ((q > 0, self.order[:, : n - depth], self.values[:, : n - depth], 0), (q < 0, self.order[:, depth:], self.values[:, depth:], -1)):
+                d, at = np.nonzero(alive[ids] & sign[:, None])
+                np.add.at(score, ids[d, at], (values[d, at] - self.values[d, far]) * q[d])
+        top = np.lexsort((self.ids[rows], -score[rows]))[:k]
+        return [(int(score[rows[i]]), int(self.ids[rows[i]])) for i in top]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """``vectors`` and ``queries`` have (id long, v array<long>). Returns query_id, rank, vec_id, score."""
-    n_blocks = max(LEAST_BLOCKS, -(-vectors.count() // block))
-    n_query_blocks = max(1, -(-queries.count() // query_block))
+    n_blocks = max(1, -(-vectors.count() // block))
+    n_queries, cores = queries.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    n_query_blocks = max(1, -(-n_queries // query_block), min(n_queries, -(-4 * cores // n_blocks)))
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.groupBy("id").agg(F.min("v").alias("v")).select("id", "v", part(n_query_blocks).alias("qb")).select("*", every(n_blocks).alias("vb"))
@@ -107,8 +149,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
             exact = size * float(np.abs(x).max()) * float(np.abs(asked).max()) < 2**52  # then floats hold every sum exactly
             kind = np.float64 if exact else np.int64
             lists = SortedLists(mine.vec.to_numpy(np.int64), x.astype(kind))
-            for own, v in zip(rows.id, asked.astype(kind), strict=True):
-                found += [(own, i, s) for s, i in lists.search(own, v, k)]
+            own = rows.id.to_numpy(np.int64)
+            found += [(q, i, s) for q, best in zip(own, lists.search(own, asked.astype(kind), k), strict=True) for s, i in best]
         made = pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
         made["vb"] = int(pair[0])
         return made
