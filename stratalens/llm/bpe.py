@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
 A text is cut into pre-tokens by the vocabulary's pattern; merges never cross them, so texts
-concatenate from pre-tokens exactly. Within a pre-token the encodings of two halves are joined:
-a window over the border is re-encoded and grown on both sides until the tokens outside it are
-proven stable. The proof is the pair criterion of byte-pair encodings: a token sequence is the
-encoding of its bytes exactly when every two neighbouring tokens, encoded alone, give those same
-two tokens. Both halves meet it inside, so only the two seams of the window have to be tested.
+concatenate from pre-tokens exactly. A pre-token is halved down to single bytes, and the encodings of
+two halves are joined: a window over the border is re-encoded and grown on both sides until the
+tokens outside it are proven stable. The proof is the pair criterion of byte-pair encodings: a token
+sequence is the encoding of its bytes exactly when every two neighbouring tokens, encoded alone, give
+those same two tokens. Both halves meet it inside, so only the two seams of the window have to be
+tested. Windows are re-encoded by merging the pair of lowest rank, leftmost first, as the vocabulary
+defines; short halves recur in many pre-tokens and are remembered in bounded memories.
 Decoding concatenates the byte strings of the two halves up the same tree.
 
 The operator is a map over documents: no shuffle, no state beyond bounded caches in each worker.
@@ -21,23 +23,25 @@ import base64
 import sys
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens up to this many bytes are leaves of the tree.
-LEAF_BYTES = 48
-#: Pre-tokens whose encodings a worker remembers; the memory is emptied when full.
-CACHE_ENTRIES = 400_000
-#: Tokens on each side of a border that a join re-encodes at first.
-FIRST_WINDOW = 4
+#: Pre-tokens, and their most bytes, whose encodings a worker remembers; the memory is emptied when full.
+CACHE_ENTRIES, REMEMBERED_BYTES = 400_000, 48
+#: Halves of at most so many bytes are remembered, and pairs of tokens: entries of each memory.
+HALF, REMEMBERED = 6, 200_000
+#: Bytes of a window up to which the next pair to merge is searched in a list; above that a heap is kept.
+SHORT = 32
+#: Above every rank.
+NONE = 1 << 62
 #: Ids below which a decoding is concatenated at once.
 LEAF_IDS = 8192
 
 
-def little_endian(ids: list[int]) -> bytes:
+def little_endian(ids) -> bytes:
     made = array("I", ids)
     if sys.byteorder == "big":
         made.byteswap()
@@ -49,7 +53,6 @@ class TreeCodec:
 
     def __init__(self, ranks_file: str, pattern: str):
         import regex
-        import tiktoken
 
         with open(ranks_file, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -57,45 +60,90 @@ class TreeCodec:
         self.table = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             self.table[rank] = piece
-        self._leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
         self._cache: dict[str, bytes] = {}
-        self.stable = lru_cache(maxsize=200_000)(self._stable)
-
-    def _stable(self, left: int, right: int) -> bool:
-        return self._leaf(self.table[left] + self.table[right]) == [left, right]
-
-    def join(self, a: list[int], b: list[int]) -> list[int]:
+        #: Joins made, and windows that had to grow.
+        self.joins = self.grown = 0
+        self._halves: dict[bytes, tuple[int, ...]] = {}
+        self._pairs: dict[tuple[int, int], tuple[int, ...]] = {}
+
+    def merged(self, piece: bytes) -> tuple[int, ...]:
+        """The encoding by definition: of all neighbouring parts that are a token together, the pair of
+        lowest rank merges, the leftmost of equal ones first. Long pieces keep their pairs in a heap."""
+        n, ranks = len(piece), self.ranks
+        if n <= SHORT:
+            parts = [piece[k : k + 1] for k in range(n)]
+            found = [ranks.get(piece[k : k + 2], NONE) for k in range(n - 1)]
+            while found and (least := min(found)) != NONE:
+                k = found.index(least)
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                del found[k]
+                if k < len(found):
+                    found[k] = ranks.get(parts[k] + parts[k + 1], NONE)
+                if k:
+                    found[k - 1] = ranks.get(parts[k - 1] + parts[k], NONE)
+            return tuple([ranks[x] for x in parts])
+        end = [*range(1, n + 1), n]  # of the part that starts here; 0 for places inside a part
+        before = [*range(-1, n)]
+        pair = lambda i: ranks.get(piece[i : end[end[i]]]) if end[i] < n else None
+        waiting = [(r, i, end[i], i + 2) for i in range(n - 1) if (r := pair(i)) is not None]
+        heapify(waiting)
+        while waiting:
+            _, i, middle, last = heappop(waiting)
+            if end[i] != middle or middle >= n or end[middle] != last:
+                continue  # one of the parts has merged since
+            end[i], end[middle] = last, 0
+            before[last] = i
+            for k in (before[i], i):
+                if k >= 0 and end[k] < n and (r := pair(k)) is not None:
+                    heappush(waiting, (r, k, end[k], end[end[k]]))
+        found, i = [], 0
+        while i < n:
+            found.append(ranks[piece[i : end[i]]])
+            i = end[i]
+        return tuple(found)
+
+    def pair(self, left: int, right: int) -> tuple[int, ...]:
+        """The encoding of the bytes of two tokens: the two themselves, where they are stable side by side."""
+        made = self._pairs.get((left, right))
+        if made is None:
+            if len(self._pairs) >= REMEMBERED:
+                self._pairs.clear()
+            made = self._pairs[left, right] = self.merged(self.table[left] + self.table[right])
+        return made
+
+    def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the bytes of ``a`` followed by those of ``b``, both encodings themselves."""
-        if not a or not b:
-            return a or b
-        i = j = FIRST_WINDOW
+        self.joins += 1
+        window, i, j = self.pair(a[-1], b[0]), 1, 1  # the last token of one and the first of the other
+        if window == (a[-1], b[0]):
+            return a + b  # no neighbours are new but stable ones
         while True:
-            i, j = min(i, len(a)), min(j, len(b))
-            window = self.plain(b"".join(map(self.table.__getitem__, a[len(a) - i :] + b[:j])))
-            left_ok = i == len(a) or self.stable(a[-i - 1], window[0])
-            right_ok = j == len(b) or self.stable(window[-1], b[j])
+            left_ok = i == len(a) or len(self.pair(a[-i - 1], window[0])) == 2 and self.pair(a[-i - 1], window[0])[0] == a[-i - 1]
+            right_ok = j == len(b) or len(self.pair(window[-1], b[j])) == 2 and self.pair(window[-1], b[j])[1] == b[j]
             if left_ok and right_ok:
                 return a[: len(a) - i] + window + b[j:]
-            i, j = i if left_ok else 2 * i, j if right_ok else 2 * j
-
-    def plain(self, piece: bytes) -> list[int]:
-        """A window: short ones directly, longer ones by the tree again."""
-        return self._leaf(piece) if len(piece) <= 16 * LEAF_BYTES else self.tree(piece)
-
-    def tree(self, piece: bytes) -> list[int]:
-        """Encodes halves, bottom up: level by level neighbours are joined."""
-        if len(piece) <= LEAF_BYTES:
-            return self._leaf(piece)
-        level = [self._leaf(piece[k : k + LEAF_BYTES]) for k in range(0, len(piece), LEAF_BYTES)]
-        while len(level) > 1:
-            level = [self.join(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-        return level[0]
+            self.grown += 1
+            i, j = i if left_ok else min(2 * i, len(a)), j if right_ok else min(2 * j, len(b))
+            window = self.merged(b"".join(map(self.table.__getitem__, a[len(a) - i :] + b[:j])))
+
+    def tree(self, piece: bytes) -> tuple[int, ...]:
+        """Encodes halves down to single bytes and joins them on the way up."""
+        size = len(piece)
+        if size <= 1:
+            return (self.ranks[piece],) if size else ()
+        if size > HALF:
+            return self.join(self.tree(piece[: size // 2]), self.tree(piece[size // 2 :]))
+        made = self._halves.get(piece)
+        if made is None:
+            if len(self._halves) >= REMEMBERED:
+                self._halves.clear()
+            made = self._halves[piece] = self.join(self.tree(piece[: size // 2]), self.tree(piece[size // 2 :]))
+        return made
 
     def encode_piece(self, piece: str) -> bytes:
         raw = piece.encode()
-        short = len(raw) <= LEAF_BYTES
-        ids = little_endian(self._leaf(raw) if short else self.tree(raw))
-        if short:
+        ids = little_endian(self.tree(raw))
+        if len(raw) <= REMEMBERED_BYTES:
             if len(self._cache) >= CACHE_ENTRIES:
                 self._cache.clear()
             self._cache[piece] = ids
