@@ -3,9 +3,10 @@
 The network is written and trained in numpy: gated recurrent units run over a window of bytes in
 both directions, every position gets a probability of each language, and a document's probability
 is the mean over all its positions. Training is backpropagation through time on windows from a
-bounded sample of labelled rows (``SAMPLE`` rows by hash order, a documented parameter); prediction
-reads every byte of every text, in windows of fixed length that make up large batches. It is a map
-without a shuffle; the weights (a few kilobytes) travel in the closure.
+bounded sample of labelled rows (``SAMPLE`` rows by hash order, a documented parameter), drawn where
+the texts are: ``DRAWN`` windows at random places of each whole text, so the driver sees the same
+amount at any size. Prediction reads every byte of every text, in windows of fixed length that make
+up large batches. It is a map without a shuffle; the weights (a few kilobytes) travel in the closure.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without a labelled
 row everything is ``und``; ties go to the first language in order; repeated rows are predicted
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 
 from .common import held_out
 
-#: Labelled rows that training reads at most, and bytes of each that it keeps at most.
-SAMPLE, SAMPLE_BYTES = 3000, 4096
+#: Labelled rows that training reads at most, and windows drawn from each.
+SAMPLE, DRAWN = 3000, 4
 #: Units in each direction, bytes in a window, windows in a batch.
 UNITS, WINDOW, BATCH = 8, 64, 2048
 LETTER = re.compile(r"[^\W\d_]")
@@ -154,15 +155,25 @@ class BiGru:
         return total / np.maximum(size, 1)[:, None], labels
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[bytes, str]]:
-    """The bounded sample: the first rows by a hash of the id, outside the held-out fold."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    rows = rows.select(F.xxhash64("doc_id").alias("o"), "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "lang").orderBy("o", "doc_id", "text").limit(sample)
-    return [(r.text.encode(), r.lang) for r in rows.collect()]
+def training_rows(docs: DataFrame, sample: int = SAMPLE, drawn: int = DRAWN) -> list[tuple[bytes, str]]:
+    """The bounded sample, (window, language): of the ``sample`` first rows by a hash of the id, outside
+    the held-out fold, ``drawn`` windows of WINDOW bytes that start at random places of the whole text."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    # a share of the hashes holds the sample at any size, so that partitions do not send as many ids each
+    order, n = F.xxhash64("doc_id"), rows.count()
+    share = min(1.0, 1.5 * sample / n + 100 / n) if n else 1.0
+    some = rows if share == 1 else rows.filter(F.pmod(order, F.lit(1 << 40)) < int(share * (1 << 40)))
+    picked = some.select(order.alias("o"), "doc_id").distinct().orderBy("o", "doc_id").limit(sample).select("doc_id")
+    raw = F.encode("text", "utf-8")
+    start = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(31), i), F.greatest(F.octet_length("text") - WINDOW // 2, F.lit(1))).cast("int") + 1
+    windows = F.transform(F.sequence(F.lit(1), F.lit(drawn)), lambda i: F.substring(F.col("raw"), start(i), F.lit(WINDOW)))
+    # at most ``sample`` ids: the side that is broadcast is bounded by the parameter
+    found = some.filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").withColumn("raw", raw).select("doc_id", "lang", windows.alias("w"))
+    return [(bytes(w), r.lang) for r in sorted(found.collect(), key=lambda r: (r.doc_id, r.lang, r.w)) for w in r.w]
 
 
 def learn(rows: list[tuple[bytes, str]], steps: int = 150, seed: int = 5) -> BiGru | None:
-    """Windows are drawn with the same number for each language."""
+    """Trains on windows (longer texts are cut at random), the same number for each language."""
     import numpy as np
 
     labels = sorted({lang for _, lang in rows})
@@ -172,9 +183,10 @@ def learn(rows: list[tuple[bytes, str]], steps: int = 150, seed: int = 5) -> BiG
     windows, targets = [], []
     for y, lang in enumerate(labels):
         texts = [t for t, own in rows if own == lang]
+        order = rng.permutation(len(texts))
         for k in range(1500):
-            t = texts[k % len(texts)]
-            at = int(rng.integers(0, max(1, len(t) - WINDOW // 2)))
+            t = texts[order[k % len(texts)]]
+            at = int(rng.integers(0, max(1, len(t) - WINDOW // 2))) if len(t) > WINDOW else 0
             windows.append(np.frombuffer(t[at : at + WINDOW].ljust(WINDOW), np.uint8))
             targets.append(y)
     net = BiGru(labels)
