@@ -5,12 +5,16 @@ a keyed Feistel network: equal values get equal pseudonyms in every document, di
 a kind stay different, and card numbers keep their Luhn state, addresses and dates stay valid.
 The operator is a projection without a shuffle; texts without a digit or ``@`` pass untouched.
 
-Kinds: e-mail (local part), phone (all digits behind the country code, or all where that is not set
-apart; compact or grouped behind a plus, national with a leading 0, brackets or the groups usual in the
-United States, France and Spain), card or account number of 13 to 19 digits (Luhn state kept) or IBAN of
-the countries in ``IBAN_SIZES`` (mod 97 checked and kept), IPv4 address (octets up to 255), social-security number,
-hexadecimal secret of 32 to 64 signs, ISO and day-first date from 1700-05-29 to 2099-08-05.
-Not found: bare national numbers without a leading 0, which no sign tells from other numbers.
+Kinds: e-mail (local part); phone (the digits behind the country code, or behind the leading 0 of a
+national number; only digits are permuted, so a number written in another grouping gets the same
+pseudonym, and a United States number with or without +1 as well); card of 13 to 19 digits with a
+valid Luhn digit, which the pseudonym has too; IBAN of the countries in ``IBAN_SIZES`` with valid check
+digits (mod 97), which the pseudonym has too; IPv4 address (octets up to 255); social-security number
+within the ranges that are issued (area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999), which the
+pseudonym keeps; hexadecimal secret of 32 to 64 signs; ISO and day-first date from 1700-05-29 to
+2099-08-05. Values of these forms that are not valid stay as they are and are not counted.
+Not found: bare national numbers without a leading 0, which no sign tells from other numbers. A number
+written nationally in one place and with a country code in another is linked for +1 only.
 
 Defined cases: null text stays null with count 0; values that fail validation stay as they are;
 repeated rows give repeated results; empty tables stay empty; further columns are kept unless
@@ -51,6 +55,8 @@ NATIONAL = "|".join((
     r"(?<![\p{L}\d+.,/-])[2-9]\d{2}[ .-]\d{3}[ .-]\d{4}" + _END,
     r"(?<![\p{L}\d+.,/-])(?:[6-9]\d{2} \d{3} \d{3}|[6-9]\d{2}(?: \d{2}){3}|9\d \d{3} \d{2} \d{2})(?! ?\d)" + _END,
 ))
+#: Country codes by their first digits.
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Signs of an account number by country.
 IBAN_SIZES = {15: "NO", 16: "BE", 18: "DK|FI|NL", 20: "AT|EE|LT|LU", 21: "CH|HR|LI|LV", 22: "BG|DE|GB|IE", 24: "CZ|ES|RO|SE|SK", 25: "PT", 26: "TR", 27: "FR|GR|IT|MC", 28: "CY|HU|PL"}
 IBAN = r"(?<![\p{L}\p{N}])(?:" + "|".join(rf"(?:{c})\d\d(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_SIZES.items()) + r")(?![\p{L}\p{N}])"
@@ -116,18 +122,63 @@ def luhn_digit(body: Column) -> Column:
     return (10 - F.aggregate(F.transform(digits, worth), F.lit(0), lambda s, x: s + x) % 10) % 10
 
 
-def _in_form(form: Column, digits: Column) -> Column:
-    """``digits`` set into the places of the digits of ``form``."""
-    place = lambda i: F.length(F.regexp_replace(F.substring(form, F.lit(1), i + 1), r"\D", ""))
-    return F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), "")
+def _in_form(form: Column, signs: Column, kind: str = r"\d") -> Column:
+    """``signs`` set into the places of the signs of a kind in ``form``."""
+    other = rf"[^{kind}]"
+    place = lambda i: F.length(F.regexp_replace(F.substring(form, F.lit(1), i + 1), other, ""))
+    return F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(c.rlike(rf"^[{kind}]$"), F.substring(signs, place(i), F.lit(1))).otherwise(c)), "")
+
+
+def _luhn_rest(digits: Column) -> Column:
+    """What the last digit is above the valid check digit: 0 for a valid number."""
+    return F.substring(digits, F.length(digits), F.lit(1)).cast("int") - luhn_digit(F.substring(digits, F.lit(1), F.length(digits) - 1))
+
+
+def _is_card(value: Column) -> Column:
+    return let(F.regexp_replace(value, r"\D", ""), lambda d: _luhn_rest(d) == 0)
 
 
 def _card(value: Column, key: Column) -> Column:
     def on(v: Column) -> Column:
         digits = F.regexp_replace(v, r"\D", "")
         body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-        off = F.substring(digits, F.length(digits), F.lit(1)).cast("int") - luhn_digit(body) + 10
-        return let(permuted(body, key, "card"), lambda new: _in_form(v, F.concat(new, ((luhn_digit(new) + off) % 10).cast("string"))))
+        return let(permuted(body, key, "card"), lambda new: _in_form(v, F.concat(new, luhn_digit(new).cast("string"))))
+
+    return let(value, on)
+
+
+def _phone(value: Column, key: Column) -> Column:
+    """Country code, or the 0 of a national number, then the other digits in their places."""
+
+    def on(v: Column) -> Column:
+        digits = F.regexp_replace(v, r"\D", "")
+        code = F.when(v.startswith("+"), F.regexp_extract(digits, COUNTRY, 0)).when(digits.startswith("0"), "0").otherwise("")
+        return let(F.struct(digits.alias("d"), code.alias("c")), lambda x: _in_form(v, F.concat(x["c"], permuted(F.substring(x["d"], F.length(x["c"]) + 1, F.length(x["d"])), key, "phone"))))
+
+    return let(value, on)
+
+
+def _is_ssn(value: Column) -> Column:
+    return ~value.rlike(r"^(?:000|666|9)|-00-|-0000$")
+
+
+def _ssn(value: Column, key: Column) -> Column:
+    """The areas and groups in one number and the serials in another change places in turns."""
+    groups, serials = 898 * 99, 9999
+
+    def on(v: Column) -> Column:
+        part = lambda at, size: F.substring(v, at, size).cast("long")
+        area = part(1, 3)
+        area = F.when(area > 666, area - 2).otherwise(area - 1)
+        start = F.struct((area * 99 + part(5, 2) - 1).alias("a"), (part(8, 4) - 1).alias("b"))
+
+        def step(h: Column, r: Column) -> Column:
+            a, b = F.when(r % 2 == 1, (h["a"] + _number(_hash(key, "ssn", r, h["b"].cast("string")), 1, groups)) % groups).otherwise(h["a"]), h["b"]
+            return F.struct(a.alias("a"), F.when(r % 2 == 0, (b + _number(_hash(key, "ssn", r, h["a"].cast("string")), 1, serials)) % serials).otherwise(b).alias("b"))
+
+        pad = lambda x, n: F.lpad(x.cast("long").cast("string"), n, "0")
+        made = lambda x: let(F.floor(x["a"] / 99), lambda c: F.concat_ws("-", pad(F.when(c >= 665, c + 2).otherwise(c + 1), 3), pad(x["a"] % 99 + 1, 2), pad(x["b"] + 1, 4)))
+        return let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step), made)
 
     return let(value, on)
 
@@ -148,8 +199,9 @@ def _iban(value: Column, key: Column) -> Column:
     """The country stays, the rest is permuted with its blanks in place, the check digits follow."""
 
     def on(v: Column) -> Column:
-        made = F.concat(F.substring(v, 1, 4), permuted(F.substring(v, F.lit(5), F.length(v)), key, "iban"))
-        return let(made, lambda w: F.concat(F.substring(w, 1, 2), _iban_check(F.replace(w, F.lit(" "), F.lit(""))), F.substring(w, F.lit(5), F.length(w))))
+        bare = F.replace(v, F.lit(" "), F.lit(""))
+        made = F.concat(F.substring(bare, 1, 4), permuted(F.substring(bare, F.lit(5), F.length(bare)), key, "iban"))
+        return let(made, lambda w: _in_form(v, F.concat(F.substring(w, 1, 2), _iban_check(w), F.substring(w, F.lit(5), F.length(w))), "A-Z0-9"))
 
     return let(value, on)
 
@@ -177,31 +229,35 @@ def _date(value: Column, key: Column, form: str) -> Column:
 
 
 def kind_of(m: Column) -> Column:
+    """The kind of a value that is valid, else null."""
+    day = lambda form: F.try_to_timestamp(m, F.lit(form)).cast("date").between(F.lit("1700-05-29").cast("date"), F.lit("2099-08-05").cast("date"))
     return (
         F.when(m.contains("@"), "email")
         .when(m.rlike(r"^[+(]"), "phone")
-        .when(m.rlike(r"^\d+-\d\d-\d\d$|^\d\d[./]\d\d[./]\d{4}$"), "date")
-        .when(m.rlike(r"^(\d+\.){3}\d{1,3}$"), "ip")
-        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
+        .when(m.rlike(r"^\d+-\d\d-\d\d$"), F.when(day("yyyy-MM-dd"), "date"))
+        .when(m.rlike(r"^\d\d/\d\d/\d{4}$"), F.when(day("dd/MM/yyyy"), "date"))
+        .when(m.rlike(r"^\d\d\.\d\d\.\d{4}$"), F.when(day("dd.MM.yyyy"), "date"))
+        .when(m.rlike(r"^(\d+\.){3}\d{1,3}$"), F.when(~m.rlike(r"(?:^|\.)(?:25[6-9]|2[6-9]\d|[3-9]\d\d)(?:\.|$)"), "ip"))
+        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(_is_ssn(m), "ssn"))
         .when(m.rlike("^(?=.*[a-fA-F])[0-9a-fA-F]{32,64}$"), "secret")
-        .when(m.rlike("^[A-Z]"), F.when(_is_iban(m) | m.rlike(CARD), "card"))
-        .when(m.rlike(f"^(?:{CARD})$"), "card")
+        .when(m.rlike("^[A-Z]"), F.when(_is_iban(m) | F.coalesce(_is_card(F.nullif(F.regexp_extract(m, f"({CARD})", 1), F.lit(""))), F.lit(False)), "card"))
+        .when(m.rlike(f"^(?:{CARD})$"), F.when(_is_card(m), "card"))
         .otherwise("phone")
     )
 
 
 def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     cut = lambda pattern, g: F.regexp_extract(m, pattern, g)
-    email, phone = r"^(.*)(@[^@]*)$", r"^(\+\d{1,3}(?!\d))?(.*)$"
+    email = r"^(.*)(@[^@]*)$"
     card = f"^(.*?)({CARD})(.*)$"  # of what is no valid IBAN
     return (
-        F.when(kind == "email", F.concat(permuted(cut(email, 1), key, "email"), cut(email, 2)))
-        .when(kind == "phone", F.concat(cut(phone, 1), permuted(cut(phone, 2), key, "phone")))
+        F.when(kind.isNull(), m)
+        .when(kind == "email", F.concat(permuted(cut(email, 1), key, "email"), cut(email, 2)))
+        .when(kind == "phone", _phone(m, key))
         .when(kind == "date", F.when(m.contains("-"), _date(m, key, "yyyy-MM-dd")).when(m.contains("/"), _date(m, key, "dd/MM/yyyy")).otherwise(_date(m, key, "dd.MM.yyyy")))
         .when(kind == "ip", _ip(m, key))
-        .when(kind == "ssn", permuted(m, key, "ssn"))
+        .when(kind == "ssn", _ssn(m, key))
         .when(kind == "secret", permuted(m, key, "secret", 6))
-        .when(kind.isNull(), m)
         .when(m.rlike("^[A-Z]"), F.when(_is_iban(m), _iban(m, key)).otherwise(F.concat(cut(card, 1), _card(cut(card, 2), key), cut(card, 3))))
         .otherwise(_card(m, key))
     )
