@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import catalogue_models
+from . import catalogue_formats, catalogue_models
 from .functions.detect import integer_token, mode_code, sniff
 from .operators import context, numeric, parsers
 from .sources import blocks
@@ -60,10 +60,10 @@ def format_counts(spark, sf_dir):
     return rows.groupBy("kind", "mode").agg(F.count("*").alias("n")).select("kind", "mode", mode_code(F.col("mode")).alias("code"), "n")
 
 
-@_query("integer_tokens", f"SELECT o_orderkey, {_duck_int('substr(o_orderpriority, 1, 8)')} AS priority, {_duck_int('strftime(o_orderdate, $$%Y-%m-%d$$)')} AS year FROM orders")
+@_query("integer_tokens", f"SELECT o_orderkey, {_duck_int('o_orderpriority')} AS priority, {_duck_int('strftime(o_orderdate, $$%Y-%m-%d$$)')} AS year FROM orders")
 def integer_tokens(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
-    return o.select("o_orderkey", integer_token(F.substring("o_orderpriority", 1, 8)).alias("priority"), integer_token(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("year"))
+    return o.select("o_orderkey", integer_token(F.col("o_orderpriority")).alias("priority"), integer_token(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("year"))
 
 
 @_query(
@@ -85,7 +85,7 @@ _CSV = "concat_ws(',', CAST(o_orderkey AS {s}), CAST(o_custkey AS {s}), o_orders
     SELECT i - 1 AS col, {_duck_int('cells[i]')} AS num FROM (SELECT cells, unnest(range(1, len(cells) + 1)) AS i FROM (SELECT string_split({_CSV.format(s='VARCHAR')}, ',') AS cells FROM orders))) GROUP BY ALL""",
 )
 def csv_cells(spark, sf_dir):
-    lines = _t(spark, sf_dir, "orders").select("o_orderkey", F.expr(_CSV.format(s="STRING")).alias("line"))
+    lines = _t(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.expr(_CSV.format(s="STRING")), F.lit("\n")).alias("line"))
     return parsers.csv_cells(lines, "o_orderkey", "line").groupBy("col").agg(F.count("*").alias("n"), F.count("number").alias("n_numbers"), F.sum("number").alias("total"))
 
 
@@ -110,7 +110,7 @@ def xml_tag_counts(spark, sf_dir):
 
 @_query(
     "generic_token_positions",
-    "SELECT CAST(octet_length(encode(w)) AS BIGINT) AS n_bytes, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\r]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1",
+    """SELECT CAST(octet_length(encode(w)) AS BIGINT) AS n_bytes, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?:"[^"]*(?:"|$)|[^ \\t\\r\\n"])[^ \\t\\r\\n"]*')) AS w FROM documents) GROUP BY 1""",
 )
 def generic_token_positions(spark, sf_dir):
     return parsers.generic_tokens(_t(spark, sf_dir, "documents"), "text")
@@ -205,26 +205,18 @@ def stretch_table(spark, sf_dir):
     return spark.range(1, 4096).select(F.col("id").alias("p"), F.greatest(F.lit(-2047.0), F.least(F.lit(2047.0), F.round(256 * F.log(p / (4096 - p))))).cast("bigint").alias("logit"))
 
 
-@_query("squash_table", "SELECT d, CAST(floor(4096 / (1 + exp(-d / 256.0))) AS BIGINT) AS p FROM (SELECT range - 2047 AS d FROM range(0, 4095))")
+@_query("squash_table", "SELECT d, CAST(greatest(1, least(4095, round(4096 / (1 + exp(-d / 256.0))))) AS BIGINT) AS p FROM (SELECT range - 2047 AS d FROM range(0, 4095))")
 def squash_table(spark, sf_dir):
     d = F.col("id") - 2047
-    return spark.range(0, 4095).select(d.alias("d"), F.floor(4096 / (1 + F.exp(-d / 256.0))).cast("bigint").alias("p"))
+    return spark.range(0, 4095).select(d.alias("d"), F.greatest(F.lit(1.0), F.least(F.lit(4095.0), F.round(4096 / (1 + F.exp(-d / 256.0))))).cast("bigint").alias("p"))
 
 
 @_query("roundtrip_check", "SELECT page_id AS stream_id, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, true AS ok FROM pages")
 def roundtrip_check(spark, sf_dir):
     rows = _t(spark, sf_dir, "pages").select("page_id", F.encode("html", "utf-8").alias("data"), sniff(F.col("html")).alias("mode"))
-    back = blocks.decompress_blocks(blocks.compress_blocks(rows, "page_id", "data"))
-    whole = back.groupBy("stream_id").agg(F.min("ok").alias("good"), F.sum(F.octet_length("data")).cast("bigint").alias("n_bytes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", F.hex("data").alias("x")))), lambda b: b["x"]), "").alias("x"))
-    return whole.join(rows, F.col("stream_id") == F.col("page_id")).select("stream_id", "n_bytes", (F.col("good") & (F.col("x") == F.hex("data"))).alias("ok"))
-
-
-@_query("compression_ratio")
-def compression_ratio(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("data"), sniff(F.col("text")).alias("mode"))
-    made = blocks.compress_blocks(rows, "doc_id", "data")
-    out = made.groupBy("mode").agg(F.count("*").alias("n_blocks"), F.sum("orig_len").alias("orig_bytes"), F.sum(F.octet_length("payload")).cast("bigint").alias("packed_bytes"))
-    return out.withColumn("ratio", F.round(F.col("orig_bytes") / F.col("packed_bytes"), 4))
+    back = blocks.streams_of(blocks.decompress_blocks(blocks.compress_blocks(rows, "page_id", "data")))
+    own = rows.select(F.col("page_id").alias("stream_id"), F.sha2("data", 256).alias("own"))
+    return back.join(own, "stream_id").select("stream_id", "n_bytes", (F.col("ok") & (F.col("sha256") == F.col("own"))).alias("ok"))
 
 
 @_query("container_rejects", "SELECT * FROM (VALUES (1, 1, 'json', CAST(10 AS BIGINT), true), (2, 99, 'json', 10, false), (3, 1, 'other', 10, false), (4, 1, 'csv', 1048577, false), (5, 1, 'xml', -1, false), (6, 1, 'generic', 0, true)) v(id, version, mode, orig_len, accepted)")
@@ -233,5 +225,6 @@ def container_rejects(spark, sf_dir):
     return rows.withColumn("accepted", blocks.valid_header(F.col("version"), F.col("mode"), F.col("orig_len")))
 
 
-QUERIES |= catalogue_models.QUERIES
-ORACLES |= catalogue_models.ORACLES
+catalogue_formats.register_dispatch(_duck_sniff)
+QUERIES |= catalogue_models.QUERIES | catalogue_formats.QUERIES
+ORACLES |= catalogue_models.ORACLES | catalogue_formats.ORACLES

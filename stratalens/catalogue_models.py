@@ -65,7 +65,7 @@ _CSV = "concat_ws(',', CAST(o_orderkey AS {s}), CAST(o_custkey AS {s}), o_orders
 for _by, _second in (("position", "CAST(least(p - 1, 31) AS VARCHAR)"), ("previous", "CASE WHEN p > 1 THEN l[p - 1] ELSE '' END")):
 
     def _field(spark, sf_dir, by=_by):
-        lines = _t(spark, sf_dir, "orders").select("o_orderkey", F.expr(_CSV.format(s="STRING")).alias("line"))
+        lines = _t(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.expr(_CSV.format(s="STRING")), F.lit("\n")).alias("line"))
         return context.entropy(context.field_bytes(parsers.csv_cells(lines, "o_orderkey", "line"), "col", "value", by))
 
     QUERIES[f"field_{_by}_entropy"] = _field

@@ -1,30 +1,79 @@
-"""Context statistics: conditional entropy of bytes given the bytes or fields before them."""
+"""Context statistics: conditional entropy of bytes given the bytes or fields before them.
+
+k-grams are counted within Arrow batches, as one or two 64-bit words, so that a shuffle carries one row
+for each different k-gram of some megabytes of text, not one row for each byte.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.placement import spread
+
+#: Bytes of text whose k-grams are counted together in a task.
+COUNTED = 4 << 20
 
-def byte_rows(df: DataFrame, text: str, k: int) -> DataFrame:
-    """(ctx, byte) of every byte that has k bytes before it, as hexadecimal text."""
-    def rows(b: Column) -> Column:
-        at = lambda p, size: F.hex(F.substring(b, p + 1, F.lit(size)))
-        return F.transform(F.sequence(F.lit(k), F.octet_length(b) - 1), lambda p: F.struct(at(p - k, k).alias("ctx"), at(p, 1).alias("byte")))
 
-    return _exploded(df.filter(F.octet_length(text) > k), text, rows).select("x.ctx", "x.byte")
+def gram_counts(df: DataFrame, text: str, k: int) -> DataFrame:
+    """(high, low, c): how often each k-gram of bytes (k up to 16) occurs within texts. ``low`` holds its last
+    eight bytes, ``high`` those before them, as numbers; null and shorter texts have none."""
+    if not 1 <= k <= 16:
+        raise ValueError("k must be from 1 to 16")
 
+    def counted(texts: list[bytes]):
+        import numpy as np
+        import pyarrow as pa
 
-def _exploded(df: DataFrame, text: str, rows) -> DataFrame:
-    """One row for each element that ``rows`` makes of a text's bytes. The bytes are bound once as
-    a lambda variable and are not repeated beside every element."""
-    bound = F.transform(F.array(F.encode(F.col(text), "utf-8")), rows)
-    return df.select(F.explode(F.element_at(bound, 1)).alias("x"))
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        n = len(data) - k + 1
+        if n <= 0:
+            return None
+        ends = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+        inside = np.flatnonzero(np.arange(n) + k <= ends[:n])
+        part = lambda first, last: np.bitwise_or.reduce([data[i : i + n].astype(np.uint64) << np.uint64(8 * (last - 1 - i)) for i in range(first, last)])[inside]
+        low = part(max(0, k - 8), k)
+        if k <= 8:
+            low, c = np.unique(low, return_counts=True)
+            high = np.zeros(len(low), np.uint64)
+        else:
+            high = part(0, k - 8)
+            order = np.lexsort((low, high))
+            low, high = low[order], high[order]
+            first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[: len(low)])
+            low, high, c = low[first], high[first], np.diff(np.append(first, len(low)))
+        return pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(c.astype(np.int64))], names=["high", "low", "c"])
+
+    def run(batches: Iterator) -> Iterator:
+        held, size = [], 0
+        for batch in batches:
+            for t in batch.column(0):
+                raw = (t.as_py() or "").encode()
+                for at in range(0, max(len(raw), 1), COUNTED):  # pieces of a long text overlap by k - 1 bytes
+                    held.append(raw[at : at + COUNTED + k - 1])
+                    size += len(held[-1])
+                    if size >= COUNTED:
+                        if (made := counted(held)) is not None:
+                            yield made
+                        held, size = [], 0
+        if (made := counted(held)) is not None:
+            yield made
+
+    grams = spread(df.select(F.col(text).cast("string"))).mapInArrow(run, "high long, low long, c long")
+    return grams.groupBy("high", "low").agg(F.sum("c").alias("c"))
+
+
+def byte_rows(df: DataFrame, text: str, k: int) -> DataFrame:
+    """(ctx, byte, c): how often each byte stands behind each context of k bytes (k up to 7), as numbers."""
+    grams = gram_counts(df, text, k + 1)
+    return grams.select(F.shiftright("low", 8).alias("ctx"), F.col("low").bitwiseAND(255).alias("byte"), "c")
 
 
 def entropy(rows: DataFrame) -> DataFrame:
-    """Bits per byte of (ctx, byte) rows, with counts pre-aggregated before any shuffle of contexts."""
-    c = rows.groupBy("ctx", "byte").agg(F.count("*").alias("c"))
+    """Bits per byte of (ctx, byte) rows, which count once or ``c`` times; counts are pre-aggregated."""
+    c = rows if "c" in rows.columns else rows.groupBy("ctx", "byte").agg(F.count("*").alias("c"))
     # sum of -c log2(c / t) = sum over contexts of t log2 t, less sum of c log2 c
     per = c.groupBy("ctx").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.log2("c")).alias("s"))
     total = per.agg(F.count("*").alias("n_contexts"), F.sum("t").alias("n_bytes"), F.sum(F.col("t") * F.log2("t") - F.col("s")).alias("bits"))
@@ -34,8 +83,7 @@ def entropy(rows: DataFrame) -> DataFrame:
 def repeat_coverage(df: DataFrame, order: str, text: str, k: int) -> DataFrame:
     """How many k-grams of all texts have occurred before. The first occurrence of each is the only
     one that has not, so counting distinct k-grams replaces a sort of all positions."""
-    rows = lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - k + 1), lambda p: F.substring(b, p, F.lit(k)))
-    grams = _exploded(df.filter(F.octet_length(text) >= k), text, rows).groupBy("x").agg(F.count("*").alias("c"))
+    grams = gram_counts(df, text, k)
     return grams.agg(F.sum("c").alias("n_grams"), F.count("*").alias("n_distinct")).select("n_grams", (F.col("n_grams") - F.col("n_distinct")).alias("n_repeats"))
 
 

@@ -1,11 +1,15 @@
 """Numeric models over an explicit row order: extrapolation, confidence, cross-column copies.
 
-Rows need a unique order key within a field. One field's history is one window partition; fields
-are independent, so they spread over tasks; within a field the fold runs over hits, one bit a row.
+Rows need a unique order key within a field; a repeated one is an error. The hit counter has 256 states,
+so a stretch of a field's history acts as a map of 256 bytes, whatever came before it. Histories are cut
+into stretches by ranges of the order, each stretch becomes such a map in constant memory, and the maps of
+a field are composed: a field that holds most rows is many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,21 +25,102 @@ def with_prediction(df: DataFrame, field: str, order: str, value: str) -> DataFr
     return df.filter(F.col(value).isNotNull()).withColumn("pred", pred).withColumn("hit", F.col(value) == F.col("pred"))
 
 
-def folded_hits(order: str, hit: str) -> Column:
-    """The final hit counter: one up to the cap for a hit, halved for a miss."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(hit).cast("int"), F.lit(-1)).alias("h"))))
-    step = lambda a, x: F.when(x["h"] < 0, F.lit(0)).when(x["h"] == 1, F.least(a + 1, F.lit(CAP))).otherwise(F.floor(a / 2)).cast("bigint")
-    return F.aggregate(ordered, F.lit(0).cast("bigint"), step)
+class Stretch:
+    """A stretch of one field's values: the ends of the values, and what its hits do to each counter."""
 
+    def __init__(self):
+        import numpy as np
 
-def confidence(count: Column) -> Column:
-    """12-bit probability that grows with the number of confirmations."""
-    return (2048 + F.floor(2047 * count / (count + 1))).cast("bigint")
+        self.n = self.hits = 0
+        self.first: list[int] = []
+        self.last: list[int] = []
+        self.states = np.arange(CAP + 1)
+
+    def add(self, values) -> None:
+        import numpy as np
+
+        self.first += [int(v) for v in values[: 2 - len(self.first)]]
+        known = np.concatenate([np.array(self.last, np.int64), values])
+        if len(known) > 2:  # those that have two values before them in the stretch
+            hit = known[2:] == 2 * known[1:-1] - known[:-2]
+            self.hits += int(hit.sum())
+            edge = np.flatnonzero(np.concatenate([[True], hit[1:] != hit[:-1], [True]]))
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                self.states = np.minimum(self.states + (b - a), CAP) if hit[a] else self.states >> min(int(b - a), 8)
+        self.n += len(values)
+        self.last = [int(v) for v in known[-2:]]
+
+
+def follow(n: int, hits: int, counter: int, known: list[int], stretch) -> tuple[int, int, int, list[int]]:
+    """Values, hits, counter and the last values of a field behind a stretch (n, hits, first, last, states), from
+    those before it."""
+    for v in stretch.first:
+        hit = bool(known) and v == (known[-1] if len(known) == 1 else 2 * known[-1] - known[-2])
+        if known:
+            hits, counter = hits + hit, min(counter + 1, CAP) if hit else counter // 2
+        known = [*known[-1:], int(v)]
+    known = [int(v) for v in stretch.last] if stretch.n > 1 else known
+    return n + int(stretch.n), hits + int(stretch.hits), int(stretch.states[counter]), known
+
+
+STRETCHES = "field string, part int, n long, hits long, first array<long>, last array<long>, states binary"
 
 
 def extrapolation(df: DataFrame, field: str, order: str, value: str) -> DataFrame:
-    p = with_prediction(df.select(field, order, value), field, order, value)
-    return p.groupBy(field).agg(F.count("*").alias("n_values"), F.sum(F.coalesce(F.col("hit").cast("int"), F.lit(0))).cast("bigint").alias("n_hits"), folded_hits(order, "hit").alias("final_hits"))
+    """(field, n_values, n_hits, final_hits): values, those that ``last + delta`` predicts, and the final counter.
+
+    Null values are untracked: they are skipped, and no break. Equal order keys within a field are an error.
+    """
+    kind = df.schema[field].dataType
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(field).cast("string").alias("field"), F.col(order).alias("o"), F.col(value).cast("long").alias("v"))
+    dealt = rows.repartitionByRange("field", "o").sortWithinPartitions("field", "o").select("field", "v", (F.xxhash64("o")).alias("h"))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, done, own, stretch, before = TaskContext.get().partitionId(), [], None, None, None
+
+        def close() -> None:
+            done.append((own, part, stretch.n, stretch.hits, stretch.first, stretch.last, stretch.states.astype(np.uint8).tobytes()))
+
+        for batch in batches:
+            fields, v, h = batch.column(0).dictionary_encode(null_encoding="encode"), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            names, codes = fields.dictionary.to_pylist(), fields.indices.to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1], [True]])) if len(codes) else []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if stretch is None or names[codes[a]] != own:
+                    if stretch is not None:
+                        close()
+                    own, stretch, before = names[codes[a]], Stretch(), None
+                keys = h[a:b] if before is None else np.concatenate([[before], h[a:b]])
+                if (keys[1:] == keys[:-1]).any():
+                    raise ValueError(f"equal order keys in field {own!r}")
+                before = h[b - 1]
+                stretch.add(v[a:b])
+        if stretch is not None:
+            close()
+        columns = list(zip(*done, strict=True)) if done else [[]] * 7
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in STRETCHES.split(", ")])
+
+    def settle(key, stretches):
+        import pandas as pd
+
+        n, hits, counter, known = 0, 0, 0, []
+        for stretch in stretches.sort_values("part").itertuples():
+            n, hits, counter, known = follow(n, hits, counter, known, stretch)
+        return pd.DataFrame({"field": [key[0]], "n_values": [n], "n_hits": [hits], "final_hits": [counter]})
+
+    # a field has one stretch in a partition at most, so groups are as small as there are partitions
+    out = dealt.mapInArrow(run, STRETCHES).groupBy("field").applyInPandas(settle, "field string, n_values long, n_hits long, final_hits long")
+    return out.select(F.col("field").cast(kind).alias(field), "n_values", "n_hits", "final_hits")
+
+
+def confidence(count: Column) -> Column:
+    """12-bit probability that grows with the number of confirmations."""
+    return (2048 + F.floor(2047 * count / (count + 1))).cast("bigint")
 
 
 def digit_prefix(df: DataFrame, field: str, order: str, value: str) -> DataFrame:

@@ -1,34 +1,63 @@
-"""Block container: independently decodable, checksummed blocks with their header as columns."""
+"""Block container: independently decodable, checksummed blocks with their header as columns.
+
+Back ends: ``structure`` takes lines apart into columns and never makes a block more than a byte larger
+than ``lzma`` does, which is LZMA alone; ``mix`` is the context mixer, for small data only.
+"""
 
 from __future__ import annotations
 
 import lzma
+import struct
 import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VERSION, BLOCK_BYTES = 1, 1 << 20
-BLOCKS = "stream_id long, block_no int, mode string, version int, orig_len long, crc32 long, payload binary"
-
+from ..plans.placement import spread
+from . import mixing, structure
 
-def compress_blocks(df: DataFrame, key: str, data: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Cuts the bytes of each row into blocks and compresses each; ``df`` has (key, data, mode)."""
+VERSION, BLOCK_BYTES = 1, 1 << 20
+BLOCKS = "stream_id long, block_no int, mode string, version int, back_end string, orig_len long, crc32 long, payload binary"
+BACK_ENDS = {
+    "structure": (structure.encode, structure.decode),
+    "lzma": (lambda data, mode: structure.pack(data), structure.unpack),
+    "mix": (lambda data, mode: mixing.encode(data), mixing.decode),
+}
+
+
+def compress_blocks(df: DataFrame, key: str, data: str, block_bytes: int = BLOCK_BYTES, back_end: str = "structure") -> DataFrame:
+    """Cuts the bytes of each row into blocks and compresses each; ``df`` has (key, data, mode). Blocks are
+    cut at line ends where there are some. Rows are dealt evenly, so that one large file is many tasks."""
+    made = BACK_ENDS[back_end][0]
+
+    def cuts(raw: bytes) -> Iterator[bytes]:
+        at = 0
+        while at < len(raw) or not at:
+            end = at + block_bytes
+            if end < len(raw) and (line := raw.rfind(b"\n", at, end)) >= at + block_bytes // 2:
+                end = line + 1
+            yield raw[at:end]
+            if end >= len(raw):
+                return
+            at = end
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kinds = pa.schema([("stream_id", pa.int64()), ("block_no", pa.int32()), ("mode", pa.string()), ("version", pa.int32()), ("back_end", pa.string()), ("orig_len", pa.int64()), ("crc32", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
-            rows = []
-            for k, raw, mode in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = raw or b""
-                for no, at in enumerate(range(0, max(1, len(raw)), block_bytes)):
-                    part = raw[at : at + block_bytes]
-                    rows.append({"stream_id": k, "block_no": no, "mode": mode, "version": VERSION, "orig_len": len(part), "crc32": zlib.crc32(part), "payload": lzma.compress(part, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 6}])})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("stream_id", pa.int64()), ("block_no", pa.int32()), ("mode", pa.string()), ("version", pa.int32()), ("orig_len", pa.int64()), ("crc32", pa.int64()), ("payload", pa.binary())]))
+            rows, held = [], 0
+            for k, raw, mode in zip(*(batch.column(i) for i in range(3)), strict=True):
+                for no, part in enumerate(cuts(raw.as_py() or b"")):
+                    rows.append({"stream_id": k.as_py(), "block_no": no, "mode": mode.as_py(), "version": VERSION, "back_end": back_end, "orig_len": len(part), "crc32": zlib.crc32(part), "payload": made(part, mode.as_py())})
+                    held += len(rows[-1]["payload"])
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                        rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return df.select(F.col(key).cast("long"), F.col(data).cast("binary"), "mode").mapInArrow(run, BLOCKS)
+    return spread(df.select(F.col(key).cast("long"), F.col(data).cast("binary"), "mode")).mapInArrow(run, BLOCKS)
 
 
 def valid_header(version: Column, mode: Column, orig_len: Column, block_bytes: int = BLOCK_BYTES) -> Column:
@@ -42,18 +71,32 @@ def decompress_blocks(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kinds = pa.schema([("stream_id", pa.int64()), ("block_no", pa.int32()), ("data", pa.binary()), ("ok", pa.bool_())])
         for batch in batches:
-            rows = []
-            for k, no, good, size, crc, payload in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            rows, held = [], 0
+            for row in zip(*(batch.column(i) for i in range(7)), strict=True):
+                k, no, good, back_end, size, crc, payload = (x.as_py() for x in row)
                 data = None
                 if good:
                     try:
-                        data = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 6}]).decompress(payload or b"", max_length=size + 1)
-                    except lzma.LZMAError:
+                        data = BACK_ENDS[back_end][1](payload or b"", size)
+                    except (lzma.LZMAError, ValueError, struct.error, IndexError, StopIteration, OverflowError):
                         data = None
                 ok = data is not None and len(data) == size and zlib.crc32(data) == crc
                 rows.append({"stream_id": k, "block_no": no, "data": data if ok else None, "ok": ok})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("stream_id", pa.int64()), ("block_no", pa.int32()), ("data", pa.binary()), ("ok", pa.bool_())]))
-
-    checked = blocks.select("stream_id", "block_no", valid_header(F.col("version"), F.col("mode"), F.col("orig_len")), "orig_len", "crc32", "payload")
+                held += len(data or b"")
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    good = valid_header(F.col("version"), F.col("mode"), F.col("orig_len")) & F.col("back_end").isin(*BACK_ENDS)
+    checked = blocks.select("stream_id", "block_no", good, "back_end", "orig_len", "crc32", "payload")
     return checked.mapInArrow(run, "stream_id long, block_no int, data binary, ok boolean")
+
+
+def streams_of(decoded: DataFrame) -> DataFrame:
+    """(stream_id, n_bytes, ok, sha256) of the streams that blocks were cut from; a stream is one row's bytes."""
+    parts = F.array_sort(F.collect_list(F.struct("block_no", "data")))
+    whole = F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, F.coalesce(x["data"], F.lit(b""))))
+    return decoded.groupBy("stream_id").agg(F.sum(F.octet_length("data")).cast("bigint").alias("n_bytes"), F.min("ok").alias("ok"), F.sha2(whole, 256).alias("sha256"))

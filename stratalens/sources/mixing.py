@@ -20,7 +20,7 @@ from ..operators.matches import Ride
 ORDERS, GRAMS, CELL_SHIFT, LEARN, ONE = 5, (6, 16), 4, 7, 1 << 16
 INPUTS = ORDERS + len(GRAMS)
 STRETCH = [max(-2047, min(2047, round(256 * math.log(max(p, 0.5) / (4096 - p))))) for p in range(4096)]
-SQUASH = [max(1, min(4095, int(4096 / (1 + math.exp(-d / 256))))) for d in range(-2047, 2048)]
+SQUASH = [max(1, min(4095, round(4096 / (1 + math.exp(-d / 256))))) for d in range(-2047, 2048)]
 #: Cost of an event of probability p / 4096, in 1 / 65,536 bit.
 COST = [0] + [round(-math.log2(p / 4096) * ONE) for p in range(1, 4097)]
 
