@@ -1,15 +1,16 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
 Writer: records are dealt to shards by ranges of the key, with range borders from an exact
-histogram of payload bytes; each shard is one task's sorted run and rolls to a new file when its
-compressed size passes the limit. Headers and digests are regenerated from the payload. A file is
+histogram of payload bytes, whose heavy bins are cut finer until a bin fits a shard, so that keys may lie
+anywhere; each shard is one task's sorted run and rolls to a new file when its compressed size passes
+the limit. Headers and digests are regenerated from the payload. A file is
 written under a temporary name that holds the task attempt and renamed when complete, so a lost
 or repeated attempt leaves at most an orphan; the manifest, renamed last, names the valid files
 with sizes and SHA-256, and readers trust the manifest only.
 
 Of equal payloads (SHA-256 over the bytes) of ``min_bytes`` or more, the record with the smallest
 id becomes the response and the others revisit records that refer to it. The group minimum is
-pre-aggregated before the shuffle and joined back; a hot payload is split by adaptive execution.
+pre-aggregated before the shuffle and joined back; the rows of a hot payload are dealt into parts.
 
 Defined cases: null html is an empty payload; null url is written as an empty target; a null id is
 written and read as null and never chosen as response while another id has the payload; repeated
@@ -20,20 +21,21 @@ gives an archive of no files; other columns are not archived.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import materialise, salted_join, shared_dir
 
 #: Compressed bytes after which a shard rolls to its next file, and payload bytes meant for a shard.
 ROLL_BYTES, SHARD_BYTES = 64 << 20, 256 << 20
-#: Bins of the histogram of keys: a bound on what the driver sees.
-BINS = 4096
+#: Bins that the range of keys is cut into at first, and bins for each shard that a heavy one holds.
+BINS, FINER = 4096, 16
 #: Fixed: the date written in headers, so that equal input gives equal bytes.
 DATE = "2020-01-01T00:00:00Z"
 
@@ -94,26 +96,52 @@ def member(record: bytes) -> bytes:
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, key, refers_to) of the rows of (page_id, key, size) that revisit a smaller id."""
-    first = pages.filter(F.col("size") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("key", "first_id")
-    joined = pages.join(first, "key").filter(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
-    return joined.select("page_id", "key", F.col("first_id").alias("refers_to"))
+    first = pages.filter(F.col("size") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null")
+    joined = salted_join(pages.select("page_id", "key"), materialise(first, "warc-first"), ["key"], ["page_id"])
+    return joined.filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("page_id", "key", F.col("first_id").alias("refers_to"))
 
 
-def shards_of(records: DataFrame, shard_bytes: int) -> tuple[Column, int]:
-    """An expression that gives the shard of a page_id, and the number of shards."""
+def shards_of(records: DataFrame, shard_bytes: int) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """A function that adds the ``shard`` of rows by their page_id, and the number of shards.
+
+    A bin of the histogram with more bytes than a shard is cut finer until it has one key. The driver sees
+    ``BINS`` bins and about ``FINER`` for each shard, and no more than those are broadcast.
+    """
+    spark = records.sparkSession
     low, high = records.agg(F.min("page_id"), F.max("page_id")).first()
     if low is None:
-        return F.lit(0), 1
-    width = (high - low) // BINS + 1
-    of_bin = F.when(F.col("page_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)).cast("int"))
-    sizes = {r[0]: r[1] for r in records.groupBy(of_bin.alias("bin")).agg((F.sum("size") + 400 * F.count("*")).alias("b")).collect()}  # at most BINS + 1 rows
-    borders, filled = [], 0
-    for b in sorted(sizes):
-        if filled and filled + sizes[b] > shard_bytes:
-            borders.append(b)
-            filled = 0
-        filled += sizes[b]
-    return F.size(F.filter(F.array(*[F.lit(x) for x in borders]).cast("array<int>"), lambda x: x <= of_bin)), len(borders) + 1
+        return lambda df: df.withColumn("shard", F.lit(0)), 1
+    levels: list[DataFrame] = []
+
+    def binned(df: DataFrame) -> DataFrame:
+        """Adds ``start``, the first key of a row's bin; null for rows without an id."""
+        out = df.withColumn("start", F.when(F.col("page_id").isNotNull(), F.lit(low).cast("long")))
+        for widths in levels:
+            out = out.join(F.broadcast(widths), "start", "left").withColumn("start", F.expr("CASE WHEN width IS NULL THEN start ELSE start + CAST((CAST(page_id AS DECIMAL(20,0)) - start) div width * width AS BIGINT) END")).drop("width")
+        return out
+
+    sizes: dict[int | None, int] = {}
+    heavy = {low: (high - low + 1, BINS)}  # first key: keys in the bin, bins to cut it into
+    while heavy:
+        widths = {start: -(-span // cuts) for start, (span, cuts) in heavy.items()}
+        levels.append(spark.createDataFrame(list(widths.items()), "start long, width long"))
+        sizes = {r.start: r.b for r in binned(records).groupBy("start").agg((F.sum("size") + 400 * F.count("*")).alias("b")).collect()}
+        parents = sorted(widths)
+        heavy, cut = {}, heavy
+        for start, size in sizes.items():
+            if start is None or size <= shard_bytes:
+                continue
+            parent = parents[bisect.bisect_right(parents, start) - 1] if parents[0] <= start else None
+            if parent is not None and start < parent + cut[parent][0] and widths[parent] > 1:
+                heavy[start] = (widths[parent], min(BINS, FINER * -(-size // shard_bytes)))
+    shard, filled, of_bin = 0, 0, []
+    for start in sorted(sizes, key=lambda x: (x is not None, x)):
+        if filled and filled + sizes[start] > shard_bytes:
+            shard, filled = shard + 1, 0
+        filled += sizes[start]
+        of_bin.append((start, shard))
+    table = spark.createDataFrame([x for x in of_bin if x[0] is not None], "start long, shard int")
+    return lambda df: binned(df).join(F.broadcast(table), "start", "left").drop("start").withColumn("shard", F.coalesce("shard", F.lit(0))), shard + 1
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -122,11 +150,11 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = R
     payload = F.coalesce(F.encode(F.col("html").cast("string"), "utf-8"), F.lit(b""))
     records = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
     narrow = records.select("page_id", "key", F.octet_length("payload").cast("long").alias("size"))
-    shard, n = shards_of(narrow, shard_bytes)
+    with_shard, n = shards_of(materialise(narrow.select("page_id", "size"), "warc-sizes"), shard_bytes)
     # payloads are moved once: notes on revisits travel to the same place and sort before their record
     notes = revisits(narrow, min_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "key", "refers_to")
     both = records.withColumn("refers_to", F.lit(None).cast("long")).unionByName(notes)
-    dealt = both.withColumn("shard", shard).repartitionByRange(n, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "key", F.desc(F.col("payload").isNull()), "url")
+    dealt = with_shard(both).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "key", F.desc(F.col("payload").isNull()), "url")
 
     def put(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -253,3 +281,14 @@ def query(spark, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "warc")
     write(read_table(spark, sf_dir, "pages"), folder, shard_bytes=16 << 20, roll_bytes=4 << 20)
     return read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_GROUPS = [f"CAST('0x' || substr(h, {5 * g + 1}, 5) AS BIGINT)" for g in range(8)]
+_SIGNS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({v} >> {bits}) & 31 AS INTEGER) + 1, 1)" for v in _GROUPS for bits in (15, 10, 5, 0))
+
+ORACLE = f"""
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_SIGNS} AS payload_digest,
+       CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> low THEN low END AS refers_to
+FROM (SELECT page_id, html, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS low
+      FROM (SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(html, '') AS html FROM pages))
+"""
