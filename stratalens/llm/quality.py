@@ -142,3 +142,33 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     out = quality(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES, min_words: int = 20, max_repeat_percent: int = 30) -> str:
+    """The query in DuckDB SQL, with the same table of rules compiled into it."""
+    word, stop = r"[^\x20\x09-\x0D]", sorted({w for ws in STOP_WORDS.values() for w in ws})
+    stop = ", ".join(f"'{w}'" for w in sorted({*stop, *(w.capitalize() for w in stop), *(w.upper() for w in stop)}))
+
+    def holds(rule: Rule) -> str:
+        sides = [f"{rule.numerator} {sign} {rule.denominator} * CAST({bound} AS DOUBLE)" for sign, bound in ((">=", rule.low), ("<=", rule.high)) if bound is not None]
+        return f"(n_words < {rule.at_least} OR ({' AND '.join(sides)}))"
+
+    lines = lambda pattern: f"len(list_filter(l, lambda x: regexp_matches(x, '{pattern}')))"
+    blank = r"[\x20\x09-\x0D]"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT doc_id, t, regexp_extract_all(t, '{word}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM a)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+c AS (SELECT doc_id, sum(step) AS n FROM (SELECT doc_id, least({WINDOW}, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, {WINDOW})) AS step FROM r) GROUP BY doc_id),
+s AS (SELECT a.doc_id, len(w) AS n_words, len(l) AS n_lines, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+  len(list_filter(w, lambda x: x IN ({stop}))) AS n_stop_words, {lines(f"^{blank}*[-*•‣◦]{blank}")} AS n_bullet_lines, {lines(rf"(\.\.\.|…){blank}*$")} AS n_ellipsis_lines
+  FROM a LEFT JOIN c ON a.doc_id = c.doc_id),
+b AS (SELECT *, n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words AS base_failed FROM s)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {' AND '.join(map(holds, rules))} AS kept FROM b
+"""
+
+
+ORACLE = oracle_sql()

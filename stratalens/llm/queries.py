@@ -23,4 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_exact_topk": topk.ORACLE,
+    "op4_quality": quality.ORACLE,
+    "op5_warc": warc.ORACLE,
 }
