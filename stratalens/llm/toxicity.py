@@ -19,6 +19,7 @@ than the outputs are kept.
 
 from __future__ import annotations
 
+import bisect
 import math
 import unicodedata
 from collections import Counter
@@ -130,7 +131,11 @@ class Lexicon:
                 else:
                     masked.append((start, end))
         if masked:
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in masked)}
+            # phrases end in ascending order; of those that end behind a hit the earliest start decides
+            ends, starts = [b for _, b in masked], [a for a, _ in masked]
+            for k in range(len(starts) - 2, -1, -1):
+                starts[k] = min(starts[k], starts[k + 1])
+            best = {s: w for s, w in best.items() if (k := bisect.bisect_right(ends, s)) == len(ends) or starts[k] > s}
         total = sum(best.values())
         return math.log1p(100 * total / max(len(words), 20)), math.log1p(total), len(best)
 
