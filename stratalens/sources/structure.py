@@ -25,6 +25,8 @@ INTEGER = re.compile(rb"(?:0|-?[1-9]\d{0,17})\Z")
 #: Templates of a block at most, and lines for each of them at least; a block with more is kept whole.
 TEMPLATES, LINES = 256, 8
 MARK = b"\0"
+#: First bytes of payloads.
+PLAIN, COLUMNS = b"P", b"C"
 
 TEXT, FIXED, FIRST, SECOND, ACROSS, NAMED = range(6)
 
@@ -132,21 +134,21 @@ def streams(block: bytes, mode: str) -> list[tuple[int, bytes]] | None:
 
 def encode(block: bytes, mode: str) -> bytes:
     """The payload of a block, at most one byte larger than LZMA alone makes it."""
-    whole = b"\0" + pack(block)
+    whole = PLAIN + pack(block)
     made = streams(block, mode)
     if made is None:
         return whole
     packed = [(kind, len(data), pack(data)) for kind, data in made]
     head = struct.pack("<I", len(packed)) + b"".join(struct.pack("<BII", kind, size, len(p)) for kind, size, p in packed)
-    taken = b"\1" + head + b"".join(p for _, _, p in packed)
+    taken = COLUMNS + head + b"".join(p for _, _, p in packed)
     return min(taken, whole, key=len)
 
 
 def decode(payload: bytes, size: int) -> bytes:
     """The block of ``size`` bytes; a payload that cannot be one raises ValueError, LZMAError or struct.error."""
-    if payload[:1] == b"\0":
+    if payload[:1] == PLAIN:
         return unpack(payload[1:], size)
-    if payload[:1] != b"\1":
+    if payload[:1] != COLUMNS:
         raise ValueError("not a payload")
     (count,) = struct.unpack_from("<I", payload, 1)
     if count * 9 > len(payload):

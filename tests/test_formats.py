@@ -149,7 +149,7 @@ def test_blocks_of_every_back_end(spark):
         assert made.filter("stream_id = 1").count() > 3
         back = {r.stream_id: r for r in blocks.streams_of(blocks.decompress_blocks(made)).collect()}
         assert all(r.ok for r in back.values()) and back[1].n_bytes == len(text) and back[2].n_bytes == 0
-        for damage in ("substring(payload, 1, length(payload) - 3)", "concat(substring(payload, 1, 30), x'5a5a', substring(payload, 33))", "x''", "concat(x'01ffffffff', payload)"):
+        for damage in ("substring(payload, 1, length(payload) - 3)", "concat(substring(payload, 1, 30), x'5a5a', substring(payload, 33))", "x''", "concat(x'43ffffffff', payload)"):
             hurt = made.filter("orig_len > 0").withColumn("payload", F.expr(damage))
             assert not any(r.ok for r in blocks.decompress_blocks(hurt).collect())
         assert not any(r.ok for r in blocks.decompress_blocks(made.withColumn("back_end", F.lit("other"))).collect())
