@@ -20,9 +20,9 @@ from . import mixing, structure
 VERSION, BLOCK_BYTES = 1, 1 << 20
 BLOCKS = "stream_id long, block_no int, mode string, version int, back_end string, orig_len long, crc32 long, payload binary"
 BACK_ENDS = {
-    "structure": (structure.encode, structure.decode),
-    "lzma": (lambda data, mode: structure.pack(data), structure.unpack),
-    "mix": (lambda data, mode: mixing.encode(data), mixing.decode),
+    "structure": (structure.encode, lambda payload, size, mode: structure.decode(payload, size)),
+    "lzma": (lambda data, mode: structure.pack(data), lambda payload, size, mode: structure.unpack(payload, size)),
+    "mix": (mixing.encode, mixing.decode),
 }
 
 
@@ -74,12 +74,12 @@ def decompress_blocks(blocks: DataFrame) -> DataFrame:
         kinds = pa.schema([("stream_id", pa.int64()), ("block_no", pa.int32()), ("data", pa.binary()), ("ok", pa.bool_())])
         for batch in batches:
             rows, held = [], 0
-            for row in zip(*(batch.column(i) for i in range(7)), strict=True):
-                k, no, good, back_end, size, crc, payload = (x.as_py() for x in row)
+            for row in zip(*(batch.column(i) for i in range(8)), strict=True):
+                k, no, good, mode, back_end, size, crc, payload = (x.as_py() for x in row)
                 data = None
                 if good:
                     try:
-                        data = BACK_ENDS[back_end][1](payload or b"", size)
+                        data = BACK_ENDS[back_end][1](payload or b"", size, mode)
                     except (lzma.LZMAError, ValueError, struct.error, IndexError, StopIteration, OverflowError):
                         data = None
                 ok = data is not None and len(data) == size and zlib.crc32(data) == crc
@@ -91,7 +91,7 @@ def decompress_blocks(blocks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     good = valid_header(F.col("version"), F.col("mode"), F.col("orig_len")) & F.col("back_end").isin(*BACK_ENDS)
-    checked = blocks.select("stream_id", "block_no", good, "back_end", "orig_len", "crc32", "payload")
+    checked = blocks.select("stream_id", "block_no", good, "mode", "back_end", "orig_len", "crc32", "payload")
     return checked.mapInArrow(run, "stream_id long, block_no int, data binary, ok boolean")
 
 

@@ -1,8 +1,9 @@
 """A context-mixing back end for blocks, and the code length it gives without writing anything.
 
-Integer arithmetic throughout: adaptive bit probabilities of byte contexts of orders 0 to 4 and the
-votes of two rides (short and long k-grams) are mixed in the logistic domain, with weights chosen
-by the byte before. A range coder with carries turns probabilities into bytes. A bit loop in
+Integer arithmetic throughout: adaptive bit probabilities of byte contexts of orders 0 to 4 and of two
+contexts of structure (field with place and string state; field with column or depth and the byte before),
+the votes of two rides (short and long k-grams) and the vote of the digits that a numeric field predicts are
+mixed in the logistic domain, with weights chosen by the byte before. A range coder with carries turns probabilities into bytes. A bit loop in
 Python is slow, so this back end is for research on ratios; ``blocks`` uses LZMA by default.
 """
 
@@ -14,11 +15,14 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.detect import sniff
 from ..operators.matches import Ride
+from .fields import TRACKERS
 
 #: Orders of contexts, k-grams of rides, learning rates, and 16.16 fixed point.
 ORDERS, GRAMS, CELL_SHIFT, LEARN, ONE = 5, (6, 16), 4, 7, 1 << 16
-INPUTS = ORDERS + len(GRAMS)
+TABLES = ORDERS + 2
+INPUTS = TABLES + len(GRAMS) + 1
 STRETCH = [max(-2047, min(2047, round(256 * math.log(max(p, 0.5) / (4096 - p))))) for p in range(4096)]
 SQUASH = [max(1, min(4095, round(4096 / (1 + math.exp(-d / 256))))) for d in range(-2047, 2048)]
 #: Cost of an event of probability p / 4096, in 1 / 65,536 bit.
@@ -28,16 +32,20 @@ COST = [0] + [round(-math.log2(p / 4096) * ONE) for p in range(1, 4097)]
 class Model:
     """Predicts the next bit of a stream and learns it; encoder and decoder start from the same one."""
 
-    def __init__(self):
+    def __init__(self, mode: str = "generic"):
         self.data, self.node, self.depth = bytearray(), 1, 0
-        self.cells: list[dict] = [{} for _ in range(ORDERS)]
+        self.cells: list[dict] = [{} for _ in range(TABLES)]
+        self.place = TRACKERS.get(mode, TRACKERS["generic"])()
         self.weights: dict[int, list[int]] = {}
         self.rides = [Ride(k) for k in GRAMS]
         self._bind()
 
     def _bind(self) -> None:
-        d = self.data
-        self.tables = [cells.setdefault(bytes(d[len(d) - k :]) if len(d) >= k else None, {}) for k, cells in enumerate(self.cells)]
+        d, at = self.data, self.place
+        keys = [bytes(d[len(d) - k :]) if len(d) >= k else None for k in range(ORDERS)]
+        keys += [(at.field, at.place, at.quoted), (at.field, at.axis, d[-1] if d else None)]
+        self.tables = [cells.setdefault(k, {}) for k, cells in zip(keys, self.cells, strict=True)]
+        self.digit = at.digit()
         self.mix = self.weights.setdefault(d[-1] if d else 0, [ONE // INPUTS] * INPUTS)
 
     def predict(self) -> int:
@@ -51,7 +59,12 @@ class Model:
                     size = STRETCH[2048 + 2047 * r.confidence // (r.confidence + 1)]
                     vote = size if expected >> (7 - self.depth) & 1 else -size
             votes.append(vote)
-        self.votes = votes
+        vote = 0
+        if self.digit is not None and (self.digit | 256) >> (8 - self.depth) == self.node:
+            size = STRETCH[2048 + 2047 * self.place.count // (self.place.count + 1)]
+            vote = size if self.digit >> (7 - self.depth) & 1 else -size
+        self.votes = [*votes, vote]
+        votes = self.votes
         total = sum(w * v for w, v in zip(self.mix, votes, strict=True)) >> 16
         self.p = SQUASH[max(-2047, min(2047, total)) + 2047]
         return self.p
@@ -70,6 +83,7 @@ class Model:
             self.node, self.depth = 1, 0
             for r in self.rides:
                 r.push(self.data)
+            self.place.push(self.data[-1])
             self._bind()
 
 
@@ -77,9 +91,9 @@ def bits_of(data: bytes) -> Iterator[int]:
     return (byte >> i & 1 for byte in data for i in range(7, -1, -1))
 
 
-def code_length(data: bytes) -> int:
+def code_length(data: bytes, mode: str = "generic") -> int:
     """The ideal length of a stream in 1 / 65,536 bit."""
-    model, total = Model(), 0
+    model, total = Model(mode), 0
     for bit in bits_of(data):
         p = model.predict()
         total += COST[p if bit else 4096 - p]
@@ -87,8 +101,8 @@ def code_length(data: bytes) -> int:
     return total
 
 
-def encode(data: bytes) -> bytes:
-    model, out, low, span = Model(), bytearray(), 0, (1 << 32) - 1
+def encode(data: bytes, mode: str = "generic") -> bytes:
+    model, out, low, span = Model(mode), bytearray(), 0, (1 << 32) - 1
     for bit in bits_of(data):
         share = (span >> 12) * model.predict()
         model.learn(bit)
@@ -114,9 +128,9 @@ def encode(data: bytes) -> bytes:
     return bytes(out) + bytes([low + (1 << 24) - 1 >> 24, 0, 0, 0])
 
 
-def decode(payload: bytes, size: int) -> bytes:
+def decode(payload: bytes, size: int, mode: str = "generic") -> bytes:
     """The first ``size`` bytes of the stream; a payload that ends early is read on as zeros."""
-    model, at, span = Model(), 4, (1 << 32) - 1
+    model, at, span = Model(mode), 4, (1 << 32) - 1
     code = int.from_bytes(payload[:4].ljust(4, b"\0"), "big")
     for _ in range(8 * size):
         share = (span >> 12) * model.predict()
@@ -133,20 +147,20 @@ def decode(payload: bytes, size: int) -> bytes:
 
 
 def mixed_lengths(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_bytes, ideal_bits, packed_bytes, ok) of every stream: estimate, real size, round trip."""
+    """(key, n_bytes, ideal_bits, packed_bytes, ok) of every stream, by its mode: estimate, real size, round trip."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             rows = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, t, mode in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = (t or "").encode()
-                packed = encode(raw)
-                rows.append({"stream_id": k, "n_bytes": len(raw), "ideal_bits": code_length(raw) / ONE, "packed_bytes": len(packed), "ok": decode(packed, len(raw)) == raw})
+                packed = encode(raw, mode)
+                rows.append({"stream_id": k, "n_bytes": len(raw), "ideal_bits": code_length(raw, mode) / ONE, "packed_bytes": len(packed), "ok": decode(packed, len(raw), mode) == raw})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("stream_id", pa.int64()), ("n_bytes", pa.int64()), ("ideal_bits", pa.float64()), ("packed_bytes", pa.int64()), ("ok", pa.bool_())]))
 
-    spread = df.select(F.col(key).cast("long"), text).repartition(df.sparkSession.sparkContext.defaultParallelism)
+    spread = df.select(F.col(key).cast("long"), text, sniff(F.col(text))).repartition(df.sparkSession.sparkContext.defaultParallelism)
     return spread.mapInArrow(run, "stream_id long, n_bytes long, ideal_bits double, packed_bytes long, ok boolean").withColumnRenamed("stream_id", key)
 
 

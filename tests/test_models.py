@@ -5,7 +5,7 @@ import pytest
 
 from stratalens import catalogue_models
 from stratalens.operators import matches
-from stratalens.sources import mixing
+from stratalens.sources import fields, mixing
 
 DATA = "/root/testdata/sf0.001"
 
@@ -61,6 +61,42 @@ def test_mixing_round_trip(data):
     assert abs(8 * len(packed) - mixing.code_length(data) / mixing.ONE) < 64 + 0.01 * 8 * len(data)
 
 
+LINES = {
+    "json": b"\n".join(b'{"id": %d, "ts":%d, "tags":[%d, "a\\"b"], "in":{"id":%d}}' % (1000 + i, 1700000000 + 60 * i, i, i % 3) for i in range(60)),
+    "csv": b"\n".join(b'%d,%d,%d,"x, ""%d""",%d' % (i * 7919 % 1000, i * 7919 % 1000 + 500, i * 7919 % 1000, i % 4, i) for i in range(90)),
+    "sql": b"INSERT INTO t VALUES " + b", ".join(b"(%d, %d, 'it''s %d', f(%d, 7))" % (1000 + i, 1700000000 + i, i % 9, i) for i in range(70)),
+    "xml": b"<c>" + b"".join(b"<item id='%d'><price>%d</price><e/></item>" % (i, 3 * i) for i in range(60)) + b"</c>",
+    "generic": b'word "two words" 12 13 14 ' * 40,
+}
+
+
+@pytest.mark.parametrize("mode", LINES)
+def test_mixing_by_mode(mode):
+    data = LINES[mode]
+    packed = mixing.encode(data, mode)
+    assert mixing.decode(packed, len(data), mode) == data
+    if mode in ("json", "csv", "sql"):  # fields and their numbers say more than bytes alone
+        assert mixing.code_length(data, mode) < 0.9 * mixing.code_length(data, "generic")
+    for broken in (b'{"a": [1, {"b" "c\\', b"}}]],1", b'"open, never', b")))((1,", b"<<a b='>", bytes(range(256))):
+        assert mixing.decode(mixing.encode(broken, mode), len(broken), mode) == broken
+
+
+def test_numbers_of_fields():
+    csv = fields.Csv()
+    for i in range(20):
+        for c in b"%d,%d,%d,x\n" % (i * 37 % 101, i * 37 % 101 + 500, i * 37 % 101):
+            csv.push(c)
+    assert csv.numbers.across[1][:2] == [0, 500] and csv.numbers.across[2][:2] == [0, 0] and 3 not in csv.numbers.across and not csv.numbers.row
+    for c in b"77,5":
+        csv.push(c)
+    assert csv.digit() == ord("7")  # 577 is expected
+    json = fields.Json()
+    for i in range(5):
+        for c in b'{"x": %d, "y":%d}\n' % (i - 1000, 9 * 10**18 - i):
+            json.push(c)
+    assert json.numbers.known == {b"x": [-996, 1, 3]}
+
+
 def test_streams_of_rows(spark):
     rows = spark.createDataFrame([(1, "abcdefgh abcdefgh"), (2, None), (3, "")], "id long, text string")
     assert {r.id for r in matches.rides(rows, "id", "text", 6).collect()} == {1}
