@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,26 +14,47 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1024
 #: Parts that the rows of a hot key are dealt into.
 SALTS = 64
+#: Bytes of an Arrow batch in stored steps.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the storage all executors share.
 
-    Only where that setting is absent (unit tests on one machine) a temporary folder is set.
+    Where that setting is absent and everything runs on one machine (unit tests) a temporary folder
+    is set; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stratalens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def stored_step(spark: SparkSession) -> Iterator[None]:
+    """Settings of a step whose result is stored: Arrow batches of at most ``BATCH_BYTES``, so that rows with
+    long values stay bounded in workers, and shuffle files go at its end, since nothing reads them again."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there, so
     the loss of an executor never recomputes what came before."""
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    df.write.mode("errorifexists").parquet(path)
+    with stored_step(spark):
+        df.write.mode("errorifexists").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -44,13 +65,6 @@ def discard(stored: DataFrame) -> None:
     spark = stored.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    release(spark)
-
-
-def release(spark: SparkSession) -> None:
-    """Shuffle files of finished steps go when the driver collects its garbage: asks for that."""
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 def salted_join(rows: DataFrame, side: DataFrame, keys: list[str], deal_by: list[str]) -> DataFrame:
@@ -77,7 +91,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of a session at ``BATCH_BYTES`` where it still has Spark's own bound (64 MB), which
+    a worker holds several times: for queries and stages whose result the caller runs."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64MB", "67108864", "67108864b"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the queries, which run with small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

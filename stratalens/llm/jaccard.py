@@ -1,26 +1,29 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
-A document is its set of word shingles. Tokens (shingle fingerprints) are hashed into ``GROUPS``
-groups; the group counts are a point, and the sum of coordinate minima of two points bounds the
-overlap of their sets from above. R-trees over the points find the pairs whose bound reaches what
-the Jaccard threshold needs, and surviving pairs are verified on the sets themselves.
+A document is its set of word shingles. Tokens (shingle fingerprints) are hashed into groups; the
+group counts are a point, and the sum of coordinate minima of two points bounds the overlap of their
+sets from above. A point has a group for every ``LOAD`` tokens, rounded up to a power of two, so it bounds
+large sets as well as small ones; the larger of two points is folded onto the smaller.
+R-trees over the points find the pairs whose bound reaches what the Jaccard threshold needs, and
+surviving pairs are verified on the sets themselves.
 
 Which documents share a tree follows from the prefix principle, so no pair is lost: in one order
 of all tokens (those that a sample finds frequent come last, the others by fingerprint), two
 similar sets share a token among their first ``n - needed + 1``. Each such token is a block. The
 sample only shapes the order; any order gives the same links.
 
-1. Equal sets collapse to their smallest document (pre-aggregated), which links them.
-2. Of each block the smallest document is the centre; all others are tested against it: bound,
-   then verification. These stars connect most of a large group by linear work.
+1. Equal sets collapse to one node (pre-aggregated), which links their documents.
+2. Of each block the smallest node is the centre; all others are tested against it: size, bound, then
+   verification. These stars connect most of a large group by linear work.
 3. Blocks that still hold several components are indexed by R-trees, which give the pairs across
    components; the largest component of a block and the others are cut into bounded parts that
    meet two by two, so a hot block is many tasks, and pairs within a component, which change
    nothing, are never made.
 
 Defined cases: null or wordless text has an empty set and no link; fewer words than a shingle are
-one shingle; repeated rows count once; rows with equal ids but different texts are one node that
-any of its texts can link; an empty table gives an empty result; other columns are not returned.
+one shingle; repeated rows and rows of one id are rows of their own, linked by their texts alone; a
+component is named by its smallest id, so rows without an id never name one while another row of it
+has an id (else the name is null); an empty table gives an empty result; other columns are not returned.
 """
 
 from __future__ import annotations
@@ -30,23 +33,21 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, release, salted_join
+from .common import discard, materialise, salted_join
 from .components import components
 
-#: Groups that tokens are hashed into: the dimensions of a point.
-GROUPS = 512
-#: Groups left when those of a point are added up for the R-tree; it divides ``GROUPS``.
+#: Tokens for each group of a point, at most, and the least and the most groups: powers of two.
+LOAD, LEAST_GROUPS, MOST_GROUPS = 4, 512, 8192
+#: Groups left when those of a point are folded for the R-tree: no more than ``LEAST_GROUPS``.
 COARSE = 128
-#: Groups of the last bound, before sets are compared.
-FINE = 2048
 #: Documents, about, of a block's largest component, or of its others, that meet in one R-tree.
 CHUNK = 2000
 #: Documents, about, whose frequent tokens come last in the order of tokens.
 SAMPLE = 5000
 #: Children of an R-tree node.
 FANOUT = 8
-#: Documents of a block that are one leaf: a tree is built above that.
-LEAF = 64
+#: Bytes of points that are compared at once, and rows whose R-trees are built together, about.
+AT_ONCE, GATHERED = 8 << 20, 16384
 
 
 class Threshold:
@@ -102,34 +103,52 @@ def shingle_sets(data, offsets, words: int):
     return out
 
 
-def points(sets, groups: int):
-    """Group counts of sets."""
+def groups_of(sizes):
+    """Groups of the points of sets of these sizes (an array)."""
     import numpy as np
 
-    out = np.zeros((len(sets), groups), np.uint32)
-    for i, s in enumerate(sets):
-        out[i] = np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
-    return out
+    wanted = np.maximum(np.asarray(sizes, np.int64), 1) / LOAD
+    return np.clip(2 ** np.ceil(np.log2(wanted)), LEAST_GROUPS, MOST_GROUPS).astype(np.int64)
+
 
+def point_of(s) -> bytes:
+    """The group counts of a set as bytes: one for each group, or four where a count needs them."""
+    import numpy as np
 
-def packed(counts) -> bytes:
-    """A point as bytes: one for each group, or four where a count needs them."""
+    groups = int(groups_of(len(s)))
+    counts = np.bincount((s >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
     return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
 
 
-def point_of(data, groups: int):
+def folded(points: list[bytes], sizes, groups: int):
+    """The matrix of the points of sets of these sizes, folded to ``groups`` groups."""
     import numpy as np
 
-    return np.frombuffer(data, "u1" if len(data) == groups else "<u4")
+    own = groups_of(sizes)
+    kind = own * 2 + (np.array([len(p) for p in points]) == own)
+    out = np.empty((len(points), groups), np.uint32)
+    for k in np.unique(kind):
+        at = np.flatnonzero(kind == k)
+        counts = np.frombuffer(b"".join([points[i] for i in at]), "u1" if k & 1 else "<u4").reshape(len(at), -1, groups)
+        if len(at) == len(points) and counts.shape[1] == 1:
+            return counts[:, 0]
+        out[at] = counts.sum(1, dtype=np.uint32)
+    return out
 
 
-def points_of(values: list[bytes], groups: int = GROUPS):
-    """The matrix of packed points."""
+def overlap_bounds(points: list[bytes], sizes, i, j):
+    """For pairs of positions the sum of coordinate minima, in the groups of the smaller point."""
     import numpy as np
 
-    if all(len(v) == groups for v in values):
-        return np.frombuffer(b"".join(values), "u1").reshape(-1, groups)
-    return np.stack([point_of(v, groups).astype(np.uint32) for v in values])
+    level = np.minimum(groups_of(sizes)[i], groups_of(sizes)[j])
+    out = np.zeros(len(i), np.int64)
+    for groups in np.unique(level):
+        at = np.flatnonzero(level == groups)
+        for part in (at[k : k + AT_ONCE // int(groups) // 4] for k in range(0, len(at), AT_ONCE // int(groups) // 4)):
+            rows, where = np.unique(np.concatenate([i[part], j[part]]), return_inverse=True)
+            table = folded([points[r] for r in rows], sizes[rows], int(groups))
+            out[part] = np.minimum(table[where[: len(part)]], table[where[len(part) :]]).sum(1, dtype=np.int64)
+    return out
 
 
 def prefix_keys(s, size: int, frequent):
@@ -164,35 +183,39 @@ def frequent_tokens(docs: DataFrame, words: int, sample: int = SAMPLE, least: in
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
-SKETCH = "doc_id long, n long, h1 long, h2 long, point binary, keys binary"
+SKETCH = "doc_id long, row_key long, n long, h1 long, h2 long, point binary, keys binary"
+
+
+def fingerprints(sets):
+    """Two fingerprints of each set."""
+    import numpy as np
+
+    from .bytehash import mix
+
+    one = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    return one, np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
 
 
 def sketches(docs: DataFrame, words: int, limit: Threshold, frequent) -> DataFrame:
     """Of each document: set size, two fingerprints of the set, its point, and its block keys."""
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        from .bytehash import bytes_of, mix, slices
+        from .bytehash import bytes_of, slices
 
         for whole in batches:
             for batch in slices(whole, 1):
                 sets = shingle_sets(*bytes_of(batch.column(1)), words)
-                counts = points(sets, GROUPS)
-                h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                h2 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 keys = [prefix_keys(s, limit.prefix(len(s)), frequent).tobytes() if len(s) else b"" for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), pa.array([packed(x) for x in counts], pa.binary()), pa.array(keys, pa.binary())],
-                    names=["doc_id", "n", "h1", "h2", "point", "keys"],
-                )
+                made = [pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, fingerprints(sets)), pa.array(map(point_of, sets), pa.binary()), pa.array(keys, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["doc_id", "row_key", "n", "h1", "h2", "point", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "text", "row_key").mapInArrow(run, SKETCH)
 
 
 def unpacked(reps: DataFrame) -> DataFrame:
-    """(key, node) from packed keys."""
+    """(key, node, size) from packed keys."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -201,115 +224,116 @@ def unpacked(reps: DataFrame) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, 2048):
                 batch = whole.slice(k, 2048)
-                packed = batch.column(1).to_pylist()
-                node = np.repeat(batch.column(0).to_numpy(), [len(p) // 8 for p in packed])
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), np.int64)), pa.array(node)], names=["key", "node"])
+                packed = batch.column(2).to_pylist()
+                many = [len(p) // 8 for p in packed]
+                node, size = (np.repeat(batch.column(i).to_numpy(), many) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), np.int64)), pa.array(node), pa.array(size)], names=["key", "node", "size"])
 
-    return reps.select("node", "keys").mapInArrow(run, "key long, node long")
+    return reps.select("node", "n", "keys").mapInArrow(run, "key long, node long, size long")
 
 
-class RTree:
-    """Packed over points: neighbours in a space-filling order share a node; a node has the largest
-    value of each coordinate and the sizes below it."""
+class RForest:
+    """R-trees over the points of blocks, one for each group, packed: neighbours in size and in the most
+    spread coordinates share a node; a node has the largest value of each coordinate and the sizes below
+    it. ``groups`` ascend. All trees are built and searched level by level together."""
 
-    def __init__(self, counts, sizes):
+    def __init__(self, counts, sizes, groups):
         import numpy as np
 
-        # sort-tile order by the most spread coordinates
-        spread = np.argsort(-counts.std(0))[:4] if len(counts) else []
-        self.order = np.lexsort([sizes, *[counts[:, d] // 4 for d in spread]])
-        self.levels = [(counts[self.order].astype(np.int64), sizes[self.order], sizes[self.order])]
-        while len(self.levels[-1][0]) > FANOUT:
-            top, low, high = self.levels[-1]
-            cut = np.arange(0, len(top), FANOUT)
-            self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
-
-    def search(self, point, size: int, limit: Threshold):
-        """Indices whose bound on the overlap with ``point`` reaches what similarity needs."""
+        self.counts, self.sizes, self.groups = counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32), sizes, groups
+        spread = np.argsort(-self.counts.var(0))[:3] if len(counts) else []
+        alike = (np.log(np.maximum(sizes, 1)) * 8).astype(np.int64)
+        self.order = np.lexsort([*[self.counts[:, d] for d in spread], alike, groups])
+        own = groups[self.order]
+        self.levels = [(self.counts[self.order], sizes[self.order], sizes[self.order], None)]
+        while len(starts := np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])) < len(own):
+            place = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
+            cut = np.flatnonzero(place % FANOUT == 0)
+            top, low, high, _ = self.levels[-1]
+            self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.append(cut, len(own))))
+            own = own[cut]
+        self.roots = own
+
+    def search(self, rows, limit: Threshold):
+        """Pairs (i, j) of each of ``rows`` and the members of its group whose bound on the overlap reaches
+        what similarity needs."""
         import numpy as np
 
-        at = np.arange(len(self.levels[-1][0]))
+        found = [self._search(rows[k : k + 256], limit) for k in range(0, len(rows), 256)]
+        return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+
+    def _search(self, i, limit: Threshold):
+        import numpy as np
+
+        node = np.searchsorted(self.roots, self.groups[i])
         for depth in range(len(self.levels) - 1, -1, -1):
-            top, low, high = self.levels[depth]
-            bound = np.minimum(top[at], point).sum(1)
-            nearest = np.clip(size, low[at], high[at])  # no member is closer in size
-            least = limit.needed(size, np.maximum(low[at], -(-limit.percent * size // 100)))
-            good = (bound >= least) & (nearest * 100 >= limit.percent * size) & (size * 100 >= limit.percent * nearest)
-            at = at[good]
+            top, low, high, first = self.levels[depth]
+            size = self.sizes[i]
+            nearest = np.clip(size, low[node], high[node])  # no member is closer in size
+            keep = np.flatnonzero((nearest * 100 >= limit.percent * size) & (size * 100 >= limit.percent * nearest))
+            i, node, size = i[keep], node[keep], size[keep]
+            least = limit.needed(size, np.maximum(low[node], -(-limit.percent * size // 100)))
+            step = AT_ONCE // 4 // top.shape[1]
+            bound = [np.minimum(top[node[k : k + step]], self.counts[i[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(i), step)]
+            good = np.concatenate(bound or [np.zeros(0, np.int64)]) >= least
+            i, node = i[good], node[good]
             if depth:
-                at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                at = at[at < len(self.levels[depth - 1][0])]
-        return self.order[at]
+                many = first[node + 1] - first[node]
+                within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                i, node = np.repeat(i, many), np.repeat(first[node], many) + within
+        return i, self.order[node]
 
 
 def bounded(pairs: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs (a, b) whose points and sizes allow enough overlap."""
+    """Pairs (a, b) whose points allow enough overlap."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    sized = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, 8192):
-                t = whole.slice(k, 8192)
-                col = lambda c: t.column(t.schema.get_field_index(c))  # noqa: B023, E731
-                vec = lambda c: points_of(col(c).to_pylist())  # noqa: B023, E731
-                a, b = col("n_a").to_numpy(), col("n_b").to_numpy()
-                good = np.minimum(vec("p_a"), vec("p_b")).sum(1, dtype=np.int64) >= limit.needed(a, b)
-                keep = pa.array(good)
-                yield pa.RecordBatch.from_arrays([col("a").filter(keep), col("b").filter(keep)], names=["a", "b"])
+        for t in (whole.slice(k, 8192) for whole in batches for k in range(0, whole.num_rows, 8192)):
+            col = lambda c: t.column(t.schema.get_field_index(c))  # noqa: B023, E731
+            sizes, first = np.concatenate([col("n_a").to_numpy(), col("n_b").to_numpy()]), np.arange(t.num_rows)
+            bound = overlap_bounds(col("p_a").to_pylist() + col("p_b").to_pylist(), sizes, first, first + t.num_rows)
+            keep = pa.array(bound >= limit.needed(sizes[first], sizes[first + t.num_rows]))
+            yield pa.RecordBatch.from_arrays([col("a").filter(keep), col("b").filter(keep)], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return sized.mapInArrow(run, "a long, b long")
 
 
-def set_values(pairs: DataFrame, docs: DataFrame, words: int, make) -> DataFrame:
-    """(node, value) of the documents in ``pairs``: the bytes that ``make`` gives for their sets."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
+def set_values(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, value) of the nodes in ``pairs``: the bytes of their sets, read from one of their texts."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
+    wanted = nodes.join(reps.select("node", "rep_key", "n", "h1", "h2"), "node").withColumnRenamed("rep_key", "row_key")
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         from .bytehash import bytes_of, slices
 
+        last = None  # repeated rows lie together
         for whole in batches:
-            for batch in slices(whole, 1):
-                sets = shingle_sets(*bytes_of(batch.column(1)), words)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(s) for s in sets], pa.binary())], names=["node", "value"])
+            for batch in slices(whole, 0):
+                sets = shingle_sets(*bytes_of(batch.column(0)), words)
+                one, two = fingerprints(sets)
+                node, n, h1, h2 = (batch.column(i).to_numpy() for i in range(1, 5))
+                own = (one == h1) & (two == h2) & (np.array([len(s) for s in sets]) == n)
+                own &= node != np.concatenate([[node[0] - 1 if last is None else last], node[:-1]])
+                last = node[-1]
+                keep = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["node", "value"])
 
-    return materialise(docs.join(needed.hint("shuffle_merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, value binary"), "set-values")
+    found = docs.join(wanted.hint("shuffle_merge"), "row_key").select("text", "node", "n", "h1", "h2")
+    return materialise(found.mapInArrow(run, "node long, value binary"), "set-values")
 
 
-def passing(pairs: DataFrame, values: DataFrame, array_of, test) -> DataFrame:
-    """Pairs whose values, read by ``array_of``, pass the test."""
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
+    """Stored pairs of nodes whose sets are similar enough, by the sets themselves."""
+    values = set_values(pairs, reps, docs, words)
     side = lambda x: values.select(F.col("node").alias(x), F.col("value").alias(f"v_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                t = whole.slice(k, 256)
-                read = lambda c: (array_of(x.as_buffer()) for x in t.column(t.schema.get_field_index(c)))  # noqa: B023, E731
-                keep = pa.array([bool(test(x, y)) for x, y in zip(read("v_a"), read("v_b"), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([t.column(t.schema.get_field_index(c)).filter(keep) for c in ("a", "b")], names=["a", "b"])
-
-    return joined.mapInArrow(run, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
-    """Pairs of representatives whose sets are similar enough, by the sets themselves.
-
-    Very large sets fill ``GROUPS`` groups evenly, so that their bound is weak; counts of ``FINE`` groups
-    bound the overlap once more before whole sets are sent. What is stored goes after its use.
-    """
-
-    def enough(x, y) -> bool:
-        import numpy as np
-
-        return np.minimum(x, y).sum(dtype=np.int64) >= limit.needed(int(x.sum()), int(y.sum()))
 
     def similar(x, y) -> bool:
         import numpy as np
@@ -319,17 +343,20 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, limit: Threshold) ->
         both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
         return both > 0 and 100 * both >= limit.percent * (len(x) + len(y) - both)
 
-    def tokens(data):
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
 
-        return np.frombuffer(data, "<u8")
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                t = whole.slice(k, 256)
+                read = lambda c: (np.frombuffer(x.as_buffer(), "<u8") for x in t.column(t.schema.get_field_index(c)))  # noqa: B023, E731
+                keep = pa.array([similar(x, y) for x, y in zip(read("v_a"), read("v_b"), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([t.column(t.schema.get_field_index(c)).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
-    counts = set_values(pairs, docs, words, lambda s: packed(points([s], FINE)[0]))
-    close = materialise(passing(pairs, counts, lambda data: point_of(data, FINE), enough), "close-pairs")
-    discard(counts)
-    sets = set_values(close, docs, words, lambda s: s.tobytes())
-    out = materialise(passing(close, sets, tokens, similar), "similar-pairs")
-    discard(sets)
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    out = materialise(joined.mapInArrow(run, "a long, b long").distinct(), "similar-pairs")
+    discard(values)
     return out
 
 
@@ -355,42 +382,20 @@ def across(blocks: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
 
         def settle(t):
             col = lambda c: t.column(c).to_numpy()
-            fine = points_of(t.column("point").to_pylist())
-            counts = fine.reshape(len(fine), -1, COARSE).sum(1, dtype=np.uint32)
-            node, comp, main, sizes, first = col("node"), col("component"), col("in_main"), col("n"), col("first")
+            points, sizes = t.column("point").to_pylist(), col("n")
+            counts = folded(points, sizes, COARSE)
+            node, comp, main, first = col("node"), col("component"), col("in_main"), col("first")
             own, two = col("own"), col("two")
             edge = np.flatnonzero(np.concatenate([[True], (col("key")[1:] != col("key")[:-1]) | (col("chunk")[1:] != col("chunk")[:-1]), [True]]))
-            group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-            small = (np.diff(edge) <= LEAF)[group]
-
-            def tested(i, j):
-                keep = (comp[i] != comp[j]) & (main[i] | main[j] | np.where(two[i], own[i] != own[j], first[i]))
-                i, j = i[keep], j[keep]
-                low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-                keep = low * 100 >= limit.percent * high
-                i, j = i[keep], j[keep]
-                for level in (counts, fine):  # the finer points bound what the coarser ones leave
-                    bound = np.concatenate([np.minimum(level[i[k : k + 4096]], level[j[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(i), 4096)] or [np.zeros(0, np.int64)])
-                    keep = bound >= limit.needed(sizes[i], sizes[j])
-                    i, j = i[keep], j[keep]
-                return i, j
-
-            found = []
-            # blocks that fit a leaf: every point of the leaf is bounded, for all leaves at once
-            for step in range(1, LEAF):
-                i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if len(group) > step else np.zeros(0, int)
-                if not len(i):
-                    break
-                found.append(tested(i, i + step))
-            for g in np.flatnonzero(np.diff(edge) > LEAF):
-                a, b = edge[g], edge[g + 1]
-                tree = RTree(counts[a:b].astype(np.int64), sizes[a:b])
-                for i in a + np.flatnonzero(~main[a:b]):  # one side at least is outside the largest component
-                    j = a + tree.search(counts[i].astype(np.int64), int(sizes[i]), limit)
-                    j = j[main[j] | (node[j] < node[i])]
-                    found.append(tested(np.full(len(j), i), j))
-            i = np.concatenate([x for x, _ in found]) if found else np.zeros(0, int)
-            j = np.concatenate([x for _, x in found]) if found else np.zeros(0, int)
+            groups = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+            # one side at least is outside the largest component
+            i, j = RForest(counts, sizes, groups).search(np.flatnonzero(~main), limit)
+            keep = main[j] | (node[j] < node[i])
+            i, j = i[keep], j[keep]
+            keep = (comp[i] != comp[j]) & (main[i] | main[j] | np.where(two[i], own[i] != own[j], first[i]))
+            i, j = i[keep], j[keep]
+            keep = overlap_bounds(points, sizes, i, j) >= limit.needed(sizes[i], sizes[j])  # finer than in the tree
+            i, j = i[keep], j[keep]
             pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
@@ -402,7 +407,7 @@ def across(blocks: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
             key, chunk = last.column("key")[0].as_py(), last.column("chunk")[0].as_py()
             own = (held.column("key").to_numpy() == key) & (held.column("chunk").to_numpy() == chunk)
             cut = int(np.argmax(own))  # rows are sorted: the last group begins here
-            if cut >= 20_000:
+            if cut >= GATHERED:
                 yield settle(held.slice(0, cut).combine_chunks())
                 held = held.slice(cut)
         if held is not None and held.num_rows:
@@ -414,42 +419,53 @@ def across(blocks: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, set_rep, component_id) of every document of (doc_id, text).
+    """(doc_id, row_key, n_shingles, set_id, component_id, first) of every row of (doc_id, text).
 
-    ``set_rep`` is the smallest document with the same set; links are between different sets.
+    ``row_key`` is a hash of id and text, ``set_id`` a number of the row's set (null: empty), and ``first``
+    is true for one row of each component (and its repetitions) and for every row without a set.
     """
     limit = Threshold(percent)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
     made = materialise(sketches(docs, words, limit, frequent_tokens(docs, words)), "sketches")
-    light = made.select("doc_id", "n", "h1", "h2")
-    classes = light.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialise(classes.select(F.col("n").alias("size"), "h1", "h2", "rep", F.col("copies").alias("n")), "set-classes")
-    named = salted_join(light.filter("n > 0").withColumnRenamed("n", "size"), classes, ["size", "h1", "h2"], ["doc_id"])
-    wordless = light.filter("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("rep"))
-    members = materialise(named.select("doc_id", F.col("size").alias("n"), "rep").unionByName(wordless), "set-members")
-    # a node is one representative; of equal ids with different sets, the rows are joined at the end
-    reps = made.filter("n > 0").join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("n", "h1", "h2", "point", "keys")).alias("x")).select(F.col("doc_id").alias("node"), "x.n", "x.point", "x.keys")
-    rows = unpacked(reps)
-    centres = rows.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre <> last").select("key", "centre")
-    blocks = materialise(rows.join(centres, "key").select("key", "node", "centre").distinct(), "blocks")
-    release(docs.sparkSession)
-    reps = reps.select("node", "n", "point")
-    stars = blocks.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    # a set has one point and the same keys wherever it occurs, so any row gives them
+    rep = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_key"))
+    classes = made.filter("n > 0").groupBy("n", "h1", "h2").agg(rep.alias("rep"), F.count("*").alias("copies"), F.any_value("point").alias("point"), F.any_value("keys").alias("keys"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_key").alias("rep_key"), "copies", "point", "keys"), "set-classes")
+    side = classes.select("node", F.col("n").alias("size"), "h1", "h2", F.col("copies").alias("n"))
+    members = salted_join(made.filter("n > 0").select("doc_id", "row_key", F.col("n").alias("size"), "h1", "h2"), side, ["size", "h1", "h2"], ["doc_id", "row_key"]).select("doc_id", "row_key", F.col("size").alias("n"), "node")
+    wordless = made.filter("n = 0").select("doc_id", "row_key", "n", F.lit(None).cast("long").alias("node"))
+    members = materialise(members.unionByName(wordless), "set-members")
+    discard(made)
+    reps = classes.select("node", "n", "point")
+    rows = unpacked(classes)
+    centres = rows.groupBy("key").agg(F.min(F.struct("node", "size")).alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    centres = materialise(centres, "centres")
+    blocks = materialise(salted_join(rows, centres, ["key"], ["node"]), "blocks")
+    # sizes alone part many pairs, so points are sent for fewer
+    alike = F.least("size", "centre.size") * 100 >= F.greatest("size", "centre.size") * percent
+    stars = blocks.filter(F.col("node") != F.col("centre.node")).filter(alike).select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
+    stars = materialise(stars.distinct(), "stars")
     near = materialise(bounded(stars, reps, limit), "star-pairs")
-    release(docs.sparkSession)
-    links = verified(near, docs, words, limit)
+    links = verified(near, classes, docs, words, limit)
     found = materialise(components(links), "components")
     named = blocks.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    open_blocks = materialise(named.join(open_keys, "key", "left_semi"), "open-blocks")
-    release(docs.sparkSession)
+    named = materialise(named, "named-blocks")
+    open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", "n")
+    open_blocks = materialise(salted_join(named, materialise(open_keys, "open-keys"), ["key"], ["node"]), "open-blocks")
     rest = materialise(across(open_blocks, reps, limit).join(stars, ["a", "b"], "left_anti"), "cross-pairs")
-    discard(open_blocks)
-    more = verified(rest, docs, words, limit)
-    equal = members.filter("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = materialise(components(links.unionByName(more).unionByName(equal)), "components")
-    out = members.join(found, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("set_rep"), F.coalesce("component", "doc_id").alias("component_id"))
+    more = verified(rest, classes, docs, words, limit)
+    found = materialise(components(links.unionByName(more)), "components")
+    for stored in (centres, blocks, stars, near, named, open_blocks, rest):
+        discard(stored)
+    of_set = classes.select("node", "rep_id", "rep_key", F.col("copies").alias("n")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    name = F.min(F.struct(F.isnull("rep_id").alias("no_id"), F.col("rep_id").alias("doc_id"), F.col("rep_key").alias("row_key")))
+    names = of_set.groupBy("component").agg(name.alias("first"), F.count("*").alias("n"))
+    named = salted_join(of_set.select("node", "component", F.col("n").alias("copies")), materialise(names, "names"), ["component"], ["node"])
+    named = materialise(named.select("node", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("first_key"), F.col("copies").alias("n")), "named-sets")
+    linked = salted_join(members.filter("node is not null").withColumnRenamed("n", "size"), named, ["node"], ["doc_id", "row_key"])
+    linked = linked.select("doc_id", "row_key", F.col("size").alias("n_shingles"), F.col("node").alias("set_id"), "component_id", (F.col("row_key") == F.col("first_key")).alias("first"))
+    alone = members.filter("node is null").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.col("node").alias("set_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    return linked.unionByName(alone)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

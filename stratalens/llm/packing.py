@@ -14,7 +14,7 @@ prefix sums gives the sequence of every rest without a shuffle. Offsets within a
 running sums over its few pieces.
 
 Defined cases: null text is empty and packs its end token alone; repeated ids and rows are packed
-separately; texts longer than a sequence are cut; other columns are ignored; an empty table gives
+separately; rows without an id are packed like any other, with a null id; texts longer than a sequence are cut; other columns are ignored; an empty table gives
 an empty result.
 """
 
