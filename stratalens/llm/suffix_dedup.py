@@ -6,22 +6,24 @@ the same minimizers at the same offsets, so every repeated window has a kept suf
 and nothing is lost. The steps:
 
 1. Kept suffixes are counted by core fingerprint (pre-aggregated); single ones cannot repeat.
-2. Of shared cores whose whole context (``width`` bytes to the right, the window's slack to the
-   left) agrees, all windows repeat: no string has to be moved. Only one representative of each
-   different context of the remaining, mixed cores goes on.
-3. Each task sorts its representatives into a run, front-codes it (bytes shared with the suffix
-   before are dropped) and cuts it by ranges of the core. Runs are exchanged and merged by loser
-   trees that compare from the known common prefix on; the merge yields the common-prefix array.
-4. Window offsets repeat where two suffixes share enough to the right (common prefixes of the
-   merged order) and to the left (those of the reversed order). Cores with more than ``HOT``
-   different contexts are decided by counting their windows' fingerprints instead, which
-   pre-aggregates, so one hot passage never meets in one task.
+2. Suffixes of shared cores whose whole context agrees (``width`` bytes to the right, the window's
+   slack to the left) are one string that counts as many, so equal copies are moved and compared once.
+3. Each task sorts its strings into a run, front-codes it (bytes shared with the string before are
+   dropped) and cuts it by ranges of the core. Runs are exchanged and merged by loser trees that
+   compare from the known common prefix on; the merge yields the common-prefix array. The order is
+   by the core's fingerprint, then by the bytes behind the core: cores never have to be moved.
+4. Window offsets repeat where strings share enough to the right (common prefixes of the merged
+   order) and to the left (those of the reversed order), or where one counts as many. A core with
+   more than ``HOT`` different contexts would not fit one merge, and ranges of its tails would not do,
+   since windows with few bytes behind the core pair all of them; the windows of such cores are
+   counted by 128-bit fingerprints instead, which pre-aggregates, with equal results.
 5. Repeated offsets become byte intervals, which are merged within each text.
 
 Texts are bytes of UTF-8 and matches never cross texts; what is judged is the input, not what is
 left. Defined cases: null text is empty; texts shorter than ``width`` keep everything; repeated
 rows repeat each other's windows, so they are emptied where long enough; equal ids with different
-texts stay apart; further columns are not returned; empty tables give an empty result.
+texts stay apart; rows without an id are treated like any other; further columns are not returned;
+empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -32,11 +34,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, salted_join
+from .common import discard, materialise, salted_join
 
 #: Bytes of a repeated string, and of the core that selects suffixes; their difference is the slack.
 WIDTH, CORE = 400, 300
-#: Different contexts of one core that are merged in one task; cores with more are counted by windows.
+#: Different contexts of one core that are merged in one task; the windows of cores with more are counted.
 HOT = 4096
 #: Suffixes that one merge is meant to hold.
 MERGED = 200_000
@@ -190,8 +192,9 @@ class LoserTree:
 def repeated_offsets(entries: list[tuple[bytes, int]], width: int, core: int):
     """Of merged suffixes (core, tail, left, context in one string) the repeated window offsets.
 
-    A string is 8 bytes of core, the bytes behind the core, ``END``, then left bytes and a fixed trailer; ``entries`` has
-    them in order with common prefixes. Returns contexts and a boolean matrix by offset.
+    A string is 8 bytes of core, the bytes behind the core, ``END``, then left bytes and a fixed trailer, which begins
+    with 1 for a string that counts as many; ``entries`` has them in order with common prefixes. Returns a boolean
+    matrix by string and offset.
     """
     import numpy as np
 
@@ -199,6 +202,7 @@ def repeated_offsets(entries: list[tuple[bytes, int]], width: int, core: int):
     n = len(entries)
     right = np.array([int.from_bytes(s[-4:-2], "little") for s, _ in entries])  # bytes behind the core
     left = np.array([int.from_bytes(s[-2:], "little") for s, _ in entries])
+    many = np.array([s[-13] for s, _ in entries])
     core_id = np.frombuffer(b"".join(s[:8] for s, _ in entries), ">u8")
     shared = np.minimum(np.array([x for _, x in entries]) - 8, right)  # with the one before; negative: another core
     shared[1:] = np.minimum(shared[1:], right[:-1])
@@ -215,13 +219,13 @@ def repeated_offsets(entries: list[tuple[bytes, int]], width: int, core: int):
     for o in range(slack + 1):
         need = slack - o  # bytes behind the core that the window takes
         valid = np.flatnonzero((right >= need) & (left >= o))
-        if len(valid) < 2:
+        if not len(valid):
             continue
         right_class = np.cumsum(shared < need) if need else np.cumsum(shared < 0)
         left_class[order] = np.cumsum(shared_left < o) if o else np.cumsum(shared_left < 0)
         key = right_class[valid] * (n + 1) + left_class[valid]
-        _, where, count = np.unique(key, return_inverse=True, return_counts=True)
-        found[valid, o] = count[where] > 1
+        _, where = np.unique(key, return_inverse=True)
+        found[valid, o] = np.bincount(where, 1 + many[valid])[where] > 1
     return found
 
 
@@ -259,9 +263,9 @@ def by_merge(strings: DataFrame, width: int, core: int, parts: int) -> DataFrame
             held.clear()
 
         for batch in batches:
-            for h, c, tail, left in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("core", "context", "tail", "before")), strict=True):
+            for h, c, many, tail, left in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("core", "context", "many", "tail", "before")), strict=True):
                 key = h + 2**63  # order of signed numbers, so ranges of cores are ranges of strings
-                s = key.to_bytes(8, "big") + tail + END + left + c.to_bytes(8, "little", signed=True) + len(tail).to_bytes(2, "little") + len(left).to_bytes(2, "little")
+                s = key.to_bytes(8, "big") + tail + END + left + bytes([many]) + c.to_bytes(8, "little", signed=True) + len(tail).to_bytes(2, "little") + len(left).to_bytes(2, "little")
                 held.setdefault(key * parts >> 64, []).append(s)
                 size += len(s)
             if size > 64 << 20:  # a run fits in memory
@@ -269,7 +273,7 @@ def by_merge(strings: DataFrame, width: int, core: int, parts: int) -> DataFrame
                 size = 0
         yield from out()
 
-    def merge(key: tuple, runs) -> object:
+    def merge(key, runs):
         import numpy as np
         import pandas as pd
 
@@ -277,7 +281,7 @@ def by_merge(strings: DataFrame, width: int, core: int, parts: int) -> DataFrame
         group: list[tuple[bytes, int]] = []
 
         def settle() -> None:
-            if len(group) > 1:
+            if group:
                 found = repeated_offsets(group, width, core)
                 for k in np.flatnonzero(found.any(1)):
                     s = group[k][0]
@@ -304,10 +308,10 @@ def by_windows(strings: DataFrame, width: int, core: int) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for h, c, tail, left in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("core", "context", "tail", "before")), strict=True):
+            for h, c, many, tail, left in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("core", "context", "many", "tail", "before")), strict=True):
                 for o in range(max(0, slack - len(tail)), len(left) + 1):
                     window = left[len(left) - o :] + tail[: slack - o]
-                    rows.append({"core": h, "context": c, "o": o, "w": hashlib.blake2b(window, digest_size=16).digest()})
+                    rows.append({"core": h, "context": c, "o": o, "weight": 1 + many, "w": hashlib.blake2b(window, digest_size=16).digest()})
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_pylist(rows, schema=kinds)
                     rows = []
@@ -316,10 +320,10 @@ def by_windows(strings: DataFrame, width: int, core: int) -> DataFrame:
 
     import pyarrow as pa
 
-    kinds = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("o", pa.int32()), ("w", pa.binary())])
-    windows = strings.mapInArrow(run, "core long, context long, o int, w binary")
-    shared = materialise(windows.groupBy("core", "o", "w").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-windows")
-    return salted_join(windows, shared, ["core", "o", "w"], ["context"]).groupBy("core", "context").agg(F.transform(F.array_sort(F.collect_set("o")), lambda o: F.struct(o.alias("low"), o.alias("high"))).alias("spans"))
+    kinds = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("o", pa.int32()), ("weight", pa.int32()), ("w", pa.binary())])
+    windows = strings.mapInArrow(run, "core long, context long, o int, weight int, w binary")
+    shared = materialise(windows.groupBy("core", "o", "w").agg(F.sum("weight").alias("n")).filter("n > 1"), "suffix-windows")
+    return salted_join(windows.drop("weight"), shared, ["core", "o", "w"], ["context"]).groupBy("core", "context").agg(F.transform(F.array_sort(F.collect_set("o")), lambda o: F.struct(o.alias("low"), o.alias("high"))).alias("spans"))
 
 
 def with_side(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
@@ -327,64 +331,71 @@ def with_side(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
     return docs.join(side.hint("shuffle_merge"), ["doc_id", "row_key"], how)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``row_key``, a hash of id and text, by which rows without an id are told apart as well; their
+    ``doc_id`` becomes 0 here."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    return docs.withColumn("row_key", key).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+
+
 def repeated_intervals(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT) -> DataFrame:
     """(doc_id, row_key, intervals) of (doc_id, text, row_key): byte ranges to remove, unmerged."""
     slack = width - core
     all_samples = samples(docs, width, core)
-    cores = all_samples.groupBy("core").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).filter("n > 1").select("core", "n", (F.col("c0") != F.col("c1")).alias("mixed"))
-    cores = materialise(cores, "suffix-cores")
+    cores = materialise(all_samples.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-cores")
     shared = materialise(salted_join(all_samples, cores, ["core"], ["doc_id", "row_key", "pos"]), "suffix-shared")
-    contexts = materialise(
-        shared.filter("mixed").groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "pos", "left", "right")).alias("rep")),
-        "suffix-contexts",
-    )
+    discard(cores)
+    contexts = materialise(shared.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "pos", "left", "right")).alias("rep")), "suffix-contexts")
     sizes = materialise(contexts.groupBy("core").agg(F.count("*").alias("n")).withColumn("hot", F.col("n") > hot), "suffix-sizes")
-    wanted = salted_join(contexts.select("core", "context", "rep"), sizes, ["core"], ["context"]).select("core", "context", "hot", "rep.*")
-    by_row = materialise(wanted.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("core", "context", "hot", "pos", "left", "right")).alias("reps")), "suffix-reps")
+    wanted = salted_join(contexts.select("core", "context", (F.col("n") > 1).cast("int").alias("many"), "rep"), sizes, ["core"], ["context"]).select("core", "context", "many", "hot", "rep.*")
+    by_row = materialise(wanted.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("core", "context", "many", "hot", "pos", "left", "right")).alias("reps")), "suffix-reps")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kinds = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("hot", pa.bool_()), ("tail", pa.binary()), ("before", pa.binary())])
+        kinds = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("many", pa.int32()), ("hot", pa.bool_()), ("tail", pa.binary()), ("before", pa.binary())])
+        last = None  # repeated rows lie together; one of them gives the strings
         for batch in batches:
             rows = []
-            for text, reps in zip(batch.column(0), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
+            for text, key, reps in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if key == last:
+                    continue
+                last, raw = key, (text.as_py() or "").encode()
                 for r in reps.as_py():
                     p = r["pos"]
-                    rows.append({"core": r["core"], "context": r["context"], "hot": r["hot"], "tail": raw[p + core : p + r["right"]], "before": raw[p - r["left"] : p]})
+                    rows.append({"core": r["core"], "context": r["context"], "many": r["many"], "hot": r["hot"], "tail": raw[p + core : p + r["right"]], "before": raw[p - r["left"] : p]})
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_pylist(rows, schema=kinds)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    strings = with_side(docs, by_row, "inner").select("text", "reps").mapInArrow(cut, "core long, context long, hot boolean, tail binary, before binary")
+    strings = with_side(docs, by_row, "inner").select("text", "row_key", "reps").mapInArrow(cut, "core long, context long, many int, hot boolean, tail binary, before binary")
     strings = materialise(strings, "suffix-strings")
+    discard(by_row)
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-contexts.count() // MERGED))
     spans = by_merge(strings.filter("not hot"), width, core, parts).unionByName(by_windows(strings.filter("hot"), width, core))
-    whole = F.array(F.struct(F.greatest(F.lit(slack) - (F.col("right") - core), F.lit(0)).cast("int").alias("low"), F.col("left").alias("high")))
-    # of a context that repeats all windows do, so the merge decides for single ones only
-    judged = contexts.select("core", "context", "n").join(spans, ["core", "context"], "left").filter("n > 1 or spans is not null")
-    judged = materialise(judged.dropDuplicates(["core", "context"]), "suffix-judged")
-    mixed = salted_join(shared.filter("mixed"), judged.withColumn("all", F.col("n") > 1), ["core", "context"], ["doc_id", "row_key", "pos"])
-    mixed = mixed.select("doc_id", "row_key", "pos", F.when(F.col("all"), whole).otherwise(F.col("spans")).alias("spans"))
-    plain = shared.filter("not mixed").select("doc_id", "row_key", "pos", whole.alias("spans"))
-    runs = plain.unionByName(mixed).select("doc_id", "row_key", "pos", F.explode("spans").alias("s"))
+    judged = materialise(spans.dropDuplicates(["core", "context"]).join(contexts.select("core", "context", "n"), ["core", "context"]), "suffix-judged")
+    for stored in (contexts, sizes, strings):
+        discard(stored)
+    found = salted_join(shared, judged, ["core", "context"], ["doc_id", "row_key", "pos"])
+    runs = found.select("doc_id", "row_key", "pos", F.explode("spans").alias("s"))
     # windows from pos - high to pos - low, each of `width` bytes, cover one interval
     cover = runs.select("doc_id", "row_key", (F.col("pos") - F.col("s.high")).alias("start"), (F.col("pos") - F.col("s.low") + width).alias("end"))
     return cover.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("intervals"))
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT) -> DataFrame:
-    """(doc_id, text) with n_bytes, n_removed, n_spans, the intervals removed and the kept bytes."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
-    intervals = materialise(repeated_intervals(docs.filter(F.octet_length("text") >= width), width, core, hot), "suffix-intervals")
+    """(doc_id, n_bytes, n_removed, n_spans, kept, text) of (doc_id, text): the kept bytes, and as text
+    without the signs that a cut goes through."""
+    docs = keyed(docs.select(F.col("doc_id").alias("own_id"), "doc_id", "text"))
+    narrow = docs.filter(F.octet_length("text") >= width).select("doc_id", "text", "row_key")
+    intervals = materialise(repeated_intervals(narrow, width, core, hot), "suffix-intervals")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+        kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("text", pa.string())])
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 rows = []
@@ -399,14 +410,16 @@ def dedup(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT)
                         if s["end"] > at:
                             removed += s["end"] - at
                             at = s["end"]
-                    rows.append({"doc_id": doc_id, "n_bytes": len(raw), "n_removed": removed, "n_spans": n, "kept": b"".join([*kept, raw[at:]])})
+                    left = b"".join([*kept, raw[at:]])
+                    rows.append({"doc_id": doc_id, "n_bytes": len(raw), "n_removed": removed, "n_spans": n, "kept": left, "text": None if text is None else left.decode("utf-8", "ignore")})
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return with_side(docs, intervals, "left").select("doc_id", "text", "intervals").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_side(docs, intervals, "left").select(F.col("own_id").cast("long").alias("doc_id"), "text", "intervals").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
 
     out = dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # beside the digests, the real output: what is left as text, and whether anything went
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).cast("int").alias("cut"), "text")
