@@ -84,6 +84,34 @@ def test_topk(spark):
         assert got[q] == [(i, int(s[i])) for i in want]
 
 
+@pytest.mark.parametrize("kind", [np.float64, np.int64])
+def test_topk_reads_lists_and_prunes(kind):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-60, 60, (900, 16)).astype(kind)
+    x[:, 3] = 0
+    x[5] = x[6]
+    ids = np.arange(0, 1800, 2)
+    lists = topk.SortedLists(ids, x)
+    asked = np.arange(0, 900, 30)
+    for q, got in zip(asked, lists.search(ids[asked], x[asked], 9), strict=True):
+        s = x @ x[q]
+        want = sorted((i for i in range(900) if i != q), key=lambda i: (-s[i], i))[:9]
+        assert got == [(int(s[i]), 2 * i) for i in want]
+    # the bounds leave few vectors long before the lists end, and only those are resolved
+    assert 0 < lists.read < 0.95 * lists.entries and 9 * len(asked) <= lists.resolved < 0.1 * 900 * len(asked)
+    assert lists.search(np.array([1]), np.zeros((1, 16), kind), 3) == [[(0, 0), (0, 2), (0, 4)]]
+    assert topk.SortedLists(ids[:2], x[:2]).search(ids[:1], x[:1], 9) == [[(int(x[0] @ x[1]), 2)]]
+
+
+def test_topk_odd_vectors(spark):
+    rows = [(0, [1.0, 0.5]), (1, [0.25, -0.001]), (1, [0.25, -0.001]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (None, [9.0, 9.0]), (5, [1.0]), (6, [-1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df = df.filter(F.col("vec_id").isNotNull() & topk.usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"), F.lit(1).alias("rank"))
+    got = [tuple(r) for r in topk.top_k(df, df.filter("id = 0"), 3).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 1024 * 256 - 2 * 512), (0, 2, 1, 1024 * 256 - 2 * 512), (0, 3, 6, -1024 * 1024 + 1024 * 512)]
+    assert topk.top_k(df.filter("false"), df.filter("false")).count() == 0
+
+
 def test_pii(spark):
     texts = ["card 4111111111111111 and 4111-1111-1111-1111", "card 4111111111111111.", "mail a.b@x.example.com", "call +1 (017) 555-7713 ip 10.0.0.1 or 999.1.1.1", "on 1980-02-29 or 31.02.1999", None, "", "no data 4.0"]
     rows = {r.doc_id: r for r in pii.pseudonymise(documents(spark, texts)).collect()}
@@ -121,6 +149,62 @@ def test_pii_formats(spark):
         spark.conf.unset(pii.KEY_SETTING)
 
 
+def by_hand(value, kind, key, letters=26):
+    """The Feistel network over the halves of a string, sign by sign."""
+    a, b = value[: len(value) // 2], value[len(value) // 2 :]
+    for r in range(1, pii.ROUNDS + 1):
+        digest = hashlib.sha256("\x1f".join([key, kind, str(r), f"{len(value)}/{b.lower()}"]).encode()).hexdigest()
+        moved = ""
+        for i, c in enumerate(a):
+            s = int(digest[i % 57 : i % 57 + 7], 16) % (10 * letters)
+            base, size = (48, 10) if "0" <= c <= "9" else (97, letters) if "a" <= c < chr(97 + letters) else (65, letters) if "A" <= c < chr(65 + letters) else (0, 0)
+            moved += chr((ord(c) - base + s) % size + base) if size else c
+        a, b = b, moved
+    return a + b
+
+
+def test_pii_equals_the_network_by_hand(spark):
+    rng = random.Random(11)
+    values = ["".join(rng.choice("0123456789abzAZ-. ") for _ in range(n)) for n in (1, 2, 3, 8, 9, 15, 40, 64)]
+    df = documents(spark, values)
+    rows = df.select("text", pii.permuted(F.col("text"), F.lit("k"), "card").alias("p")).collect()
+    assert [r.p for r in rows] == [by_hand(r.text, "card", "k") for r in rows]
+    cards = ["4111111111111111", "4845168114407329", "378282246310005"]
+    for x, r in zip(cards, pii.pseudonymise(documents(spark, cards), "k").orderBy("doc_id").collect(), strict=True):
+        body = by_hand(x[:-1], "card", "k")
+        check = -sum(int(d) if k % 2 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(body))) % 10
+        assert r.text == f"{body}{check}"
+    # social-security numbers: different ones stay different, and within what is issued
+    numbers = [f"{a:03}-{b:02}-{c:04}" for a, b, c in ((rng.choice([*range(1, 666), *range(667, 900)]), rng.randrange(1, 100), rng.randrange(1, 10000)) for _ in range(300))]
+    got = [r.text for r in pii.pseudonymise(documents(spark, numbers), "k").collect()]
+    assert len(set(got)) == len(set(numbers)) and not any(re.search(r"^(?:000|666|9)|-00-|-0000$", x) for x in got) and all(re.fullmatch(pii.SSN, x) for x in got)
+
+
+def test_pii_links_and_validates(spark):
+    same = [
+        ["+1 555 123 4567", "+1-555-123-4567", "+1 (555) 123-4567", "+15551234567", "(555) 123-4567", "555-123-4567", "555.123.4567"],
+        ["+44 20 7946 0958", "+442079460958", "+44 (20) 7946 0958"],
+        ["030 1234567", "030/1234567", "0301234567"],
+        ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"],
+        ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"],
+    ]
+    texts = [x for group in same for x in group]
+    got = iter(r.text for r in pii.pseudonymise(documents(spark, texts)).orderBy("doc_id").collect())
+    for group in same:
+        made = [next(got) for _ in group]
+        bare = [re.sub(r"[^0-9A-Z]", "", x) for x in made]
+        assert len({x[-10:] if x[0] not in "0D" else x for x in bare}) == 1 and bare[0] != re.sub(r"[^0-9A-Z]", "", group[0])
+        for x, y in zip(group, made, strict=True):
+            assert re.sub(r"[0-9A-Z]", "#", x) == re.sub(r"[0-9A-Z]", "#", y)
+    stay = ["000-12-3456", "666-12-3456", "912-34-5678", "123-00-4567", "123-45-0000", "4111111111111112", "1700000000123", "31.02.1999", "2023-02-29", "256.1.1.1", "DE88370400440532013000"]
+    for x, r in zip(stay, pii.pseudonymise(documents(spark, stay)).orderBy("doc_id").collect(), strict=True):
+        assert r.text == x and r.pii_counts == {}, x
+    odd = documents(spark, ["x" * 300_000 + " a.b@x.example.com", None, "", "1980-02-29", "1980-02-29"]).withColumn("pii_counts", F.lit("mine")).withColumn("key", F.lit(1))
+    rows = pii.pseudonymise(odd).orderBy("doc_id").collect()
+    assert rows[0].pii_counts == {"email": 1} and rows[0].text.startswith("x" * 300_000) and rows[3].text == rows[4].text != "1980-02-29" and rows[0].key == 1
+    assert pii.pseudonymise(odd.filter("false")).count() == 0
+
+
 def test_warc_round_trip(spark):
     pages = [(i, f"http://x/{i}", t) for i, t in enumerate([*ODD, "p" * 5000])]
     from stratalens.llm.common import shared_dir
@@ -161,6 +245,40 @@ def test_suffix_dedup(spark, hot):
         assert bytes(got[i].kept) == kept and got[i].n_removed == got[i].n_bytes - len(kept)
 
 
+def spans_by_hand(texts, width):
+    """Of each text: bytes, removed bytes, maximal removed runs, digest of the rest; by positions of equal strings."""
+    raws, seen = [(t or "").encode() for t in texts], collections.Counter()
+    for r in raws:
+        seen.update(r[p : p + width] for p in range(len(r) - width + 1))
+    out = []
+    for r in raws:
+        gone = bytearray(len(r))
+        for p in range(len(r) - width + 1):
+            if seen[r[p : p + width]] > 1:
+                gone[p : p + width] = b"\1" * width
+        runs = len(re.findall(b"\1+", bytes(gone)))
+        out.append((len(r), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(r, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+def test_suffix_dedup_query(spark, tmp_path):
+    """The query at its own width over odd rows: nulls, ids that are missing or repeated, long texts, shared passages."""
+    rng = random.Random(21)
+    passages = [prose(rng, 70) for _ in range(4)] + ["é😀ß" * 80]
+    texts = [None, "", "short", "x" * 399, "x" * 400, "x" * 1200, "ab" * 300]
+    for i in range(40):
+        texts.append(prose(rng, rng.randrange(10, 60)) + rng.choice(passages)[rng.randrange(40) :] + prose(rng, rng.randrange(40)))
+    texts += [passages[0][:399], "q" + passages[1][:400], passages[1][:400] + "z", prose(rng, 6000) + passages[2]]
+    alone = prose(rng, 90)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, alone), (None, alone), (None, prose(rng, 100)), (3, prose(rng, 80)), (8, texts[8]), (8, texts[8])]
+    spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, row_key int, kept string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r)[:5] for r in suffix_dedup.query(spark, str(tmp_path)).collect()), key=str)
+    want = sorted(((i, *x) for (i, _), x in zip(rows, spans_by_hand([t for _, t in rows], 400), strict=True)), key=str)
+    assert got == want
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert suffix_dedup.query(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_suffix_dedup_of_a_tail_cut_short(spark):
     # slack 24: K's text ends behind the core and one byte; its left bytes begin where A and B differ
     rng = random.Random(9)
@@ -177,7 +295,7 @@ def test_suffix_dedup_of_a_tail_cut_short(spark):
 def test_suffix_order_of_a_tail_cut_short():
     def string(tail, left, context):
         end = getattr(suffix_dedup, "END", b"")
-        return bytes(8) + tail + end + left + bytes(7) + bytes([context]) + len(tail).to_bytes(2, "little") + len(left).to_bytes(2, "little")
+        return bytes(8) + tail + end + left + bytes(8) + bytes([context]) + len(tail).to_bytes(2, "little") + len(left).to_bytes(2, "little")
 
     left = b"l" * 22
     run = sorted([string(b"x\nA" + b"p" * 21, b"a" * 2 + left, 1), string(b"x\nz" + b"q" * 21, b"b" * 2 + left, 2), string(b"x", b"\nM" + b"k" * 22, 3)])
@@ -244,14 +362,19 @@ def test_jaccard(spark, monkeypatch, words, percent, chunk):
     assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
-def test_rtree_loses_nothing():
+def test_rtrees_lose_nothing():
     rng = np.random.default_rng(1)
-    counts = rng.integers(0, 12, (500, jaccard.GROUPS))
-    limit, tree = jaccard.Threshold(80), jaccard.RTree(counts, counts.sum(1))
-    for k in range(0, 500, 25):
-        n = counts.sum(1)
-        good = (np.minimum(counts, counts[k]).sum(1) >= limit.needed(n, n[k])) & (np.minimum(n, n[k]) * 100 >= 80 * np.maximum(n, n[k]))
-        assert set(tree.search(counts[k], int(n[k]), limit)) >= set(np.flatnonzero(good))
+    counts = rng.integers(0, 12, (700, jaccard.COARSE))
+    counts[40:80] = counts[40] + rng.integers(0, 2, (40, jaccard.COARSE))
+    groups = np.sort(np.concatenate([np.zeros(300, int), np.full(8, 2), rng.integers(3, 60, 392)]))
+    limit, n = jaccard.Threshold(80), counts.sum(1)
+    asked = np.arange(0, 700, 9)
+    i, j = jaccard.RForest(counts, n, groups).search(asked, limit)
+    got = set(zip(i.tolist(), j.tolist(), strict=True))
+    for k in asked:
+        good = (np.minimum(counts, counts[k]).sum(1) >= limit.needed(n, n[k])) & (np.minimum(n, n[k]) * 100 >= 80 * np.maximum(n, n[k])) & (groups == groups[k])
+        assert got >= {(k, x) for x in np.flatnonzero(good)} and all(groups[b] == groups[k] for a, b in got if a == k)
+    assert len(got) < 0.5 * sum((groups == groups[k]).sum() for k in asked)
 
 
 def test_langid_gradients_and_accuracy():
