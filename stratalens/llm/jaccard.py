@@ -430,6 +430,9 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     # a set has one point and the same keys wherever it occurs, so any row gives them
     rep = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_key"))
     classes = made.filter("n > 0").groupBy("n", "h1", "h2").agg(rep.alias("rep"), F.count("*").alias("copies"), F.any_value("point").alias("point"), F.any_value("keys").alias("keys"))
+    # nodes are numbered in the order of their smallest ids, so that centres are the documents others were copied from, as far as ids tell
+    order = ["rep.no_id", "rep.doc_id", "rep.row_key"]
+    classes = classes.repartitionByRange(*order).sortWithinPartitions(*order)
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_key").alias("rep_key"), "copies", "point", "keys"), "set-classes")
     side = classes.select("node", F.col("n").alias("size"), "h1", "h2", F.col("copies").alias("n"))
     members = salted_join(made.filter("n > 0").select("doc_id", "row_key", F.col("n").alias("size"), "h1", "h2"), side, ["size", "h1", "h2"], ["doc_id", "row_key"]).select("doc_id", "row_key", F.col("size").alias("n"), "node")
