@@ -237,6 +237,13 @@ def spans_of(flags) -> list[dict]:
     return [{"low": int(a), "high": int(b) - 1} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
+def runs_of(offsets):
+    """The same from a column of sorted offsets."""
+    low = F.filter(offsets, lambda o: ~F.array_contains(offsets, o - 1))
+    high = F.filter(offsets, lambda o: ~F.array_contains(offsets, o + 1))
+    return F.zip_with(low, high, lambda a, b: F.struct(a.alias("low"), b.alias("high")))
+
+
 SPANS = "core long, context long, spans array<struct<low int, high int>>"
 
 
@@ -323,7 +330,7 @@ def by_windows(strings: DataFrame, width: int, core: int) -> DataFrame:
     kinds = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("o", pa.int32()), ("weight", pa.int32()), ("w", pa.binary())])
     windows = strings.mapInArrow(run, "core long, context long, o int, weight int, w binary")
     shared = materialise(windows.groupBy("core", "o", "w").agg(F.sum("weight").alias("n")).filter("n > 1"), "suffix-windows")
-    return salted_join(windows.drop("weight"), shared, ["core", "o", "w"], ["context"]).groupBy("core", "context").agg(F.transform(F.array_sort(F.collect_set("o")), lambda o: F.struct(o.alias("low"), o.alias("high"))).alias("spans"))
+    return salted_join(windows.drop("weight"), shared, ["core", "o", "w"], ["context"]).groupBy("core", "context").agg(runs_of(F.array_sort(F.collect_set("o"))).alias("spans"))
 
 
 def with_side(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
@@ -375,11 +382,14 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, core: int = CORE, ho
     discard(by_row)
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-contexts.count() // MERGED))
     spans = by_merge(strings.filter("not hot"), width, core, parts).unionByName(by_windows(strings.filter("hot"), width, core))
-    judged = materialise(spans.dropDuplicates(["core", "context"]).join(contexts.select("core", "context", "n"), ["core", "context"]), "suffix-judged")
+    judged = materialise(spans.dropDuplicates(["core", "context"]).join(contexts.select("core", "context", "n", (F.col("n") > 1).alias("many")), ["core", "context"]), "suffix-judged")
     for stored in (contexts, sizes, strings):
         discard(stored)
     found = salted_join(shared, judged, ["core", "context"], ["doc_id", "row_key", "pos"])
-    runs = found.select("doc_id", "row_key", "pos", F.explode("spans").alias("s"))
+    # of a string that counts as many every window repeats: one run
+    whole = F.array(F.struct(F.greatest(F.lit(slack) - (F.col("right") - core), F.lit(0)).cast("int").alias("low"), F.col("left").alias("high")))
+    spans = F.when(F.col("many"), whole).otherwise(F.col("spans"))
+    runs = found.select("doc_id", "row_key", "pos", F.explode(spans).alias("s"))
     # windows from pos - high to pos - low, each of `width` bytes, cover one interval
     cover = runs.select("doc_id", "row_key", (F.col("pos") - F.col("s.high")).alias("start"), (F.col("pos") - F.col("s.low") + width).alias("end"))
     return cover.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("intervals"))
