@@ -7,6 +7,8 @@ are cut out of the texts, personal data is replaced by pseudonyms, and the rest
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,26 +46,52 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.dropDuplicates(["row_key", "doc_id"]).select(*COLUMNS)
 
 
+def _merged(spans) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _words_cut(raw: bytes, marked) -> list[tuple[int, int]]:
+    """Byte ranges of the passages whose marks are given: from a first word to a last one."""
+    words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    whole = ((-(-start // suffix_dedup.MARK), end // suffix_dedup.MARK) for start, end in _merged(marked))
+    return [(words[a][0], words[b - 1][1]) for a, b in whole if a < b]
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes bytes of strings of 400 bytes that also start elsewhere; a sign that is cut through
+    """Removes bytes of strings of 400 bytes that also start elsewhere, and passages of 50 words or more that also
+    stand elsewhere, however many bytes they have and whatever white space parts them; a sign that is cut through
     goes entirely. ``n_chars`` is counted anew; documents stay, with null texts unchanged."""
     small_batches(spark)
     keyed = suffix_dedup.keyed(_columns(docs).withColumn("own_id", F.col("doc_id")))
-    narrow = keyed.filter(F.octet_length("text") >= suffix_dedup.WIDTH).select("doc_id", "text", "row_key")
-    spans = materialise(suffix_dedup.repeated_intervals(narrow), "pipeline-intervals")
-    joined = suffix_dedup.with_side(keyed, spans, "left").select(F.col("own_id").alias("doc_id"), *COLUMNS[1:], "intervals")
+    # an even key is a row's text, the odd one above it its words: both are searched at once
+    keyed = keyed.withColumn("row_key", F.shiftleft(F.shiftright("row_key", 1), 1))
+    rows = keyed.select("doc_id", "text", "row_key")
+    odd = F.col("row_key").bitwiseOR(F.lit(1))
+    both = rows.filter(F.octet_length("text") >= suffix_dedup.WIDTH).unionByName(suffix_dedup.word_marks(rows.withColumn("row_key", odd)))
+    found = suffix_dedup.repeated_intervals(both)
+    of = lambda k: F.max(F.when(F.col("row_key").bitwiseAND(F.lit(1)) == k, F.col("intervals")))
+    spans = found.groupBy("doc_id", F.shiftleft(F.shiftright("row_key", 1), 1).alias("row_key")).agg(of(0).alias("intervals"), of(1).alias("passages"))
+    spans = materialise(spans, "pipeline-intervals")
+    joined = suffix_dedup.with_side(keyed, spans, "left").select(F.col("own_id").alias("doc_id"), *COLUMNS[1:], "intervals", "passages")
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
             texts = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                if text and found:
+            for text, found, marked in zip(*(batch.column(i).to_pylist() for i in (1, 5, 6)), strict=True):
+                if text and (found or marked):
                     raw, kept, at = text.encode(), [], 0
-                    for s in found:
-                        kept.append(raw[at : max(at, s["start"])])
-                        at = max(at, s["end"])
+                    ends = lambda spans: [(s["start"], s["end"]) for s in spans or ()]
+                    for start, end in _merged(ends(found) + (_words_cut(raw, ends(marked)) if marked else [])):
+                        kept.append(raw[at:start])
+                        at = end
                     text = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *[batch.column(i) for i in (2, 3, 4)]], names=COLUMNS)

@@ -19,6 +19,9 @@ and nothing is lost. The steps:
    counted by 128-bit fingerprints instead, which pre-aggregates, with equal results.
 5. Repeated offsets become byte intervals, which are merged within each text.
 
+Passages of words are found by the same steps on ``word_marks``, where each word is eight letters and
+``width`` bytes are ``WIDTH // MARK`` words; the corpus pipeline cuts both kinds, the query only bytes.
+
 Texts are bytes of UTF-8 and matches never cross texts; what is judged is the input, not what is
 left. Defined cases: null text is empty; texts shorter than ``width`` keep everything; repeated
 rows repeat each other's windows, so they are emptied where long enough; equal ids with different
@@ -38,6 +41,8 @@ from .common import discard, materialise, salted_join
 
 #: Bytes of a repeated string, and of the core that selects suffixes; their difference is the slack.
 WIDTH, CORE = 400, 300
+#: Letters that stand for a word in ``word_marks``; ``WIDTH`` of them are a passage of 50 words.
+MARK = 8
 #: Different contexts of one core that are merged in one task; the windows of cores with more are counted.
 HOT = 4096
 #: Suffixes that one merge is meant to hold.
@@ -86,6 +91,42 @@ def kept_suffixes(data, offsets, width: int, core: int):
     return rows, at - offsets[rows], h[at].view(np.int64), context.view(np.int64), left, right
 
 
+def word_bounds(data, offsets):
+    """Starts and ends of the words, parted by white space, of a batch of texts, and each text's first word."""
+    import numpy as np
+
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    before, after = np.concatenate([[False], inside[:-1]]), np.concatenate([inside[1:], [False]])
+    edge = offsets[(offsets > 0) & (offsets < len(data))]
+    before[edge] = False
+    after[edge - 1] = False
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_marks(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, text, row_key) of the rows with ``width // MARK`` words or more; as text ``MARK`` letters for each
+    word, its fingerprint's last 48 bits, without white space: equal windows of these are equal passages of words."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from .bytehash import Prefix, bytes_of, slices
+
+        letters = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+        shifts = np.arange(0, 6 * MARK, 6, dtype=np.uint64)
+        for whole in batches:
+            for batch in slices(whole, 1):
+                data, offsets = bytes_of(batch.column(1))
+                starts, ends, first = word_bounds(data, offsets)
+                made = letters[((Prefix(data).of(starts, ends)[:, None] >> shifts) & np.uint64(63)).astype(np.uint8)].tobytes()
+                marks = pa.LargeStringArray.from_buffers(batch.num_rows, pa.py_buffer((first * MARK).astype(np.int64).tobytes()), pa.py_buffer(made)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), marks, batch.column(2)], names=["doc_id", "text", "row_key"]).filter(pa.array(np.diff(first) * MARK >= width))
+
+    return docs.select("doc_id", "text", "row_key").mapInArrow(run, "doc_id long, text string, row_key long")
+
+
 def samples(docs: DataFrame, width: int, core: int) -> DataFrame:
     """One row for each kept suffix of (doc_id, text, row_key)."""
 

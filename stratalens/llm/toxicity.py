@@ -149,7 +149,9 @@ def learn(rows: list[tuple[str, int]], stands_for: tuple[float, float] = (1.0, 1
     """A lexicon from (text, label) pairs. One half of the rows picks and weighs entries, the other
     fits the curve and checks each entry, so that chance entries do not look better than they are.
     ``stands_for`` has, by label, how many labelled rows each of ``rows`` stands for in the curve."""
-    rows = [(words_of(t or ""), int(y)) for t, y in rows]
+    same: dict[str, str] = {}  # of equal words one stays in memory
+    rows = [([same.setdefault(w, w) for w in words_of(t or "")], int(y)) for t, y in rows]
+    del same
     if not {y for _, y in rows} >= {0, 1}:
         return Lexicon(dict(SEED))
     by_label = [[r for r in rows if r[1] == y] for y in (0, 1)]

@@ -261,6 +261,19 @@ def spans_by_hand(texts, width):
     return out
 
 
+def test_toxicity_learning_keeps_equal_words_once():
+    import tracemalloc
+
+    words = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i % 7)}" for i in range(1000))
+    rows = [(words + (" vileword" if k % 2 else ""), k % 2) for k in range(200)]
+    toxicity.learn(rows)  # caches fill
+    tracemalloc.start()
+    toxicity.learn(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6_000_000
+
+
 def test_suffix_dedup_query(spark, tmp_path):
     """The query at its own width over odd rows: nulls, ids that are missing or repeated, long texts, shared passages."""
     rng = random.Random(21)

@@ -62,6 +62,23 @@ def test_repeats_are_cut(spark, tmp_path):
         assert got[i].text == (None if t is None else left) and got[i].n_chars == (None if t is None else len(left))
 
 
+def test_passages_of_words_are_cut(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 6)))
+    text = lambda n: [word() for _ in range(n)]
+    long, short = text(51), text(49)
+    assert len(" ".join(long).encode()) < suffix_dedup.WIDTH
+    rows = [(i, f"<{i}> {' '.join(text(30))} <{i}>", [long, short][i % 2], f"<{i}> {' '.join(text(9))}") for i in range(6)]
+    rows.append((None, "<null>", long, ""))
+    texts = [(i, f"{a} {(chr(10) + ' ' if k == 2 else ' ').join(p)} {b}") for k, (i, a, p, b) in enumerate(rows)]
+    texts += [(20, None), (21, ""), (22, " ".join(long)), (23, " ".join(long)), (24, " ".join(text(60)))]
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, frame(spark, texts), "").collect()}
+    want = {i: f"{a}  {b}" if p is long else t for (i, a, p, b), (_, t) in zip(rows, texts)}
+    want |= {i: t for i, t in texts if i in (20, 21, 24)} | {22: "", 23: ""}
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.values())
+
+
 def test_the_whole_pipeline(spark, tmp_path):
     import public_tokenizers
 
