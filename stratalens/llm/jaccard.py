@@ -8,9 +8,9 @@ R-trees over the points find the pairs whose bound reaches what the Jaccard thre
 surviving pairs are verified on the sets themselves.
 
 Which documents share a tree follows from the prefix principle, so no pair is lost: in one order
-of all tokens (those that a sample finds frequent come last, the others by fingerprint), two
-similar sets share a token among their first ``n - needed + 1``. Each such token is a block. The
-sample only shapes the order; any order gives the same links.
+of all tokens (frequent ones, as counted over all documents, come last, the others by fingerprint), two
+similar sets share a token among their first ``n - needed + 1``. Each such token is a block. Tokens
+share counters, so a rare one may come last too; any order gives the same links.
 
 1. Equal sets collapse to one node (pre-aggregated), which links their documents.
 2. Of each block the smallest node is the centre; all others are tested against it: size, bound, then
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, salted_join
+from .common import discard, materialise, salted_join, stored_step
 from .components import components
 
 #: Tokens for each group of a point, at most, and the least and the most groups: powers of two.
@@ -42,8 +42,11 @@ LOAD, LEAST_GROUPS, MOST_GROUPS = 4, 512, 8192
 COARSE = 128
 #: Documents, about, of a block's largest component, or of its others, that meet in one R-tree.
 CHUNK = 2000
-#: Documents, about, whose frequent tokens come last in the order of tokens.
-SAMPLE = 5000
+#: Tokens that at least so many of so many documents share are frequent, if ``LEAST`` documents share them.
+FREQUENT, LEAST = (3, 5000), 3
+#: Counters of tokens, and those that are summed together: powers of two. All rare tokens of a corpus add to a
+#: counter a small part of what is frequent, at any size.
+COUNTERS, SUMMED = 1 << 22, 1 << 14
 #: Children of an R-tree node.
 FANOUT = 8
 #: Bytes of points that are compared at once, and rows whose R-trees are built together, about.
@@ -152,35 +155,59 @@ def overlap_bounds(points: list[bytes], sizes, i, j):
 
 
 def prefix_keys(s, size: int, frequent):
-    """The first ``size`` tokens of a sorted set, with frequent ones (a sorted array) last."""
+    """The first ``size`` tokens of a sorted set, with frequent ones (bits of their counters) last."""
     import numpy as np
 
     if not len(frequent):
         return s[:size]
-    often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+    at = s & np.uint64(COUNTERS - 1)
+    often = (frequent[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return np.concatenate([s[~often], s[often]])[:size]
 
 
-def frequent_tokens(docs: DataFrame, words: int, sample: int = SAMPLE, least: int = 3, most: int = 100_000):
-    """Tokens that at least ``least`` of about ``sample`` documents share: at most ``most``."""
+def frequent_tokens(docs: DataFrame, words: int):
+    """A bit for each of ``COUNTERS`` counters, by a token's last bits: set where the documents that hold its tokens
+    are as many as ``FREQUENT`` says. All tokens of all documents are counted; empty where there are none."""
     import numpy as np
 
-    n = docs.count()
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // sample))) == 0).select("text")
+    least = max(LEAST, -(-docs.count() * FREQUENT[0] // FREQUENT[1]))
+    kinds = "chunk int, counts binary"
 
-    def run(batches: Iterator) -> Iterator:
+    def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         from .bytehash import bytes_of, slices
 
+        held = np.zeros(COUNTERS, np.uint32)
         for whole in batches:
             for batch in slices(whole, 0):
-                sets = shingle_sets(*bytes_of(batch.column(0)), words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["token"])
+                for s in shingle_sets(*bytes_of(batch.column(0)), words):
+                    np.add.at(held, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        for k in range(0, COUNTERS, SUMMED):
+            at = np.flatnonzero(held[k : k + SUMMED])
+            if len(at):
+                packed = at.astype("<u2").tobytes() + held[k + at].astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([k // SUMMED], pa.int32()), pa.array([packed], pa.binary())], names=["chunk", "counts"])
+
+    def total(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    counted = some.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= least)
-    rows = counted.orderBy(F.desc("count"), "token").limit(most).select("token").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+        sums: dict = {}
+        for batch in batches:
+            for chunk, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = len(packed) // 6
+                sums.setdefault(chunk, np.zeros(SUMMED, np.int64))[np.frombuffer(packed, "<u2", n)] += np.frombuffer(packed, "<u4", n, 2 * n)
+        for chunk, sum_of in sums.items():
+            flags = np.packbits(sum_of >= least, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([flags], pa.binary())], names=["chunk", "counts"])
+
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    with stored_step(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(count, kinds).repartition(parts, "chunk").mapInArrow(total, kinds).collect()
+    out = np.zeros((COUNTERS // SUMMED, SUMMED // 8) if rows else 0, np.uint8)
+    for chunk, flags in rows:
+        out[chunk] = np.frombuffer(flags, np.uint8)
+    return out.reshape(-1)
 
 
 SKETCH = "doc_id long, row_key long, n long, h1 long, h2 long, point binary, keys binary"

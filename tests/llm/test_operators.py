@@ -336,6 +336,21 @@ def test_salted_join(spark):
         assert got == want and (len(got) > 2000 or not some.head())
 
 
+def test_jaccard_counts_tokens_of_all_documents(spark):
+    import pyarrow as pa
+
+    from stratalens.llm.bytehash import bytes_of
+
+    # 200 words, each in 8 of 12,000 documents, among 12,000 words that one document has
+    texts = [f"own{i} shared{i // 2 % 200}" if i < 3200 and i % 2 == 0 else f"own{i}" for i in range(12_000)]
+    frequent = jaccard.frequent_tokens(documents(spark, texts), 1)
+    token = lambda w: jaccard.shingle_sets(*bytes_of(pa.array([w])), 1)[0]
+    often = [token(f"shared{k}") for k in range(200)]
+    rare = [token(f"own{k}") for k in range(1, 400, 2)]
+    for a, b in zip(often, rare, strict=True):
+        assert jaccard.prefix_keys(np.sort(np.concatenate([a, b])), 2, frequent).tolist() == [*b.tolist(), *a.tolist()]
+
+
 @pytest.mark.parametrize(("words", "percent", "chunk"), [(3, 90, 2000), (5, 80, 2000), (3, 90, 3)])
 def test_jaccard(spark, monkeypatch, words, percent, chunk):
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
