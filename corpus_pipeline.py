@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm import jaccard, packing, pii, suffix_dedup, toxicity
-from stratalens.llm.common import materialise, read_table, small_batches
+from stratalens.llm.common import lean, materialise, read_table, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents of this score or more are rejected.
@@ -69,15 +69,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     goes entirely. ``n_chars`` is counted anew; documents stay, with null texts unchanged."""
     small_batches(spark)
     keyed = suffix_dedup.keyed(_columns(docs).withColumn("own_id", F.col("doc_id")))
-    # an even key is a row's text, the odd one above it its words: both are searched at once
-    keyed = keyed.withColumn("row_key", F.shiftleft(F.shiftright("row_key", 1), 1))
-    rows = keyed.select("doc_id", "text", "row_key")
-    odd = F.col("row_key").bitwiseOR(F.lit(1))
-    both = rows.filter(F.octet_length("text") >= suffix_dedup.WIDTH).unionByName(suffix_dedup.word_marks(rows.withColumn("row_key", odd)))
-    found = suffix_dedup.repeated_intervals(both)
-    of = lambda k: F.max(F.when(F.col("row_key").bitwiseAND(F.lit(1)) == k, F.col("intervals")))
-    spans = found.groupBy("doc_id", F.shiftleft(F.shiftright("row_key", 1), 1).alias("row_key")).agg(of(0).alias("intervals"), of(1).alias("passages"))
-    spans = materialise(spans, "pipeline-intervals")
+    rows = keyed.filter(F.octet_length("text") >= suffix_dedup.LEAST).select("doc_id", "text", "row_key")
+    spans = materialise(suffix_dedup.repeated_intervals(rows, words=True), "pipeline-intervals")
     joined = suffix_dedup.with_side(keyed, spans, "left").select(F.col("own_id").alias("doc_id"), *COLUMNS[1:], "intervals", "passages")
 
     def cut(batches):
@@ -96,7 +89,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *[batch.column(i) for i in (2, 3, 4)]], names=COLUMNS)
 
-    out = joined.mapInArrow(cut, docs.select(*COLUMNS).schema)
+    out = joined.mapInArrow(lean(cut), docs.select(*COLUMNS).schema)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

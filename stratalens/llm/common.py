@@ -82,6 +82,30 @@ def salted_join(rows: DataFrame, side: DataFrame, keys: list[str], deal_by: list
     return dealt.join(spread, [*keys, "salt"]).drop("salt")
 
 
+def release() -> None:
+    """Gives memory that this process has freed back to the system. Spark keeps idle Python workers, each with the
+    freed memory of its largest task, and an executor has one for each Python operator that its tasks chain."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for ``mapInArrow`` whose worker releases what it has freed when a task ends."""
+
+    def released(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return released
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Binds ``value`` once and evaluates ``body`` on it.
 

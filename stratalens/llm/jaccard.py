@@ -33,7 +33,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, salted_join, stored_step
+from .common import discard, lean, materialise, release, salted_join, stored_step
 from .components import components
 
 #: Tokens for each group of a point, at most, and the least and the most groups: powers of two.
@@ -203,7 +203,7 @@ def frequent_tokens(docs: DataFrame, words: int):
 
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     with stored_step(docs.sparkSession):
-        rows = docs.select("text").mapInArrow(count, kinds).repartition(parts, "chunk").mapInArrow(total, kinds).collect()
+        rows = docs.select("text").mapInArrow(lean(count), kinds).repartition(parts, "chunk").mapInArrow(lean(total), kinds).collect()
     out = np.zeros((COUNTERS // SUMMED, SUMMED // 8) if rows else 0, np.uint8)
     for chunk, flags in rows:
         out[chunk] = np.frombuffer(flags, np.uint8)
@@ -238,7 +238,7 @@ def sketches(docs: DataFrame, words: int, limit: Threshold, frequent) -> DataFra
                 made = [pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, fingerprints(sets)), pa.array(map(point_of, sets), pa.binary()), pa.array(keys, pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["doc_id", "row_key", "n", "h1", "h2", "point", "keys"])
 
-    return docs.select("doc_id", "text", "row_key").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "text", "row_key").mapInArrow(lean(run), SKETCH)
 
 
 def unpacked(reps: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def unpacked(reps: DataFrame) -> DataFrame:
                 node, size = (np.repeat(batch.column(i).to_numpy(), many) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), np.int64)), pa.array(node), pa.array(size)], names=["key", "node", "size"])
 
-    return reps.select("node", "n", "keys").mapInArrow(run, "key long, node long, size long")
+    return reps.select("node", "n", "keys").mapInArrow(lean(run), "key long, node long, size long")
 
 
 class RForest:
@@ -327,7 +327,7 @@ def bounded(pairs: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
             keep = pa.array(bound >= limit.needed(sizes[first], sizes[first + t.num_rows]))
             yield pa.RecordBatch.from_arrays([col("a").filter(keep), col("b").filter(keep)], names=["a", "b"])
 
-    return sized.mapInArrow(run, "a long, b long")
+    return sized.mapInArrow(lean(run), "a long, b long")
 
 
 def set_values(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -354,7 +354,7 @@ def set_values(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["node", "value"])
 
     found = docs.join(wanted.hint("shuffle_merge"), "row_key").select("text", "node", "n", "h1", "h2")
-    return materialise(found.mapInArrow(run, "node long, value binary"), "set-values")
+    return materialise(found.mapInArrow(lean(run), "node long, value binary"), "set-values")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
@@ -382,7 +382,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, lim
                 yield pa.RecordBatch.from_arrays([t.column(t.schema.get_field_index(c)).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    out = materialise(joined.mapInArrow(run, "a long, b long").distinct(), "similar-pairs")
+    out = materialise(joined.mapInArrow(lean(run), "a long, b long").distinct(), "similar-pairs")
     discard(values)
     return out
 
@@ -437,12 +437,13 @@ def across(blocks: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
             if cut >= GATHERED:
                 yield settle(held.slice(0, cut).combine_chunks())
                 held = held.slice(cut)
+                release()
         if held is not None and held.num_rows:
             yield settle(held.combine_chunks())
 
     parts = max(8, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = placed.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk", "node")
-    return dealt.mapInArrow(search, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(search), "a long, b long").distinct()
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lean, materialise
 
 #: Tokens of a sequence, tokens of a histogram bin, and the id that ends a document.
 LENGTH, BIN, END = 4096, 16, 2
@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, file: str, length: int = LENGTH, end: int = END) ->
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 6)], schema=kinds)
 
     # the key tells rows of equal ids apart, in the order of ranks
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("doc_key")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("doc_key")).mapInArrow(lean(run), PIECES)
 
 
 def best_pattern(prices, sizes, capacity: int):
@@ -262,7 +262,7 @@ def pack(docs: DataFrame, file: str, length: int = LENGTH, end: int = END, bin_s
     order = Window.partitionBy("bin", "salt").orderBy("doc_id", "doc_key", "start")
     joined = salted.join(before, ["bin", "salt"])
     ranked = joined.withColumn("rank", F.row_number().over(order) - 1 + F.coalesce("before", F.lit(0)))
-    placed = ranked.select("doc_id", "doc_key", "start", "length", "ids_crc32", "doc_tokens", "bin", "rank").mapInArrow(place, f"{PIECES}, sequence_id long")
+    placed = ranked.select("doc_id", "doc_key", "start", "length", "ids_crc32", "doc_tokens", "bin", "rank").mapInArrow(lean(place), f"{PIECES}, sequence_id long")
     within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "doc_key", "start").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 

@@ -20,7 +20,8 @@ and nothing is lost. The steps:
 5. Repeated offsets become byte intervals, which are merged within each text.
 
 Passages of words are found by the same steps on ``word_marks``, where each word is eight letters and
-``width`` bytes are ``WIDTH // MARK`` words; the corpus pipeline cuts both kinds, the query only bytes.
+``width`` bytes are ``width // MARK`` words. Marks are made where they are read, in the same pass as the
+bytes, so texts are moved once for both and a task needs one Python worker.
 
 Texts are bytes of UTF-8 and matches never cross texts; what is judged is the input, not what is
 left. Defined cases: null text is empty; texts shorter than ``width`` keep everything; repeated
@@ -37,12 +38,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, salted_join
+from .common import discard, lean, materialise, release, salted_join
 
 #: Bytes of a repeated string, and of the core that selects suffixes; their difference is the slack.
 WIDTH, CORE = 400, 300
-#: Letters that stand for a word in ``word_marks``; ``WIDTH`` of them are a passage of 50 words.
-MARK = 8
+#: Letters that stand for a word in ``word_marks``; ``WIDTH`` of them are a passage of 50 words, with the spaces
+#: between them ``LEAST`` bytes or more.
+MARK, LEAST = 8, 2 * (WIDTH // 8) - 1
 #: Different contexts of one core that are merged in one task; the windows of cores with more are counted.
 HOT = 4096
 #: Suffixes that one merge is meant to hold.
@@ -104,49 +106,47 @@ def word_bounds(data, offsets):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_marks(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text, row_key) of the rows with ``width // MARK`` words or more; as text ``MARK`` letters for each
-    word, its fingerprint's last 48 bits, without white space: equal windows of these are equal passages of words."""
+def word_marks(column):
+    """Of a text column ``MARK`` letters for each word, its fingerprint's last 48 bits, without white space, and the
+    offsets of its rows: equal windows of these are equal passages of words."""
+    import numpy as np
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+    from .bytehash import Prefix, bytes_of
 
-        from .bytehash import Prefix, bytes_of, slices
+    letters = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+    shifts = np.arange(0, 6 * MARK, 6, dtype=np.uint64)
+    data, offsets = bytes_of(column)
+    starts, ends, first = word_bounds(data, offsets)
+    marks = letters[((Prefix(data).of(starts, ends)[:, None] >> shifts) & np.uint64(63)).astype(np.uint8)]
+    return marks.reshape(-1), (first * MARK).astype(np.int64)
 
-        letters = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-        shifts = np.arange(0, 6 * MARK, 6, dtype=np.uint64)
-        for whole in batches:
-            for batch in slices(whole, 1):
-                data, offsets = bytes_of(batch.column(1))
-                starts, ends, first = word_bounds(data, offsets)
-                made = letters[((Prefix(data).of(starts, ends)[:, None] >> shifts) & np.uint64(63)).astype(np.uint8)].tobytes()
-                marks = pa.LargeStringArray.from_buffers(batch.num_rows, pa.py_buffer((first * MARK).astype(np.int64).tobytes()), pa.py_buffer(made)).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), marks, batch.column(2)], names=["doc_id", "text", "row_key"]).filter(pa.array(np.diff(first) * MARK >= width))
 
-    return docs.select("doc_id", "text", "row_key").mapInArrow(run, "doc_id long, text string, row_key long")
+def _even(key: str = "row_key"):
+    return F.shiftleft(F.shiftright(key, 1), 1)
 
 
-def samples(docs: DataFrame, width: int, core: int) -> DataFrame:
-    """One row for each kept suffix of (doc_id, text, row_key)."""
+def samples(docs: DataFrame, width: int, core: int, words: bool = False) -> DataFrame:
+    """One row for each kept suffix of (doc_id, text, row_key); with ``words`` also of the texts' marks, whose
+    ``row_key`` is the odd one above the text's even one."""
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         from .bytehash import bytes_of, slices
 
         for whole in batches:
             for batch in slices(whole, 1):
-                data, offsets = bytes_of(batch.column(1))
-                rows, pos, h, c, left, right = kept_suffixes(data, offsets, width, core)
-                if len(rows):
-                    take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h, pa.int64()), pa.array(c, pa.int64()), batch.column(0).take(take), batch.column(2).take(take), pa.array(pos.astype("int32")), pa.array(left.astype("int32")), pa.array(right.astype("int32"))],
-                        names=["core", "context", "doc_id", "row_key", "pos", "left", "right"],
-                    )
+                for odd, read in enumerate((bytes_of, word_marks) if words else (bytes_of,)):
+                    rows, pos, h, c, left, right = kept_suffixes(*read(batch.column(1)), width, core)
+                    if len(rows):
+                        keys = pa.array(batch.column(2).to_numpy()[rows] | np.int64(odd))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(h, pa.int64()), pa.array(c, pa.int64()), batch.column(0).take(pa.array(rows)), keys, pa.array(pos.astype("int32")), pa.array(left.astype("int32")), pa.array(right.astype("int32"))],
+                            names=["core", "context", "doc_id", "row_key", "pos", "left", "right"],
+                        )
 
-    return docs.select("doc_id", "text", "row_key").mapInArrow(run, SAMPLES)
+    return docs.select("doc_id", "text", "row_key").mapInArrow(lean(run), SAMPLES)
 
 
 def front_code(run: list[bytes]) -> bytes:
@@ -341,9 +341,10 @@ def by_merge(strings: DataFrame, width: int, core: int, parts: int) -> DataFrame
                 settle()
             group.append((s, shared))
         settle()
+        release()
         return pd.DataFrame(rows, columns=["core", "context", "spans"])
 
-    runs = strings.mapInArrow(make_runs, "part int, run binary")
+    runs = strings.mapInArrow(lean(make_runs), "part int, run binary")
     return runs.repartition(parts, "part").groupBy("part").applyInPandas(merge, SPANS)
 
 
@@ -369,7 +370,7 @@ def by_windows(strings: DataFrame, width: int, core: int) -> DataFrame:
     import pyarrow as pa
 
     kinds = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("o", pa.int32()), ("weight", pa.int32()), ("w", pa.binary())])
-    windows = strings.mapInArrow(run, "core long, context long, o int, weight int, w binary")
+    windows = strings.mapInArrow(lean(run), "core long, context long, o int, weight int, w binary")
     shared = materialise(windows.groupBy("core", "o", "w").agg(F.sum("weight").alias("n")).filter("n > 1"), "suffix-windows")
     return salted_join(windows.drop("weight"), shared, ["core", "o", "w"], ["context"]).groupBy("core", "context").agg(runs_of(F.array_sort(F.collect_set("o"))).alias("spans"))
 
@@ -380,23 +381,26 @@ def with_side(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds ``row_key``, a hash of id and text, by which rows without an id are told apart as well; their
+    """Adds ``row_key``, an even hash of id and text, by which rows without an id are told apart as well; their
     ``doc_id`` becomes 0 here."""
     key = F.xxhash64(F.col("doc_id").cast("long"), "text")
-    return docs.withColumn("row_key", key).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    return docs.withColumn("row_key", key).withColumn("row_key", _even()).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
 
 
-def repeated_intervals(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT) -> DataFrame:
-    """(doc_id, row_key, intervals) of (doc_id, text, row_key): byte ranges to remove, unmerged."""
+def repeated_intervals(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT, words: bool = False) -> DataFrame:
+    """(doc_id, row_key, intervals) of (doc_id, text, row_key): byte ranges to remove, unmerged; with ``words`` also
+    ``passages``, the same ranges of the texts' marks."""
     slack = width - core
-    all_samples = samples(docs, width, core)
+    all_samples = samples(docs, width, core, words)
     cores = materialise(all_samples.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-cores")
     shared = materialise(salted_join(all_samples, cores, ["core"], ["doc_id", "row_key", "pos"]), "suffix-shared")
     discard(cores)
     contexts = materialise(shared.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "pos", "left", "right")).alias("rep")), "suffix-contexts")
     sizes = materialise(contexts.groupBy("core").agg(F.count("*").alias("n")).withColumn("hot", F.col("n") > hot), "suffix-sizes")
     wanted = salted_join(contexts.select("core", "context", (F.col("n") > 1).cast("int").alias("many"), "rep"), sizes, ["core"], ["context"]).select("core", "context", "many", "hot", "rep.*")
-    by_row = materialise(wanted.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("core", "context", "many", "hot", "pos", "left", "right")).alias("reps")), "suffix-reps")
+    odd = F.col("row_key").bitwiseAND(F.lit(1)) == 1
+    wanted = wanted.withColumn("odd", odd).withColumn("row_key", _even())
+    by_row = materialise(wanted.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("core", "context", "many", "hot", "pos", "left", "right", "odd")).alias("reps")), "suffix-reps")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -408,9 +412,10 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, core: int = CORE, ho
             for text, key, reps in zip(*(batch.column(i) for i in range(3)), strict=True):
                 if key == last:
                     continue
-                last, raw = key, (text.as_py() or "").encode()
-                for r in reps.as_py():
-                    p = r["pos"]
+                last, own, reps = key, (text.as_py() or "").encode(), reps.as_py()
+                marks = word_marks(pa.array([own.decode()]))[0].tobytes() if any(r["odd"] for r in reps) else b""
+                for r in reps:
+                    p, raw = r["pos"], marks if r["odd"] else own
                     rows.append({"core": r["core"], "context": r["context"], "many": r["many"], "hot": r["hot"], "tail": raw[p + core : p + r["right"]], "before": raw[p - r["left"] : p]})
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_pylist(rows, schema=kinds)
@@ -418,7 +423,7 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, core: int = CORE, ho
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    strings = with_side(docs, by_row, "inner").select("text", "row_key", "reps").mapInArrow(cut, "core long, context long, many int, hot boolean, tail binary, before binary")
+    strings = with_side(docs, by_row, "inner").select("text", "row_key", "reps").mapInArrow(lean(cut), "core long, context long, many int, hot boolean, tail binary, before binary")
     strings = materialise(strings, "suffix-strings")
     discard(by_row)
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-contexts.count() // MERGED))
@@ -432,8 +437,9 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, core: int = CORE, ho
     spans = F.when(F.col("many"), whole).otherwise(F.col("spans"))
     runs = found.select("doc_id", "row_key", "pos", F.explode(spans).alias("s"))
     # windows from pos - high to pos - low, each of `width` bytes, cover one interval
-    cover = runs.select("doc_id", "row_key", (F.col("pos") - F.col("s.high")).alias("start"), (F.col("pos") - F.col("s.low") + width).alias("end"))
-    return cover.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("intervals"))
+    cover = runs.select("doc_id", _even().alias("row_key"), odd.alias("odd"), F.struct((F.col("pos") - F.col("s.high")).alias("start"), (F.col("pos") - F.col("s.low") + width).alias("end")).alias("s"))
+    of = lambda kind, name: F.array_sort(F.collect_set(F.when(kind, F.col("s")))).alias(name)
+    return cover.groupBy("doc_id", "row_key").agg(of(~F.col("odd"), "intervals"), *([of(F.col("odd"), "passages")] if words else []))
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT) -> DataFrame:
@@ -465,7 +471,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT)
                     rows.append({"doc_id": doc_id, "n_bytes": len(raw), "n_removed": removed, "n_spans": n, "kept": left, "text": None if text is None else left.decode("utf-8", "ignore")})
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return with_side(docs, intervals, "left").select(F.col("own_id").cast("long").alias("doc_id"), "text", "intervals").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string")
+    return with_side(docs, intervals, "left").select(F.col("own_id").cast("long").alias("doc_id"), "text", "intervals").mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import held_out, lean
 
 #: Labelled rows of each label that training reads at most.
 SAMPLE = 2500
@@ -232,7 +232,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
                 scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, bias + a * x + b * y)))) for x, y, _ in made]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([n for _, _, n in made], pa.int64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
