@@ -7,8 +7,6 @@ are cut out of the texts, personal data is replaced by pseudonyms, and the rest
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,23 +44,6 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.dropDuplicates(["row_key", "doc_id"]).select(*COLUMNS)
 
 
-def _merged(spans) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
-    return out
-
-
-def _words_cut(raw: bytes, marked) -> list[tuple[int, int]]:
-    """Byte ranges of the passages whose marks are given: from a first word to a last one."""
-    words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
-    whole = ((-(-start // suffix_dedup.MARK), end // suffix_dedup.MARK) for start, end in _merged(marked))
-    return [(words[a][0], words[b - 1][1]) for a, b in whole if a < b]
-
-
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes bytes of strings of 400 bytes that also start elsewhere, and passages of 50 words or more that also
     stand elsewhere, however many bytes they have and whatever white space parts them; a sign that is cut through
@@ -80,12 +61,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             texts = []
             for text, found, marked in zip(*(batch.column(i).to_pylist() for i in (1, 5, 6)), strict=True):
                 if text and (found or marked):
-                    raw, kept, at = text.encode(), [], 0
+                    raw = text.encode()
                     ends = lambda spans: [(s["start"], s["end"]) for s in spans or ()]
-                    for start, end in _merged(ends(found) + (_words_cut(raw, ends(marked)) if marked else [])):
-                        kept.append(raw[at:start])
-                        at = end
-                    text = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
+                    spans = suffix_dedup.merged(ends(found) + (suffix_dedup.words_cut(raw, ends(marked)) if marked else []))
+                    text = suffix_dedup.without(raw, spans).decode("utf-8", "ignore")
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *[batch.column(i) for i in (2, 3, 4)]], names=COLUMNS)
 

@@ -33,6 +33,7 @@ empty tables give an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -49,6 +50,10 @@ MARK, LEAST = 8, 2 * (WIDTH // 8) - 1
 HOT = 4096
 #: Suffixes that one merge is meant to hold.
 MERGED = 200_000
+#: Cores are the least fingerprints of their windows, so nearly all lie in one end of the range: times ``SPREAD``
+#: modulo 2**64, which its inverse undoes, they fill it, and ranges of them are parts of like size.
+SPREAD = 0x9E3779B97F4A7C15
+UNSPREAD = pow(SPREAD, -1, 2**64)
 
 #: Ends a tail in the sorted strings. No byte of UTF-8 is as large, so a tail that the end of its text
 #: cuts short comes behind all that extend it, never between two of them, whatever its left bytes are.
@@ -312,7 +317,7 @@ def by_merge(strings: DataFrame, width: int, core: int, parts: int) -> DataFrame
 
         for batch in batches:
             for h, c, many, tail, left in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("core", "context", "many", "tail", "before")), strict=True):
-                key = h + 2**63  # order of signed numbers, so ranges of cores are ranges of strings
+                key = h * SPREAD % 2**64  # ranges of these are ranges of strings
                 s = key.to_bytes(8, "big") + tail + END + left + bytes([many]) + c.to_bytes(8, "little", signed=True) + len(tail).to_bytes(2, "little") + len(left).to_bytes(2, "little")
                 held.setdefault(key * parts >> 64, []).append(s)
                 size += len(s)
@@ -333,7 +338,8 @@ def by_merge(strings: DataFrame, width: int, core: int, parts: int) -> DataFrame
                 found = repeated_offsets(group, width, core)
                 for k in np.flatnonzero(found.any(1)):
                     s = group[k][0]
-                    rows.append((int.from_bytes(s[:8], "big") - 2**63, int.from_bytes(s[-12:-4], "little", signed=True), spans_of(found[k])))
+                    own = int.from_bytes(s[:8], "big") * UNSPREAD % 2**64
+                    rows.append((own - (own >> 63 << 64), int.from_bytes(s[-12:-4], "little", signed=True), spans_of(found[k])))
             group.clear()
 
         for s, shared in LoserTree([decode_front(r) for r in runs.run]):
@@ -442,41 +448,66 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, core: int = CORE, ho
     return cover.groupBy("doc_id", "row_key").agg(of(~F.col("odd"), "intervals"), *([of(F.col("odd"), "passages")] if words else []))
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, text) of (doc_id, text): the kept bytes, and as text
-    without the signs that a cut goes through."""
+def merged(spans) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+def words_cut(raw: bytes, marked) -> list[tuple[int, int]]:
+    """Byte ranges of the passages whose marks are given: from a first word to a last one."""
+    words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    whole = ((-(-start // MARK), end // MARK) for start, end in merged(marked))
+    return [(words[a][0], words[b - 1][1]) for a, b in whole if a < b]
+
+
+def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The bytes outside merged spans."""
+    kept, at = [], 0
+    for start, end in spans:
+        kept.append(raw[at:start])
+        at = end
+    return b"".join([*kept, raw[at:]])
+
+
+def dedup(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT, passages: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, n_cut, text) of (doc_id, text): the kept bytes, and as text what is
+    left without the signs that a cut goes through. With ``passages`` the text, and ``n_cut``, the bytes that went from
+    it, are also without passages of ``width // MARK`` words or more that stand elsewhere, whatever their bytes."""
     docs = keyed(docs.select(F.col("doc_id").alias("own_id"), "doc_id", "text"))
-    narrow = docs.filter(F.octet_length("text") >= width).select("doc_id", "text", "row_key")
-    intervals = materialise(repeated_intervals(narrow, width, core, hot), "suffix-intervals")
+    least = min(width, 2 * (width // MARK) - 1) if passages else width
+    narrow = docs.filter(F.octet_length("text") >= least).select("doc_id", "text", "row_key")
+    intervals = materialise(repeated_intervals(narrow, width, core, hot, passages), "suffix-intervals")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("text", pa.string())])
+        kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("n_cut", pa.int64()), ("text", pa.string())])
+        ends = lambda spans: [(s["start"], s["end"]) for s in spans or ()]
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 rows = []
-                for doc_id, text, spans in zip(*(whole.column(i).slice(k, 512).to_pylist() for i in range(3)), strict=True):
+                for doc_id, text, found, marked in zip(*(whole.column(i).slice(k, 512).to_pylist() for i in range(4)), strict=True):
                     raw = (text or "").encode()
-                    kept, at, removed, n = [], 0, 0, 0
-                    for s in spans or ():
-                        if s["start"] > at or not n:
-                            kept.append(raw[at : s["start"]])
-                            n += 1
-                            at = s["start"]
-                        if s["end"] > at:
-                            removed += s["end"] - at
-                            at = s["end"]
-                    left = b"".join([*kept, raw[at:]])
-                    rows.append({"doc_id": doc_id, "n_bytes": len(raw), "n_removed": removed, "n_spans": n, "kept": left, "text": None if text is None else left.decode("utf-8", "ignore")})
+                    spans = merged(ends(found))
+                    left = without(raw, spans)
+                    rest = without(raw, merged(spans + words_cut(raw, ends(marked)))) if marked else left
+                    rows.append({"doc_id": doc_id, "n_bytes": len(raw), "n_removed": len(raw) - len(left), "n_spans": len(spans), "kept": left, "n_cut": len(raw) - len(rest), "text": None if text is None else rest.decode("utf-8", "ignore")})
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return with_side(docs, intervals, "left").select(F.col("own_id").cast("long").alias("doc_id"), "text", "intervals").mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string")
+    marked = F.col("passages") if passages else F.lit(None).cast("array<struct<start int, end int>>")
+    joined = with_side(docs, intervals, "left").select(F.col("own_id").cast("long").alias("doc_id"), "text", "intervals", marked.alias("passages"))
+    return joined.mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_cut long, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
 
-    out = dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    # beside the digests, the real output: what is left as text, and whether anything went
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).cast("int").alias("cut"), "text")
+    out = dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), passages=True)
+    # the digests are of strings of WIDTH bytes alone; beside them, the real output: the text that is left when passages
+    # of 50 words or more go as well, and whether anything went
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_cut") > 0).cast("int").alias("cut"), "n_cut", "text")

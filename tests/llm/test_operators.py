@@ -292,6 +292,36 @@ def test_suffix_dedup_query(spark, tmp_path):
     assert suffix_dedup.query(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_suffix_dedup_query_finds_passages_of_words(spark, tmp_path):
+    """Passages of over 50 words with fewer bytes than WIDTH go from the text, and the digests stay those of strings."""
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    long, short = text(56), text(49)
+    assert len(long) < suffix_dedup.WIDTH
+    texts = [f"<{i}> {text(30)} {[long, short][i % 2]} <{i}> {text(9)}" for i in range(6)] + [None, "", long, text(200)]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffix_dedup.query(spark, str(tmp_path)).collect()}
+    for i, (t, digests) in enumerate(zip(texts, spans_by_hand(texts, 400), strict=True)):
+        gone = t is not None and long in t
+        assert tuple(got[i])[1:5] == digests and got[i].n_removed == 0
+        assert got[i].text == (t.replace(long, "") if gone else t) and got[i].cut == int(gone) and got[i].n_cut == len(long) * gone
+
+
+def test_suffix_parts_are_of_like_size():
+    from stratalens.llm.bytehash import bytes_of
+
+    rng, parts = np.random.default_rng(3), 16
+    import pyarrow as pa
+
+    texts = pa.array(["".join(map(chr, rng.integers(97, 123, 40_000)))])
+    cores = suffix_dedup.kept_suffixes(*bytes_of(texts), 400, 300)[2]
+    many = np.bincount([int(h) * suffix_dedup.SPREAD % 2**64 * parts >> 64 for h in cores], minlength=parts)
+    assert len(cores) > 500 and many.max() < 2 * len(cores) / parts
+    assert all(int(h) * suffix_dedup.SPREAD * suffix_dedup.UNSPREAD % 2**64 == int(h) % 2**64 for h in cores)
+    assert np.bincount([(int(h) + 2**63) * parts >> 64 for h in cores]).max() > 0.5 * len(cores)  # without it
+
+
 def test_suffix_dedup_of_a_tail_cut_short(spark):
     # slack 24: K's text ends behind the core and one byte; its left bytes begin where A and B differ
     rng = random.Random(9)
