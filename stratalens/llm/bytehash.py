@@ -38,12 +38,13 @@ def powers(size: int):
 
 
 class Prefix:
-    """Prefix sums over a byte array; ``of(start, end)`` is the fingerprint of bytes[start:end]."""
+    """Prefix sums over a byte array, or over the ``values`` of larger letters; ``of(start, end)`` is the fingerprint of
+    bytes[start:end]."""
 
-    def __init__(self, data):
+    def __init__(self, data, values: bool = False):
         up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum((data if values else BYTE_VALUES[data]) * up[: len(data)], out=self.sums[1:])
 
     def of(self, start, end):
         return mix((self.sums[end] - self.sums[start]) * self.down[start])

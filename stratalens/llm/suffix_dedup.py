@@ -17,11 +17,11 @@ and nothing is lost. The steps:
    more than ``HOT`` different contexts would not fit one merge, and ranges of its tails would not do,
    since windows with few bytes behind the core pair all of them; the windows of such cores are
    counted by 128-bit fingerprints instead, which pre-aggregates, with equal results.
-5. Repeated offsets become byte intervals, which are merged within each text.
+5. Repeated offsets become byte intervals, which are sorted by text and joined where they meet.
 
 Passages of words are found by the same steps on ``word_marks``, where each word is eight letters and
-``width`` bytes are ``width // MARK`` words. Marks are made where they are read, in the same pass as the
-bytes, so texts are moved once for both and a task needs one Python worker.
+``width`` bytes are ``width // MARK`` words; suffixes are kept at whole words only. Words are read in the same pass as
+the bytes, so texts are moved once for both and a task needs one Python worker.
 
 Texts are bytes of UTF-8 and matches never cross texts; what is judged is the input, not what is
 left. Defined cases: null text is empty; texts shorter than ``width`` keep everything; repeated
@@ -59,43 +59,83 @@ UNSPREAD = pow(SPREAD, -1, 2**64)
 #: cuts short comes behind all that extend it, never between two of them, whatever its left bytes are.
 END = b"\xff"
 
-SAMPLES = "core long, context long, doc_id long, row_key long, pos int, left int, right int"
+#: ``place`` is a suffix's position with the bytes of context to its left and right, of 12 bits each.
+SAMPLES = "core long, context long, doc_id long, row_key long, place long"
 
 
-def kept_suffixes(data, offsets, width: int, core: int):
-    """Rows and positions of the minimizers of a batch of texts, with core and context fingerprints."""
+def least_of_windows(h, offsets, span: int, several: int):
+    """Positions whose fingerprint is the least of ``several`` neighbours in some window of ``span`` units that lies in
+    one text. Their upper halves are compared; of equal ones all are kept, so equal windows keep equal positions."""
     import numpy as np
 
-    from .bytehash import Prefix, mix
+    def sliding(x, f):
+        """f over neighbours, by doubling."""
+        size = 1
+        while 2 * size <= several:
+            x = f(x[:-size], x[size:])
+            size *= 2
+        return f(x[: len(x) - (several - size)], x[several - size :]) if several > size else x
+
+    key = np.maximum((h >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+    least = sliding(key, np.minimum)  # by the window's start
+    edges = np.zeros(int(offsets[-1]) + 1, np.int32)
+    np.add.at(edges, np.maximum(offsets[1:] - span + 1, offsets[:-1]), 1)
+    np.add.at(edges, offsets[1:], -1)
+    least[np.cumsum(edges)[: len(least)] > 0] = 0  # such windows do not fit
+    padded = np.zeros(len(least) + 2 * (several - 1), np.uint32)
+    padded[several - 1 : several - 1 + len(least)] = least
+    return np.flatnonzero(sliding(padded, np.maximum) == key)
+
+
+def kept_suffixes(data, offsets, width: int, core: int, prefix=None, cores_only: bool = False):
+    """Rows and positions of the minimizers of a batch of texts, with core and context fingerprints; their cores alone
+    with ``cores_only``."""
+    import numpy as np
+
+    from .bytehash import Prefix
 
-    slack = width - core
-    n = len(data)
     none = np.zeros(0, np.int64)
-    if n < width:
-        return none, none, none, none, none, none
-    prefix = Prefix(data)
+    if len(data) < width:
+        return none if cores_only else (none,) * 6
+    prefix = prefix or Prefix(data)
     h = prefix.all_of(core)
-    ends = np.repeat(offsets[1:], np.diff(offsets))
+    at = least_of_windows(h, offsets, width, width - core + 1)
+    cores = h[at].view(np.int64)
+    return cores if cores_only else _placed(prefix, offsets, at, cores, width - core, width)
+
+
+def _placed(prefix, offsets, at, cores, slack: int, width: int):
+    import numpy as np
+
+    from .bytehash import mix
 
-    def sliding(x, f):
-        """f over slack + 1 neighbours, by doubling."""
-        span, total = 1, slack + 1
-        while 2 * span <= total:
-            x = f(x[:-span], x[span:])
-            span *= 2
-        return f(x[: len(x) - (total - span)], x[total - span :]) if total > span else x
-
-    least = sliding(h, np.minimum)  # by the window's start
-    starts = np.arange(len(least))
-    least = np.where(starts + width <= ends[: len(least)], least, np.uint64(0))
-    padded = np.concatenate([np.zeros(slack, np.uint64), least, np.zeros(slack, np.uint64)])
-    most = sliding(padded, np.maximum)  # of the windows that hold the position
-    at = np.flatnonzero((most[: len(h)] == h) & (h != 0))
     rows = np.searchsorted(offsets, at, "right") - 1
     left = np.minimum(slack, at - offsets[rows])
     right = np.minimum(width, offsets[rows + 1] - at)
     context = mix(prefix.of(at - left, at + right) + left.astype(np.uint64) * np.uint64(1000003) + right.astype(np.uint64))
-    return rows, at - offsets[rows], h[at].view(np.int64), context.view(np.int64), left, right
+    return rows, at - offsets[rows], cores, context.view(np.int64), left, right
+
+
+def kept_words(data, offsets, width: int, core: int, prefix, cores_only: bool = False):
+    """The same for the texts' words, of ``MARK`` letters each, at whole words only: a core has the words that
+    ``core`` letters reach into. A passage begins and ends with whole words, so none is lost."""
+    import numpy as np
+
+    from .bytehash import Prefix
+
+    span, known = width // MARK, -(-core // MARK)
+    starts, ends, first = word_bounds(data, offsets)
+    none = np.zeros(0, np.int64)
+    if len(starts) < span:
+        return none if cores_only else (none,) * 6
+    words = Prefix(prefix.of(starts, ends), values=True)
+    h = words.all_of(known)
+    at = least_of_windows(h, first, span, span - known + 1)
+    cores = h[at].view(np.int64)
+    if cores_only:
+        return cores
+    rows, pos, cores, context, left, right = _placed(words, first, at, cores, (width - core) // MARK, span)
+    return rows, pos * MARK, cores, context, left * MARK, right * MARK
 
 
 def word_bounds(data, offsets):
@@ -130,28 +170,34 @@ def _even(key: str = "row_key"):
     return F.shiftleft(F.shiftright(key, 1), 1)
 
 
-def samples(docs: DataFrame, width: int, core: int, words: bool = False) -> DataFrame:
+def samples(docs: DataFrame, width: int, core: int, words: bool = False, cores_only: bool = False) -> DataFrame:
     """One row for each kept suffix of (doc_id, text, row_key); with ``words`` also of the texts' marks, whose
-    ``row_key`` is the odd one above the text's even one."""
+    ``row_key`` is the odd one above the text's even one. ``cores_only`` is for counting: only the cores are made."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        from .bytehash import bytes_of, slices
+        from .bytehash import Prefix, bytes_of, slices
 
         for whole in batches:
             for batch in slices(whole, 1):
-                for odd, read in enumerate((bytes_of, word_marks) if words else (bytes_of,)):
-                    rows, pos, h, c, left, right = kept_suffixes(*read(batch.column(1)), width, core)
-                    if len(rows):
-                        keys = pa.array(batch.column(2).to_numpy()[rows] | np.int64(odd))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(h, pa.int64()), pa.array(c, pa.int64()), batch.column(0).take(pa.array(rows)), keys, pa.array(pos.astype("int32")), pa.array(left.astype("int32")), pa.array(right.astype("int32"))],
-                            names=["core", "context", "doc_id", "row_key", "pos", "left", "right"],
-                        )
-
-    return docs.select("doc_id", "text", "row_key").mapInArrow(lean(run), SAMPLES)
+                data, offsets = bytes_of(batch.column(1))
+                prefix = Prefix(data)
+                made = [find(data, offsets, width, core, prefix, cores_only) for find in ((kept_suffixes, kept_words) if words else (kept_suffixes,))]
+                if cores_only:
+                    columns = [np.concatenate(made)]
+                else:
+                    own = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2)]
+                    rows, pos, h, c, left, right = (np.concatenate(x) for x in zip(*made, strict=True))
+                    odd = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
+                    columns = [h, c, own[0][rows], own[1][rows] | odd, pos << 24 | left << 12 | right]
+                if len(columns[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
+
+    schema = "core long" if cores_only else SAMPLES
+    names = [field.split()[0] for field in schema.split(", ")]
+    return docs.select("doc_id", "text", "row_key").mapInArrow(lean(run), schema)
 
 
 def front_code(run: list[bytes]) -> bytes:
@@ -177,13 +223,10 @@ def decode_front(block: bytes) -> Iterator[tuple[bytes, int]]:
 def common(a: bytes, b: bytes, start: int) -> int:
     """The length of the common prefix, of which ``start`` bytes are known."""
     end = min(len(a), len(b))
-    if a[start:end] == b[start:end]:
+    x, y = a[start:end], b[start:end]
+    if x == y:
         return end
-    low, high = start, end
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid)
-    return low
+    return end - ((int.from_bytes(x) ^ int.from_bytes(y)).bit_length() + 7 >> 3)  # whole bytes from the first difference on
 
 
 class LoserTree:
@@ -238,7 +281,7 @@ class LoserTree:
 def repeated_offsets(entries: list[tuple[bytes, int]], width: int, core: int):
     """Of merged suffixes (core, tail, left, context in one string) the repeated window offsets.
 
-    A string is 8 bytes of core, the bytes behind the core, ``END``, then left bytes and a fixed trailer, which begins
+    A string is 8 bytes of core, the bytes behind the core, ``END``, then left bytes and what ``TRAILER`` says, which begins
     with 1 for a string that counts as many; ``entries`` has them in order with common prefixes. Returns a boolean
     matrix by string and offset.
     """
@@ -246,22 +289,34 @@ def repeated_offsets(entries: list[tuple[bytes, int]], width: int, core: int):
 
     slack = width - core
     n = len(entries)
-    right = np.array([int.from_bytes(s[-4:-2], "little") for s, _ in entries])  # bytes behind the core
-    left = np.array([int.from_bytes(s[-2:], "little") for s, _ in entries])
-    many = np.array([s[-13] for s, _ in entries])
-    core_id = np.frombuffer(b"".join(s[:8] for s, _ in entries), ">u8")
-    shared = np.minimum(np.array([x for _, x in entries]) - 8, right)  # with the one before; negative: another core
+    trailer = np.frombuffer(b"".join([s[-13:] for s, _ in entries]), TRAILER)
+    right, left, many = trailer["right"].astype(np.int64), trailer["left"].astype(np.int64), trailer["many"].astype(np.int64)
+    shared = np.array([x for _, x in entries]) - 8  # with the one before; negative: another core
+    new = shared < 0
+    new[0] = True
+    cores = np.flatnonzero(new)
+    sizes = np.diff(np.append(cores, n))
+    offsets = np.arange(slack + 1)
+    # all windows of a string that counts as many
+    found = (many[:, None] > 0) & (offsets >= slack - right[:, None]) & (offsets <= left[:, None])
+    # others are compared with those of their core
+    of = np.repeat(np.arange(len(cores)), sizes)
+    open_ = np.flatnonzero(((sizes > 1) & (np.add.reduceat(1 - many, cores) > 0))[of])
+    m = len(open_)
+    if not m:
+        return found
+    many, right, left, of = many[open_], right[open_], left[open_], of[open_]
+    shared = np.where(new[open_], -1, np.minimum(shared[open_], right))
     shared[1:] = np.minimum(shared[1:], right[:-1])
-    lefts = [s[9 + r : 9 + r + w][::-1] for (s, _), r, w in zip(entries, right, left, strict=True)]  # nearest byte first
-    order = sorted(range(n), key=lambda i: (core_id[i], lefts[i]))
-    shared_left = np.full(n, -1)
-    for k in range(1, n):
-        i, j = order[k - 1], order[k]
-        if core_id[i] == core_id[j]:
-            shared_left[k] = common(lefts[i], lefts[j], 0)
-    found = np.zeros((n, slack + 1), bool)
+    lefts = []  # of each the core's number, then its left bytes, nearest first
+    for k, r, w, c in zip(open_.tolist(), right.tolist(), left.tolist(), of.tolist(), strict=True):
+        s = entries[k][0]
+        lefts.append(c.to_bytes(4) + s[9 + r : 9 + r + w][::-1])
+    order = sorted(range(m), key=lefts.__getitem__)
+    by_left = [lefts[k] for k in order]
+    shared_left = np.array([-1, *(common(a, b, 0) - 4 for a, b in zip(by_left, by_left[1:], strict=False))])
     order = np.array(order)
-    left_class = np.empty(n, np.int64)
+    left_class = np.empty(m, np.int64)
     for o in range(slack + 1):
         need = slack - o  # bytes behind the core that the window takes
         valid = np.flatnonzero((right >= need) & (left >= o))
@@ -269,89 +324,159 @@ def repeated_offsets(entries: list[tuple[bytes, int]], width: int, core: int):
             continue
         right_class = np.cumsum(shared < need) if need else np.cumsum(shared < 0)
         left_class[order] = np.cumsum(shared_left < o) if o else np.cumsum(shared_left < 0)
-        key = right_class[valid] * (n + 1) + left_class[valid]
-        _, where = np.unique(key, return_inverse=True)
-        found[valid, o] = np.bincount(where, 1 + many[valid])[where] > 1
+        key = right_class[valid] * (m + 1) + left_class[valid]
+        by = np.argsort(key)
+        first = np.flatnonzero(np.diff(key[by], prepend=-1))
+        count = np.add.reduceat(1 + many[valid][by], first)
+        found[open_[valid[by]], o] = np.repeat(count > 1, np.diff(np.append(first, len(by))))
     return found
 
 
-def spans_of(flags) -> list[dict]:
-    """Runs of true offsets as (low, high)."""
-    import numpy as np
-
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return [{"low": int(a), "high": int(b) - 1} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-
-
 def runs_of(offsets):
-    """The same from a column of sorted offsets."""
+    """Runs of a column of sorted offsets as (low, high)."""
     low = F.filter(offsets, lambda o: ~F.array_contains(offsets, o - 1))
     high = F.filter(offsets, lambda o: ~F.array_contains(offsets, o + 1))
     return F.zip_with(low, high, lambda a, b: F.struct(a.alias("low"), b.alias("high")))
 
 
-SPANS = "core long, context long, spans array<struct<low int, high int>>"
+#: Runs of repeated offsets of a context that ``n`` suffixes have.
+SPANS = "core long, context long, n long, low int, high int"
+#: What stands at the end of a sorted string; before it, ``n``.
+TRAILER = [("many", "u1"), ("context", "<i8"), ("right", "<u2"), ("left", "<u2")]
 
 
-def by_merge(strings: DataFrame, width: int, core: int, parts: int) -> DataFrame:
-    """Repeated offsets of mixed cores by front-coded runs and loser trees."""
+def as_strings(texts, reps, core: int, parts: int):
+    """Of a batch of texts and the kept suffixes that stand for contexts (core, context, n, hot, place, odd) the strings:
+    parts and strings to be merged, and rows (core, context, n, tail, before) of hot cores."""
+    import numpy as np
+
+    flat = reps.flatten()
+    of = {name: flat.field(k).to_numpy(zero_copy_only=False) for k, name in enumerate(x.name for x in flat.type)}
+    counts = np.diff(reps.offsets.to_numpy())
+    place = of["place"]
+    pos, left, right = place >> 24, (place >> 12) & 4095, place & 4095
+    trailer = np.zeros(len(place), [("n", "<i8"), *TRAILER])
+    trailer["n"], trailer["many"], trailer["context"], trailer["right"], trailer["left"] = of["n"], of["n"] > 1, of["context"], right - core, left
+    key = of["core"].view(np.uint64) * np.uint64(SPREAD)  # ranges of these are ranges of strings
+    part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).tolist()
+    heads, ends = key.astype(">u8").tobytes(), trailer.tobytes()
+    hot, odd, size = of["hot"].tolist(), of["odd"].tolist(), trailer.dtype.itemsize
+    low, mid, high = (pos - left).tolist(), pos.tolist(), (pos + right).tolist()
+    run, rows, k = [], [], 0
+    for row, count in enumerate(counts.tolist()):
+        if not count:
+            continue
+        own, marks = texts[row].as_py().encode(), None
+        for k in range(k, k + count):
+            raw = own
+            if odd[k]:
+                if marks is None:
+                    marks = word_marks(texts.slice(row, 1))[0].tobytes()
+                raw = marks
+            p = mid[k]
+            tail, before = raw[p + core : high[k]], raw[low[k] : p]
+            if hot[k]:
+                rows.append((int(of["core"][k]), int(of["context"][k]), int(of["n"][k]), tail, before))
+            else:
+                run.append((part[k], b"".join((heads[8 * k : 8 * k + 8], tail, END, before, ends[size * k : size * k + size]))))
+        k += 1
+    return run, rows
+
+
+RUNS = "part int, run binary, core long, context long, n long, tail binary, before binary"
+
 
-    def make_runs(batches: Iterator) -> Iterator:
+def make_runs(docs: DataFrame, core: int, parts: int) -> DataFrame:
+    """Sorted, front-coded runs of the strings of (text, row_key, reps), one for each part; strings of hot cores as rows."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
+        kinds = pa.schema([("part", pa.int32()), ("run", pa.binary()), *[(x, pa.int64()) for x in ("core", "context", "n")], ("tail", pa.binary()), ("before", pa.binary())])
         held: dict[int, list[bytes]] = {}
-        size = 0
+        size, last = 0, None
 
-        def out() -> Iterator:
-            rows, coded = [], 0
+        def coded() -> Iterator:
+            found, total = [], 0
             for part, run in held.items():
                 run.sort()
-                rows.append({"part": part, "run": front_code(run)})
-                coded += len(rows[-1]["run"])
-                if coded > 8 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("run", pa.binary())]))
-                    rows, coded = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("run", pa.binary())]))
+                found.append((part, front_code(run)))
+                run.clear()
+                total += len(found[-1][1])
+                if total > 8 << 20:
+                    yield batch_of(found)
+                    found, total = [], 0
+            if found:
+                yield batch_of(found)
             held.clear()
 
-        for batch in batches:
-            for h, c, many, tail, left in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("core", "context", "many", "tail", "before")), strict=True):
-                key = h * SPREAD % 2**64  # ranges of these are ranges of strings
-                s = key.to_bytes(8, "big") + tail + END + left + bytes([many]) + c.to_bytes(8, "little", signed=True) + len(tail).to_bytes(2, "little") + len(left).to_bytes(2, "little")
-                held.setdefault(key * parts >> 64, []).append(s)
-                size += len(s)
-            if size > 64 << 20:  # a run fits in memory
-                yield from out()
-                size = 0
-        yield from out()
+        def batch_of(found):
+            none = [pa.nulls(len(found), f.type) for f in list(kinds)[2:]]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary()), *none], schema=kinds)
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                keys = batch.column(1).to_numpy(zero_copy_only=False)
+                # repeated rows lie together; one of them gives the strings
+                fresh = np.flatnonzero(keys != np.concatenate([[~keys[0] if last is None else last], keys[:-1]]))
+                last = keys[-1]
+                batch = batch.take(pa.array(fresh))
+                if not batch.num_rows:
+                    continue
+                run, rows = as_strings(batch.column(0), batch.column(2), core, parts)
+                for part, s in run:
+                    held.setdefault(part, []).append(s)
+                    size += len(s)
+                for k in range(0, len(rows), 20_000):
+                    some = list(zip(*rows[k : k + 20_000], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(some[0]), f.type) for f in list(kinds)[:2]] + [pa.array(x, f.type) for x, f in zip(some, list(kinds)[2:], strict=True)], schema=kinds)
+                if size > 64 << 20:  # a run fits in memory
+                    yield from coded()
+                    size = 0
+        yield from coded()
+
+    return docs.select("text", "row_key", "reps").mapInArrow(lean(run), RUNS)
+
+
+def by_merge(runs: DataFrame, width: int, core: int, parts: int) -> DataFrame:
+    """Repeated offsets of mixed cores by front-coded runs and loser trees."""
 
     def merge(key, runs):
         import numpy as np
         import pandas as pd
 
-        rows: list[tuple] = []
+        made: list[list] = [[], [], [], [], []]
         group: list[tuple[bytes, int]] = []
 
         def settle() -> None:
             if group:
-                found = repeated_offsets(group, width, core)
-                for k in np.flatnonzero(found.any(1)):
-                    s = group[k][0]
-                    own = int.from_bytes(s[:8], "big") * UNSPREAD % 2**64
-                    rows.append((own - (own >> 63 << 64), int.from_bytes(s[-12:-4], "little", signed=True), spans_of(found[k])))
+                found = np.zeros((len(group), width - core + 3), np.int8)
+                found[:, 1:-1] = repeated_offsets(group, width, core)
+                edge = np.diff(found, axis=1)
+                row, low = np.nonzero(edge > 0)
+                high = np.nonzero(edge < 0)[1] - 1
+                end = np.frombuffer(b"".join([s[-21:] for s, _ in group]), [("n", "<i8"), *TRAILER])[row]
+                own = np.frombuffer(b"".join([s[:8] for s, _ in group]), ">u8")[row].astype(np.uint64) * np.uint64(UNSPREAD)
+                for column, values in zip(made, (own.view(np.int64), end["context"], end["n"], low, high), strict=True):
+                    column.append(values)
             group.clear()
 
+        last = None
         for s, shared in LoserTree([decode_front(r) for r in runs.run]):
+            if s == last:  # of a repeated row
+                continue
+            last = s
             if shared < 8 and len(group) > 8192:  # whole cores only
                 settle()
             group.append((s, shared))
         settle()
         release()
-        return pd.DataFrame(rows, columns=["core", "context", "spans"])
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+        return pd.DataFrame({name: np.concatenate([np.zeros(0, kind), *x]).astype(kind) for name, kind, x in zip(("core", "context", "n", "low", "high"), kinds, made, strict=True)})
 
-    runs = strings.mapInArrow(lean(make_runs), "part int, run binary")
-    return runs.repartition(parts, "part").groupBy("part").applyInPandas(merge, SPANS)
+    return runs.select("part", "run").repartition(parts, "part").groupBy("part").applyInPandas(merge, SPANS)
 
 
 def by_windows(strings: DataFrame, width: int, core: int) -> DataFrame:
@@ -363,10 +488,10 @@ def by_windows(strings: DataFrame, width: int, core: int) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for h, c, many, tail, left in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("core", "context", "many", "tail", "before")), strict=True):
+            for h, c, n, tail, left in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("core", "context", "n", "tail", "before")), strict=True):
                 for o in range(max(0, slack - len(tail)), len(left) + 1):
                     window = left[len(left) - o :] + tail[: slack - o]
-                    rows.append({"core": h, "context": c, "o": o, "weight": 1 + many, "w": hashlib.blake2b(window, digest_size=16).digest()})
+                    rows.append({"core": h, "context": c, "n": n, "o": o, "w": hashlib.blake2b(window, digest_size=16).digest()})
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_pylist(rows, schema=kinds)
                     rows = []
@@ -375,10 +500,12 @@ def by_windows(strings: DataFrame, width: int, core: int) -> DataFrame:
 
     import pyarrow as pa
 
-    kinds = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("o", pa.int32()), ("weight", pa.int32()), ("w", pa.binary())])
-    windows = strings.mapInArrow(lean(run), "core long, context long, o int, weight int, w binary")
-    shared = materialise(windows.groupBy("core", "o", "w").agg(F.sum("weight").alias("n")).filter("n > 1"), "suffix-windows")
-    return salted_join(windows.drop("weight"), shared, ["core", "o", "w"], ["context"]).groupBy("core", "context").agg(runs_of(F.array_sort(F.collect_set("o"))).alias("spans"))
+    kinds = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("n", pa.int64()), ("o", pa.int32()), ("w", pa.binary())])
+    windows = strings.select("core", "context", "n", "tail", "before").mapInArrow(lean(run), "core long, context long, n long, o int, w binary")
+    shared = materialise(windows.groupBy("core", "o", "w").agg(F.sum("n").alias("n")).filter("n > 1"), "suffix-windows")
+    found = salted_join(windows.withColumnRenamed("n", "own"), shared, ["core", "o", "w"], ["context"])
+    spans = found.groupBy("core", "context").agg(F.first("own").alias("n"), runs_of(F.array_sort(F.collect_set("o"))).alias("spans"))
+    return spans.select("core", "context", "n", F.inline("spans"))
 
 
 def with_side(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
@@ -393,59 +520,63 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row_key", key).withColumn("row_key", _even()).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
 
 
-def repeated_intervals(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT, words: bool = False) -> DataFrame:
-    """(doc_id, row_key, intervals) of (doc_id, text, row_key): byte ranges to remove, unmerged; with ``words`` also
-    ``passages``, the same ranges of the texts' marks."""
-    slack = width - core
-    all_samples = samples(docs, width, core, words)
-    cores = materialise(all_samples.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-cores")
-    shared = materialise(salted_join(all_samples, cores, ["core"], ["doc_id", "row_key", "pos"]), "suffix-shared")
-    discard(cores)
-    contexts = materialise(shared.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "pos", "left", "right")).alias("rep")), "suffix-contexts")
-    sizes = materialise(contexts.groupBy("core").agg(F.count("*").alias("n")).withColumn("hot", F.col("n") > hot), "suffix-sizes")
-    wanted = salted_join(contexts.select("core", "context", (F.col("n") > 1).cast("int").alias("many"), "rep"), sizes, ["core"], ["context"]).select("core", "context", "many", "hot", "rep.*")
-    odd = F.col("row_key").bitwiseAND(F.lit(1)) == 1
-    wanted = wanted.withColumn("odd", odd).withColumn("row_key", _even())
-    by_row = materialise(wanted.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("core", "context", "many", "hot", "pos", "left", "right", "odd")).alias("reps")), "suffix-reps")
+def united(covers: DataFrame) -> DataFrame:
+    """The ranges (doc_id, row_key, odd, start, end), joined where they meet: shuffled and sorted by row, then read once."""
 
-    def cut(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        kinds = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("many", pa.int32()), ("hot", pa.bool_()), ("tail", pa.binary()), ("before", pa.binary())])
-        last = None  # repeated rows lie together; one of them gives the strings
+        rest = [np.zeros(0, np.int64)] * 5  # the range that the next batch may go on
         for batch in batches:
-            rows = []
-            for text, key, reps in zip(*(batch.column(i) for i in range(3)), strict=True):
-                if key == last:
-                    continue
-                last, own, reps = key, (text.as_py() or "").encode(), reps.as_py()
-                marks = word_marks(pa.array([own.decode()]))[0].tobytes() if any(r["odd"] for r in reps) else b""
-                for r in reps:
-                    p, raw = r["pos"], marks if r["odd"] else own
-                    rows.append({"core": r["core"], "context": r["context"], "many": r["many"], "hot": r["hot"], "tail": raw[p + core : p + r["right"]], "before": raw[p - r["left"] : p]})
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+            if not batch.num_rows:
+                continue
+            doc, key, odd, start, end = (np.concatenate([r, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for r, c in zip(rest, batch.columns, strict=True))
+            row = np.ones(len(doc), bool)
+            row[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (odd[1:] != odd[:-1])
+            reach = np.maximum.accumulate((np.cumsum(row) << 33) + end) & ((1 << 33) - 1)  # of the row's ranges so far
+            new = row.copy()
+            new[1:] |= start[1:] > reach[:-1]
+            first = np.flatnonzero(new)
+            found = [doc[first], key[first], odd[first], start[first], reach[np.append(first[1:], len(doc)) - 1]]
+            rest = [x[-1:] for x in found]
+            if len(first) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in found], names=names)
+        if len(rest[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rest], names=names)
+
+    names = ["doc_id", "row_key", "odd", "start", "end"]
+    ordered = covers.select(*names).repartition("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key", "odd", "start")
+    return ordered.mapInArrow(lean(run), ", ".join(f"{x} long" for x in names))
 
-    strings = with_side(docs, by_row, "inner").select("text", "row_key", "reps").mapInArrow(lean(cut), "core long, context long, many int, hot boolean, tail binary, before binary")
-    strings = materialise(strings, "suffix-strings")
-    discard(by_row)
+
+def repeated_intervals(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT, words: bool = False) -> DataFrame:
+    """(doc_id, row_key, intervals) of (doc_id, text, row_key): byte ranges to remove, apart from each other; with
+    ``words`` also ``passages``, the same ranges of the texts' marks."""
+    cores = materialise(samples(docs, width, core, words, cores_only=True).groupBy("core").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-cores")
+    shared = materialise(salted_join(samples(docs, width, core, words), cores, ["core"], ["doc_id", "row_key", "place"]), "suffix-shared")
+    discard(cores)
+    contexts = materialise(shared.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "place")).alias("rep")), "suffix-contexts")
+    # at most one core for each `hot` contexts, so they can be broadcast
+    many = materialise(contexts.groupBy("core").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("core", F.lit(True).alias("hot")), "suffix-hot")
+    wanted = contexts.join(F.broadcast(many), "core", "left").select("core", "context", "n", F.coalesce("hot", F.lit(False)).alias("hot"), "rep.*")
+    odd = F.col("row_key").bitwiseAND(F.lit(1)) == 1
+    wanted = wanted.withColumn("odd", odd).withColumn("row_key", _even())
+    by_row = materialise(wanted.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("core", "context", "n", "hot", "place", "odd")).alias("reps")), "suffix-reps")
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-contexts.count() // MERGED))
-    spans = by_merge(strings.filter("not hot"), width, core, parts).unionByName(by_windows(strings.filter("hot"), width, core))
-    judged = materialise(spans.dropDuplicates(["core", "context"]).join(contexts.select("core", "context", "n", (F.col("n") > 1).alias("many")), ["core", "context"]), "suffix-judged")
-    for stored in (contexts, sizes, strings):
+    runs = materialise(make_runs(with_side(docs, by_row, "inner"), core, parts), "suffix-runs")
+    for stored in (contexts, many, by_row):
         discard(stored)
-    found = salted_join(shared, judged, ["core", "context"], ["doc_id", "row_key", "pos"])
-    # of a string that counts as many every window repeats: one run
-    whole = F.array(F.struct(F.greatest(F.lit(slack) - (F.col("right") - core), F.lit(0)).cast("int").alias("low"), F.col("left").alias("high")))
-    spans = F.when(F.col("many"), whole).otherwise(F.col("spans"))
-    runs = found.select("doc_id", "row_key", "pos", F.explode(spans).alias("s"))
+    spans = by_merge(runs.filter("part is not null"), width, core, parts).unionByName(by_windows(runs.filter("part is null"), width, core))
+    judged = materialise(spans, "suffix-judged")
+    discard(runs)
+    found = salted_join(shared, judged, ["core", "context"], ["doc_id", "row_key", "place"])
     # windows from pos - high to pos - low, each of `width` bytes, cover one interval
-    cover = runs.select("doc_id", _even().alias("row_key"), odd.alias("odd"), F.struct((F.col("pos") - F.col("s.high")).alias("start"), (F.col("pos") - F.col("s.low") + width).alias("end")).alias("s"))
-    of = lambda kind, name: F.array_sort(F.collect_set(F.when(kind, F.col("s")))).alias(name)
-    return cover.groupBy("doc_id", "row_key").agg(of(~F.col("odd"), "intervals"), *([of(F.col("odd"), "passages")] if words else []))
+    pos = F.shiftright("place", 24)
+    covers = found.select("doc_id", _even().alias("row_key"), odd.cast("long").alias("odd"), (pos - F.col("high")).alias("start"), (pos - F.col("low") + width).alias("end"))
+    span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    of = lambda kind, name: F.array_sort(F.collect_list(F.when(F.col("odd") == kind, span))).alias(name)
+    return united(covers).groupBy("doc_id", "row_key").agg(of(0, "intervals"), *([of(1, "passages")] if words else []))
 
 
 def merged(spans) -> list[tuple[int, int]]:

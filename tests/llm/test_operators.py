@@ -308,6 +308,76 @@ def test_suffix_dedup_query_finds_passages_of_words(spark, tmp_path):
         assert got[i].text == (t.replace(long, "") if gone else t) and got[i].cut == int(gone) and got[i].n_cut == len(long) * gone
 
 
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_suffix_dedup_of_words_against_brute_force(spark, hot):
+    rng = random.Random(8)
+    passage = [f"w{k}" for k in range(40)]
+    texts = []
+    for _ in range(40):
+        at = rng.randrange(30)
+        words = rng.choices("abc", k=rng.randrange(12)) + passage[at : at + rng.randrange(5, 25)] + rng.choices("abc", k=rng.randrange(30))
+        texts.append("".join(w + rng.choice([" ", "\n", "  "]) for w in words))
+    texts += [None, "", " ", "a b", texts[0], " ".join(passage)]
+    span = 8
+    split = [[m.span() for m in re.finditer(r"\S+", t or "")] for t in texts]
+    keys = [[t[a:b] for a, b in s] for t, s in zip(texts, split, strict=True)]
+    seen = collections.Counter(tuple(k[i : i + span]) for k in keys for i in range(len(k) - span + 1))
+    got = {r.doc_id: r for r in suffix_dedup.dedup(documents(spark, texts), width=8 * span, core=40, hot=hot, passages=True).collect()}
+    strings = brute_spans(texts, 8 * span)
+    cut = 0
+    for i, (t, s, k) in enumerate(zip(texts, split, keys, strict=True)):
+        gone = bytearray(len(t or ""))
+        hit = {x for j in range(len(k) - span + 1) if seen[tuple(k[j : j + span])] > 1 for x in range(j, j + span)}
+        for x in hit:  # with the white space between two words that go
+            a, b = s[x][0], s[x + 1][0] if x + 1 in hit else s[x][1]
+            gone[a:b] = b"\1" * (b - a)
+        raw = t or ""
+        for p in range(len(raw) - 8 * span + 1):
+            if sum((u or "").startswith(raw[p : p + 8 * span], q) for u in texts for q in range(len(u or ""))) > 1:
+                gone[p : p + 8 * span] = b"\1" * (8 * span)
+        assert got[i].text == (None if t is None else "".join(c for c, g in zip(t, gone, strict=True) if not g))
+        assert bytes(got[i].kept) == strings[i] and got[i].n_cut == sum(gone)
+        cut += got[i].n_cut > got[i].n_removed
+    assert cut > 5
+
+
+def test_suffixes_of_words_are_kept_at_whole_words(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    docs = spark.createDataFrame([(1, " ".join(words), 2)], "doc_id long, text string, row_key long")
+    made = suffix_dedup.samples(docs, 400, 300, words=True).filter("row_key = 3").select("core", "place").collect()
+    pos = sorted(r.place >> 24 for r in made)
+    assert not any(p % suffix_dedup.MARK for p in pos)
+    held = [p // suffix_dedup.MARK for p in pos]
+    assert all(any(i <= p and p + 38 <= i + 50 for p in held) for i in range(0, len(words) - 49))  # cores of 38 words in 50
+    counted = suffix_dedup.samples(docs, 400, 300, words=True, cores_only=True)
+    assert counted.columns == ["core"] and {r.core for r in made} < {r.core for r in counted.collect()}
+
+
+def test_repeated_offsets_against_brute_force():
+    rng, width, core = random.Random(12), 24, 14
+    slack = width - core
+    strings = set()
+    for k in range(400):
+        tail, left = (bytes(rng.choices(b"aab", k=rng.choice([slack, slack, rng.randrange(slack + 1)]))) for _ in range(2))
+        head = rng.randrange(60).to_bytes(8, "big")
+        many = bytes([rng.random() < 0.2])
+        strings.add(head + tail + suffix_dedup.END + left + many + k.to_bytes(8, "little") + len(tail).to_bytes(2, "little") + len(left).to_bytes(2, "little"))
+    run = sorted(strings)
+    found = suffix_dedup.repeated_offsets(list(suffix_dedup.decode_front(suffix_dedup.front_code(run))), width, core)
+    seen = collections.Counter()
+    windows = {}
+    for i, s in enumerate(run):
+        right = int.from_bytes(s[-4:-2], "little")
+        tail, left = s[8 : 8 + right], s[9 + right : -13]
+        for o in range(slack + 1):
+            if o <= len(left) and slack - o <= right:
+                windows[i, o] = (s[:8], o, left[len(left) - o :], tail[: slack - o])
+                seen[windows[i, o]] += 1 + s[-13]
+    assert all(found[i, o] == (seen.get(windows.get((i, o)), 0) > 1) for i in range(len(run)) for o in range(slack + 1))
+    assert found.any() and not found.all()
+
+
 def test_suffix_parts_are_of_like_size():
     from stratalens.llm.bytehash import bytes_of
 
