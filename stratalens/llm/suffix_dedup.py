@@ -39,7 +39,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lean, materialise, release, salted_join
+from .common import discard, lean, let, materialise, release, salted_join
 
 #: Bytes of a repeated string, and of the core that selects suffixes; their difference is the slack.
 WIDTH, CORE = 400, 300
@@ -195,6 +195,8 @@ def samples(docs: DataFrame, width: int, core: int, words: bool = False, cores_o
                 if len(columns[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
+    if words and width % MARK:
+        raise ValueError(f"passages need a width of whole words, of {MARK} letters each")
     schema = "core long" if cores_only else SAMPLES
     names = [field.split()[0] for field in schema.split(", ")]
     return docs.select("doc_id", "text", "row_key").mapInArrow(lean(run), schema)
@@ -333,9 +335,9 @@ def repeated_offsets(entries: list[tuple[bytes, int]], width: int, core: int):
 
 
 def runs_of(offsets):
-    """Runs of a column of sorted offsets as (low, high)."""
-    low = F.filter(offsets, lambda o: ~F.array_contains(offsets, o - 1))
-    high = F.filter(offsets, lambda o: ~F.array_contains(offsets, o + 1))
+    """Runs of sorted offsets, bound by ``let``, as (low, high)."""
+    low = F.filter(offsets, lambda o, i: (i == 0) | (F.get(offsets, i - 1) < o - 1))
+    high = F.filter(offsets, lambda o, i: (i == F.size(offsets) - 1) | (F.get(offsets, i + 1) > o + 1))
     return F.zip_with(low, high, lambda a, b: F.struct(a.alias("low"), b.alias("high")))
 
 
@@ -347,7 +349,8 @@ TRAILER = [("many", "u1"), ("context", "<i8"), ("right", "<u2"), ("left", "<u2")
 
 def as_strings(texts, reps, core: int, parts: int):
     """Of a batch of texts and the kept suffixes that stand for contexts (core, context, n, hot, place, odd) the strings:
-    parts and strings to be merged, and rows (core, context, n, tail, before) of hot cores."""
+    parts and strings to be merged, and rows (core, context, n, step, tail, before) of hot cores, whose windows lie
+    ``step`` letters apart."""
     import numpy as np
 
     flat = reps.flatten()
@@ -376,14 +379,14 @@ def as_strings(texts, reps, core: int, parts: int):
             p = mid[k]
             tail, before = raw[p + core : high[k]], raw[low[k] : p]
             if hot[k]:
-                rows.append((int(of["core"][k]), int(of["context"][k]), int(of["n"][k]), tail, before))
+                rows.append((int(of["core"][k]), int(of["context"][k]), int(of["n"][k]), MARK if odd[k] else 1, tail, before))
             else:
                 run.append((part[k], b"".join((heads[8 * k : 8 * k + 8], tail, END, before, ends[size * k : size * k + size]))))
         k += 1
     return run, rows
 
 
-RUNS = "part int, run binary, core long, context long, n long, tail binary, before binary"
+RUNS = "part int, run binary, core long, context long, n long, step int, tail binary, before binary"
 
 
 def make_runs(docs: DataFrame, core: int, parts: int) -> DataFrame:
@@ -393,7 +396,7 @@ def make_runs(docs: DataFrame, core: int, parts: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        kinds = pa.schema([("part", pa.int32()), ("run", pa.binary()), *[(x, pa.int64()) for x in ("core", "context", "n")], ("tail", pa.binary()), ("before", pa.binary())])
+        kinds = pa.schema([("part", pa.int32()), ("run", pa.binary()), *[(x, pa.int64()) for x in ("core", "context", "n")], ("step", pa.int32()), ("tail", pa.binary()), ("before", pa.binary())])
         held: dict[int, list[bytes]] = {}
         size, last = 0, None
 
@@ -488,10 +491,10 @@ def by_windows(strings: DataFrame, width: int, core: int) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for h, c, n, tail, left in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("core", "context", "n", "tail", "before")), strict=True):
-                for o in range(max(0, slack - len(tail)), len(left) + 1):
+            for h, c, n, step, tail, left in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in names), strict=True):
+                for o in range(max(0, slack - len(tail)), len(left) + 1, step):
                     window = left[len(left) - o :] + tail[: slack - o]
-                    rows.append({"core": h, "context": c, "n": n, "o": o, "w": hashlib.blake2b(window, digest_size=16).digest()})
+                    rows.append({"core": h, "context": c, "n": n, "step": step, "o": o, "w": hashlib.blake2b(window, digest_size=16).digest()})
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_pylist(rows, schema=kinds)
                     rows = []
@@ -500,12 +503,14 @@ def by_windows(strings: DataFrame, width: int, core: int) -> DataFrame:
 
     import pyarrow as pa
 
-    kinds = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("n", pa.int64()), ("o", pa.int32()), ("w", pa.binary())])
-    windows = strings.select("core", "context", "n", "tail", "before").mapInArrow(lean(run), "core long, context long, n long, o int, w binary")
+    names = ["core", "context", "n", "step", "tail", "before"]
+    kinds = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("n", pa.int64()), ("step", pa.int32()), ("o", pa.int32()), ("w", pa.binary())])
+    windows = strings.select(*names).mapInArrow(lean(run), "core long, context long, n long, step int, o int, w binary")
     shared = materialise(windows.groupBy("core", "o", "w").agg(F.sum("n").alias("n")).filter("n > 1"), "suffix-windows")
     found = salted_join(windows.withColumnRenamed("n", "own"), shared, ["core", "o", "w"], ["context"])
-    spans = found.groupBy("core", "context").agg(F.first("own").alias("n"), runs_of(F.array_sort(F.collect_set("o"))).alias("spans"))
-    return spans.select("core", "context", "n", F.inline("spans"))
+    steps = found.groupBy("core", "context").agg(F.first("own").alias("n"), F.first("step").alias("step"), F.collect_set((F.col("o") / F.col("step")).cast("int")).alias("o"))
+    spans = steps.withColumn("spans", let(F.array_sort("o"), runs_of))
+    return spans.select("core", "context", "n", "step", F.inline("spans")).select("core", "context", "n", *[(F.col(x) * F.col("step")).alias(x) for x in ("low", "high")])
 
 
 def with_side(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:

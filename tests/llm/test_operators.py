@@ -352,6 +352,8 @@ def test_suffixes_of_words_are_kept_at_whole_words(spark):
     assert all(any(i <= p and p + 38 <= i + 50 for p in held) for i in range(0, len(words) - 49))  # cores of 38 words in 50
     counted = suffix_dedup.samples(docs, 400, 300, words=True, cores_only=True)
     assert counted.columns == ["core"] and {r.core for r in made} < {r.core for r in counted.collect()}
+    with pytest.raises(ValueError):
+        suffix_dedup.samples(docs, 54, 30, words=True)
 
 
 def test_repeated_offsets_against_brute_force():
