@@ -1,8 +1,8 @@
 """Match models over byte streams: earlier occurrences of k-grams, recent candidates, and rides.
 
-A stream is one row's text; positions count its bytes, so streams spread over tasks. Lookups by
-k-gram are windows over (stream, k-gram). A ride depends on the ride before it, so rides are an
-Arrow scan, whose memory is bounded by one stream.
+A stream is one row's text; positions count its bytes, so streams spread over tasks. Candidates are
+windows over (stream, k-gram). Distances back and rides are Arrow scans, whose memory is bounded by one
+stream and a batch: k-grams of a stream are numbered and sorted within it, so none is shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
+
+from ..plans.placement import spread
 
 #: Candidates that are looked at, bytes compared backwards, first confidence at most.
 CANDIDATES, BACK, FRESH = 8, 64, 8
@@ -24,8 +27,66 @@ def gram_positions(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return df.filter(F.octet_length(text) >= k).select(key, F.explode(bound).alias("x")).select(key, "x.p", "x.gram")
 
 
+def gram_numbers(data: bytes, k: int):
+    """A number for each k-gram of ``data`` in order; equal numbers are equal k-grams, whatever k is."""
+    import numpy as np
+
+    raw, width = np.frombuffer(data, np.uint8), min(k, 8)
+    n = len(raw) - width + 1
+    if len(raw) < k:
+        return np.zeros(0, np.uint64)
+    numbers = np.bitwise_or.reduce([raw[i : i + n].astype(np.uint64) << np.uint64(8 * (width - 1 - i)) for i in range(width)])
+    while width < k:  # two k-grams that overlap or touch make a longer one
+        step = min(width, k - width)
+        known, rank = np.unique(numbers, return_inverse=True)
+        numbers = rank[:-step].astype(np.uint64) * np.uint64(len(known)) + rank[step:].astype(np.uint64)
+        width += step
+    return numbers
+
+
+def distances(data: bytes, k: int) -> tuple[int, int, int]:
+    """Positions of a stream, those whose k-gram occurred before, and the sum of distances back."""
+    import numpy as np
+
+    numbers = gram_numbers(data, k)
+    if not len(numbers):
+        return 0, 0, 0
+    order = np.argsort(numbers, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(numbers[order]) != 0]))
+    last = np.append(first[1:], len(order)) - 1
+    # distances between the neighbours of a k-gram add up to that of its last position to its first
+    return len(order), len(order) - len(first), int((order[last] - order[first]).sum())
+
+
 def previous(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """Of each stream: positions, those whose k-gram occurred before, and the sum of distances back."""
+    """Of each stream: positions, those whose k-gram occurred before, and the sum of distances back. Rows of
+    one key are one stream with their positions together; keys of one row need no shuffle of positions."""
+    again = df.groupBy(F.col(key).alias("again")).agg(F.count("*").alias("rows")).filter("rows > 1").select("again")
+    if again.isEmpty():
+        return _scanned(df, key, text, k)
+    same = F.col(key).eqNullSafe(F.col("again"))
+    return _scanned(df.join(again, same, "left_anti"), key, text, k).unionByName(_together(df.join(again, same, "left_semi"), key, text, k))
+
+
+def _scanned(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    names = ["n_positions", "n_found", "total_distance"]
+    schema = StructType([df.schema[key]])
+    for name in names:
+        schema = schema.add(name, LongType())
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [(i, *distances((t.as_py() or "").encode(), k)) for i, t in enumerate(batch.column(1))]
+            made = [x for x in made if x[1]]
+            index, *columns = zip(*made, strict=True) if made else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *[pa.array(c, pa.int64()) for c in columns]], names=[key, *names])
+
+    return spread(df.select(key, F.col(text).cast("string"))).mapInArrow(run, schema)
+
+
+def _together(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     w = Window.partitionBy(key, "gram").orderBy("p")
     rows = gram_positions(df, key, text, k).withColumn("d", (F.col("p") - F.lag("p").over(w)).cast("bigint"))
     return rows.groupBy(key).agg(F.count("*").alias("n_positions"), F.count("d").alias("n_found"), F.coalesce(F.sum("d"), F.lit(0)).cast("bigint").alias("total_distance"))

@@ -102,3 +102,28 @@ def test_streams_of_rows(spark):
     assert {r.id for r in matches.rides(rows, "id", "text", 6).collect()} == {1}
     made = {r.id: r for r in mixing.mixed_lengths(rows, "id", "text").collect()}
     assert len(made) == 3 and all(r.ok for r in made.values())
+
+
+@pytest.mark.parametrize("k", [1, 6, 8, 16, 40])
+def test_distances_back_need_no_shuffle_of_positions(spark, k):
+    texts = ["", "a", "abcabcabcabcX" * 9, "el niño come pan, " * 7 + "el niño come uvas", "ab" * 50]
+    rows = spark.createDataFrame([*enumerate(texts), (5, None)], "id long, text string")
+    made = matches.previous(rows, "id", "text", k)
+    plan = made._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    assert sorted(map(tuple, made.collect())) == sorted((i, *wanted) for i, t in enumerate(texts) if (wanted := plain_distances([t], k))[0])
+
+
+def test_distances_back_of_rows_with_one_key(spark):
+    data = [(1, "abcdefgh abcdefgh"), (1, "xabcdefgh"), (None, "aaaaaaaaa"), (None, "baaaaaaa"), (2, "abcabcabcabc"), (3, None)]
+    made = matches.previous(spark.createDataFrame(data, "id long, text string"), "id", "text", 6).collect()
+    assert {tuple(r) for r in made} == {(i, *plain_distances([t for j, t in data if j == i], 6)) for i in (1, None, 2)}
+
+
+def plain_distances(texts: list[str], k: int) -> tuple[int, int, int]:
+    at: dict[bytes, list[int]] = {}
+    for raw in (t.encode() for t in texts):
+        for p in range(k, len(raw) + 1):
+            at.setdefault(raw[p - k : p], []).append(p)
+    far = [b - a for p in map(sorted, at.values()) for a, b in zip(p, p[1:], strict=False)]
+    return sum(map(len, at.values())), len(far), sum(far)
