@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from stratalens import catalogue_models
-from stratalens.operators import matches
+from stratalens.operators import context, matches
 from stratalens.sources import fields, mixing
 
 DATA = "/root/testdata/sf0.001"
@@ -127,3 +127,30 @@ def plain_distances(texts: list[str], k: int) -> tuple[int, int, int]:
             at.setdefault(raw[p - k : p], []).append(p)
     far = [b - a for p in map(sorted, at.values()) for a, b in zip(p, p[1:], strict=False)]
     return sum(map(len, at.values())), len(far), sum(far)
+
+
+@pytest.mark.parametrize("k", [1, 2, 6, 9, 16])
+def test_repeats_of_pieces(spark, monkeypatch, k):
+    texts = ["", "a", "abcabcabcabcX" * 9, "el niño come pan, " * 7 + "el niño come uvas", "ab" * 300, "€" * 40, "".join(chr(32 + i * i * 7919 % 95) for i in range(2000))]
+    grams = [t.encode()[i : i + k] for t in texts for i in range(len(t.encode()) - k + 1)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    assert tuple(context.repeat_coverage(rows, "text", "text", k).first()) == (len(grams), len(grams) - len(set(grams)))
+    # few buckets, those dealt again and hashes that are equal change nothing
+    monkeypatch.setattr(context, "SORTED", 97)
+    monkeypatch.setattr(context, "BUCKETS", 3)
+    for mixed in (context._mixed, lambda high, low: low & 15):
+        monkeypatch.setattr(context, "_mixed", mixed)
+        n, made = context._packed([t.encode() for t in texts], k)
+        assert n == len(grams)
+        held: dict[int, list] = {}
+        for bucket, size, packed in made + made:
+            held.setdefault(bucket, []).append((size, packed))
+        assert sum(context._different(x, k, max(1, min(context.DEALT_BY, k - 2))) for x in held.values()) == len(set(grams))
+
+
+def test_repeats_take_no_row_of_each_gram(spark):
+    text = "".join(chr(32 + (i * i * 7919 >> 3) % 95) for i in range(40000))
+    n, made = context._packed([text.encode()], 16)
+    assert sum(len(x) for _, _, x in made) < 4 * n
+    plan = context.repeat_coverage(spark.createDataFrame([(text,)], "text string"), "text", "text", 16)._jdf.queryExecution().toString()
+    assert "high" not in plan
