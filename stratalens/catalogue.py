@@ -165,9 +165,8 @@ def cross_column_offset(spark, sf_dir):
 
 @_query("cross_column_fold")
 def cross_column_fold(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").select("l_returnflag", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("o"), "l_partkey", "l_suppkey", "l_linenumber")
-    state = numeric.cross_column(rows, "o", ["l_partkey", "l_suppkey", "l_linenumber"], 2)
-    return rows.groupBy("l_returnflag").agg(state.alias("s")).select("l_returnflag", F.col("s.src").alias("source"), F.col("s.off").alias("offset_value"), F.col("s.hits").alias("hits"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return numeric.cross_column(_t(spark, sf_dir, "lineitem"), "l_returnflag", order, ["l_partkey", "l_suppkey", "l_linenumber"], 2)
 
 
 @_query("hypothesis_choice", "SELECT h, x, seen, CASE WHEN x >= 2 AND (NOT seen OR x > h) THEN 'cross' WHEN seen THEN 'extrapolate' ELSE 'none' END AS chosen FROM (SELECT range AS h FROM range(0, 6)), (SELECT range AS x FROM range(0, 6)), (SELECT unnest([true, false]) AS seen)")

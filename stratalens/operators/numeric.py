@@ -1,6 +1,6 @@
 """Numeric models over an explicit row order: extrapolation, confidence, cross-column copies.
 
-Rows need a unique order key within a field; a repeated one is an error. The hit counter has 256 states,
+Rows need a unique order key within a field; in extrapolation a repeated one is an error. The hit counter has 256 states,
 so a stretch of a field's history acts as a map of 256 bytes, whatever came before it. Histories are cut
 into stretches by ranges of the order, each stretch becomes such a map in constant memory, and the maps of
 a field are composed: a field that holds most rows is many tasks.
@@ -133,27 +133,123 @@ def digit_prefix(df: DataFrame, field: str, order: str, value: str) -> DataFrame
     return p.select(field, order, F.col(value).alias("value"), "pred", right.cast("bigint").alias("digits_right"))
 
 
-def cross_column(df: DataFrame, order: str, columns: list[str], column: int) -> Column:
-    """Folded state (source, offset, hits) of one column of a row from the columns to its left."""
-    row = F.struct(F.col(order).alias("o"), *[F.col(c).cast("bigint").alias(f"v{i}") for i, c in enumerate(columns[: column + 1])])
-    rows = F.filter(F.array_sort(F.collect_list(row)), lambda r: r[f"v{column}"].isNotNull())
-    start = F.struct(F.lit(-1).cast("bigint").alias("src"), F.lit(0).cast("bigint").alias("off"), F.lit(0).cast("bigint").alias("hits"))
-
-    def step(s: Column, r: Column) -> Column:
-        v = r[f"v{column}"]
-        of = lambda i: r[f"v{i}"]
-        source = F.lit(None).cast("bigint")
-        for i in range(column):
-            source = F.when(s["src"] == i, of(i)).otherwise(source)
-        state = lambda a, b, c: F.struct(a.cast("bigint").alias("src"), b.cast("bigint").alias("off"), c.cast("bigint").alias("hits"))
-        out = state(s["src"], s["off"], F.floor(s["hits"] / 2))
-        if column:
-            out = F.when(of(column - 1).isNotNull(), state(F.lit(column - 1), v - of(column - 1), F.lit(1))).otherwise(out)
-        for i in range(column - 1, -1, -1):
-            out = F.when(of(i) == v, state(F.lit(i), F.lit(0), F.lit(1))).otherwise(out)
-        return F.when((s["hits"] >= 1) & (source + s["off"] == v), state(s["src"], s["off"], F.least(s["hits"] + 1, F.lit(CAP)))).otherwise(out)
-
-    return F.aggregate(rows, start, step)
+class CrossStretch:
+    """A stretch of a column's history as a map of the state (source, offset, hits) before it.
+
+    A row sets the state where the state before does not fit it, unless all columns to the left are null or
+    unequal there: such a row halves the hits. Of the states before a stretch only those whose source and offset
+    fit one of its first eight rows, or one up to the first that sets a state, can gain a hit before their hits
+    are gone: these are followed for each count of hits, all others at once. States that become equal are followed
+    as one; hits meet at the cap, at halvings and at rows that set a state.
+    """
+
+    HEAD = 8  # halvings after which no hits are left
+
+    def __init__(self, column: int):
+        self.column, self.n, self.head, self.waiting, self.live = column, 0, [], True, None
+
+    def sets(self, row: tuple) -> tuple[int, int, int] | None:
+        """The state behind a row that the state before does not fit; None where half its hits stay."""
+        for i in range(self.column):
+            if row[i] == row[-1]:
+                return i, 0, 1
+        if not self.column or row[self.column - 1] is None:
+            return None
+        return self.column - 1, row[-1] - row[self.column - 1], 1
+
+    def step(self, state: tuple[int, int, int], row: tuple) -> tuple[int, int, int]:
+        src, off, hits = state
+        if hits and src >= 0 and row[src] is not None and row[src] + off == row[-1]:
+            return src, off, hits + 1 if hits < CAP else CAP
+        return self.sets(row) or (src, off, hits >> 1)
+
+    def add(self, row: tuple) -> None:
+        """Takes a row: the columns to the left, then the column's own value, which is not null."""
+        self.n += 1
+        if self.live is not None:
+            self._move(row)
+            return
+        self.head.append(row)
+        if len(self.head) == self.HEAD or self.sets(row):
+            self._start()
+
+    def _start(self) -> None:
+        pairs = dict.fromkeys((i, row[-1] - row[i]) for row in self.head for i in range(self.column) if row[i] is not None)
+        self.live = {(*p, hits): [(*p, hits)] for p in pairs for hits in range(CAP + 1)}
+        for row in self.head:
+            self._move(row)
+
+    def _move(self, row: tuple) -> None:
+        if len(self.live) == 1 and not self.waiting:
+            ((state, own),) = self.live.items()
+            self.live = {self.step(state, row): own}
+            return
+        moved: dict[tuple, list] = {}
+        for state, own in self.live.items():
+            to = self.step(state, row)
+            moved[to] = moved[to] + own if to in moved else own
+        if self.waiting and (to := self.sets(row)):  # all states that fit none of the rows until here
+            self.waiting = False
+            moved[to] = [*moved.get(to, []), None]
+        self.live = moved
+
+    def ends(self) -> tuple[int, dict]:
+        """Rows, and the state behind the stretch by the one before it; None stands for all others, and where it
+        is absent, a row halves their hits."""
+        if self.live is None:
+            self._start()
+        return self.n, {before: state for state, own in self.live.items() for before in own}
+
+
+def follow_cross(state: tuple[int, int, int], n: int, ends: dict) -> tuple[int, int, int]:
+    """The state behind a stretch from the one before it."""
+    return ends.get(state) or ends.get(None) or (*state[:2], state[2] >> min(n, CrossStretch.HEAD))
+
+
+def cross_column(df: DataFrame, field: str, order: list[str], columns: list[str], column: int) -> DataFrame:
+    """(field, source, offset_value, hits): of each field, the folded state of one column of a row from the columns
+    to its left. Histories are cut into stretches like those of ``extrapolation``; equal order keys are in order
+    of their values."""
+    kind = df.schema[field].dataType
+    whole = {c: df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for c in columns}
+    values = {c if whole[c] else f"_v{i}": F.col(c).cast("long") for i, c in enumerate(columns[: column + 1])}
+    rows = df.select(field, *dict.fromkeys([*order, *(c for c in columns[: column + 1] if whole[c])]), *(v.alias(name) for name, v in values.items() if name not in columns))
+    dealt = rows.repartitionByRange(field, *order).sortWithinPartitions(field, *order, *values)
+    dealt = dealt.select(F.col(field).cast("string"), *(F.col(name).cast("long") for name in values))
+
+    def run(batches: Iterator) -> Iterator:
+        import pickle
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, done, own, stretch = TaskContext.get().partitionId(), [], None, None
+        for batch in batches:
+            for name, *row in zip(*(batch.column(i).to_pylist() for i in range(column + 2)), strict=True):
+                if stretch is None or name != own:
+                    if stretch is not None:
+                        done.append((own, part, pickle.dumps(stretch.ends())))
+                    own, stretch = name, CrossStretch(column)
+                if row[-1] is not None:
+                    stretch.add(row)
+        if stretch is not None:
+            done.append((own, part, pickle.dumps(stretch.ends())))
+        columns = list(zip(*done, strict=True)) if done else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int32(), pa.binary()], strict=True)], names=["field", "part", "ends"])
+
+    def settle(key, stretches):
+        import pickle
+
+        import pandas as pd
+
+        state = (-1, 0, 0)
+        for packed in stretches.sort_values("part")["ends"]:
+            n, ends = pickle.loads(packed)
+            state = follow_cross(state, n, ends)
+        return pd.DataFrame({"field": [key[0]], "source": [state[0]], "offset_value": [state[1]], "hits": [state[2]]})
+
+    out = dealt.mapInArrow(run, "field string, part int, ends binary").groupBy("field").applyInPandas(settle, "field string, source long, offset_value long, hits long")
+    return out.select(F.col("field").cast(kind).alias(field), "source", "offset_value", "hits")
 
 
 def choice(hits: Column, cross_hits: Column, seen: Column) -> Column:

@@ -1,10 +1,11 @@
 import os
+import random
 
 import duckdb
 import pytest
 
 from stratalens import catalogue_models
-from stratalens.operators import context, matches
+from stratalens.operators import context, matches, numeric
 from stratalens.sources import fields, mixing
 
 DATA = "/root/testdata/sf0.001"
@@ -154,3 +155,53 @@ def test_repeats_take_no_row_of_each_gram(spark):
     assert sum(len(x) for _, _, x in made) < 4 * n
     plan = context.repeat_coverage(spark.createDataFrame([(text,)], "text string"), "text", "text", 16)._jdf.queryExecution().toString()
     assert "high" not in plan
+
+
+def plain_cross(rows: list[tuple], column: int) -> tuple[int, int, int]:
+    """One state from the first row to the last."""
+    src, off, hits = -1, 0, 0
+    for *left, v in rows:
+        if v is None:
+            continue
+        equal = [i for i in range(column) if left[i] == v]
+        if hits >= 1 and src >= 0 and left[src] is not None and left[src] + off == v:
+            hits = min(hits + 1, 255)
+        elif equal:
+            src, off, hits = equal[0], 0, 1
+        elif column and left[column - 1] is not None:
+            src, off, hits = column - 1, v - left[column - 1], 1
+        else:
+            hits //= 2
+    return src, off, hits
+
+
+def cross_rows(draw: random.Random, n: int, kind: int) -> list[tuple]:
+    if kind == 0:  # a constant offset, now and then broken, and rows without the column to the left
+        return [(i, None if draw.random() < 0.3 else i + 3, i + (5 if draw.random() < 0.95 else 6)) for i in range(n)]
+    if kind == 1:  # few values, many nulls
+        return [tuple(draw.choice([None, None, 1, 2, 3]) for _ in range(3)) for _ in range(n)]
+    return [(i, draw.choice([None] * 9 + [i + 1]), i + 7) for i in range(n)] if kind == 2 else [(i, None, i * i) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", range(4))
+def test_stretches_of_cross_columns_compose(kind):
+    draw = random.Random(kind)
+    for _ in range(60):
+        rows = cross_rows(draw, draw.choice([1, 3, 9, 40, 600]), kind)
+        at, state = 0, (-1, 0, 0)
+        while at < len(rows):
+            stretch, n = numeric.CrossStretch(2), draw.choice([1, 2, 5, 30, 400])
+            for row in rows[at : at + n]:
+                if row[-1] is not None:
+                    stretch.add(row)
+            at += n
+            state = numeric.follow_cross(state, *stretch.ends())
+        assert state == plain_cross(rows, 2)
+
+
+def test_cross_column_is_no_array_of_a_field(spark):
+    draw = random.Random(7)
+    rows = [(f, i, *r) for f in ("a", None) for i, r in enumerate(cross_rows(draw, 700, 0) + cross_rows(draw, 300, 1))] + [("c", 0, 1, 1, None)]
+    made = numeric.cross_column(spark.createDataFrame(rows, "f string, o long, a long, b int, c long").repartition(7), "f", ["o"], ["a", "b", "c"], 2)
+    assert "collect_list" not in made._jdf.queryExecution().toString()
+    assert {tuple(r) for r in made.collect()} == {(f, *plain_cross([r[2:] for r in rows if r[0] == f], 2)) for f in ("a", None, "c")}
