@@ -121,8 +121,8 @@ def xml_tag_states(spark, sf_dir):
     return rows.groupBy("kind", F.col("field").alias("tag"), "depth").agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("n_bytes"))
 
 
-#: Lines of a rendered stream, about.
-_STREAM = 8192
+#: Lines of a rendered stream, about, and tasks a core that streams are dealt to.
+_STREAM, _TASKS = 8192, 16
 
 
 def _rendered(spark, sf_dir):
@@ -133,14 +133,14 @@ def _rendered(spark, sf_dir):
     sql = F.concat(F.lit("INSERT INTO orders VALUES ("), _text("o_orderkey"), F.lit(", "), _text("o_custkey"), F.lit(", '"), F.col("o_orderstatus"), F.lit("', '"), day, F.lit("');"))
     ndjson = F.concat(F.lit('{"id":'), _text("event_id"), F.lit(',"ts":'), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").cast("string"), F.lit(',"user":'), _text("user_id"), F.lit(',"type":"'), F.col("event_type"), F.lit('"}'))
     xml = F.concat(F.lit('<event id="'), _text("event_id"), F.lit('"><user>'), _text("user_id"), F.lit("</user><type>"), F.col("event_type"), F.lit("</type></event>"))
-    out = None
+    lines = None
     for kind, rows, key, line in (("csv", o, "o_orderkey", csv), ("sql", o, "o_orderkey", sql), ("json", e, "event_id", ndjson), ("xml", e, "event_id", xml)):
-        lines = rows.select(F.floor(F.col(key) / _STREAM).cast("bigint").alias("part"), F.col(key).alias("o"), line.alias("line"))
-        # a stream has as many lines as its range of keys
-        made = lines.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n").alias("t"))
-        made = made.select(F.lit(kind).alias("kind"), "part", F.encode("t", "utf-8").alias("data"), sniff(F.col("t")).alias("mode"))
-        out = made if out is None else out.unionByName(made)
-    return out.withColumn("id", F.xxhash64("kind", "part"))
+        own = rows.select(F.lit(kind).alias("kind"), F.floor(F.col(key) / _STREAM).cast("bigint").alias("part"), F.col(key).cast("bigint").alias("o"), line.alias("line"))
+        lines = own if lines is None else lines.unionByName(own)
+    # a stream has as many lines as its range of keys; many small tasks, since their texts take long to pack
+    dealt = lines.repartition(_TASKS * spark.sparkContext.defaultParallelism, "kind", "part")
+    made = dealt.groupBy("kind", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n").alias("t"))
+    return made.select("kind", "part", F.encode("t", "utf-8").alias("data"), sniff(F.col("t")).alias("mode"), F.xxhash64("kind", "part").alias("id"))
 
 
 _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
@@ -156,14 +156,13 @@ _STREAMS = " UNION ALL ".join(f"SELECT '{k}' AS kind, {o} // {_STREAM} AS part,
 @_query("structured_roundtrip", f"SELECT kind, CAST(part AS BIGINT) AS part, CAST(n AS BIGINT) AS n_bytes, kind AS mode, true AS ok, true AS no_larger FROM ({_STREAMS})")
 def structured_roundtrip(spark, sf_dir):
     """Every stream comes back, and is at most a byte a block larger than LZMA at its strongest makes it, in the same run."""
-    rows = _rendered(spark, sf_dir)
-    made = blocks.compress_blocks(rows, "id", "data")
-    size = lambda b, name: b.groupBy("stream_id").agg(F.sum(F.octet_length("payload")).alias(name), F.count("*").alias(f"{name}_blocks"))
-    back = blocks.streams_of(blocks.decompress_blocks(made))
-    own = rows.select(F.col("id").alias("stream_id"), "kind", "part", "mode", F.sha2("data", 256).alias("own"))
-    plain = size(blocks.compress_blocks(rows, "id", "data", back_end="lzma"), "plain")
-    out = own.join(back, "stream_id").join(size(made, "packed"), "stream_id").join(plain, "stream_id")
-    return out.select("kind", "part", "n_bytes", "mode", (F.col("ok") & (F.col("sha256") == F.col("own"))).alias("ok"), (F.col("packed") <= F.col("plain") + F.col("plain_blocks")).alias("no_larger"))
+    rows = _rendered(spark, sf_dir).withColumn("own", F.sha2("data", 256))
+    made = blocks.compress_blocks(rows, "id", "data", carry=["kind", "part", "own"], plain=True).withColumn("packed", F.octet_length("payload"))
+    kept = ["kind", "part", "mode", "own"]
+    back = blocks.decompress_blocks(made, [*kept, "packed", "plain"])
+    sums = [F.sum("packed").alias("packed"), F.sum("plain").alias("plain"), F.count("*").alias("n_blocks")]
+    out = blocks.streams_of(back, *(F.first(c).alias(c) for c in kept), *sums)
+    return out.select("kind", "part", "n_bytes", "mode", (F.col("ok") & (F.col("sha256") == F.col("own"))).alias("ok"), (F.col("packed") <= F.col("plain") + F.col("n_blocks")).alias("no_larger"))
 
 
 @_query("compression_ratio", f"SELECT kind, CAST(sum(n) AS BIGINT) AS orig_bytes, count(*) AS n_streams, true AS beats_lzma FROM ({_STREAMS}) GROUP BY kind")

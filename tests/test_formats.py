@@ -238,3 +238,27 @@ def test_gram_counts(spark, monkeypatch, k):
     word = lambda x, n: int(np.int64(x).view(np.uint64)).to_bytes(8, "big")[8 - n :] if n else b""
     got = {word(r.high, max(0, k - 8)) + word(r.low, min(k, 8)): r.c for r in context.gram_counts(df, "t", k).collect()}
     assert got == want
+
+
+def test_streams_are_packed_once(spark, monkeypatch):
+    """LZMA over whole blocks is most of the work: both queries run it once a block, in one pass without a join."""
+    for name in ("structured_roundtrip",):
+        plan = catalogue_formats.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 0 and plan.count("MapInArrow") == (2 if name == "structured_roundtrip" else 1)
+    block = b"\n".join(b"%d,%d,x" % (i, i * 7) for i in range(500))
+    runs = []
+    monkeypatch.setattr(structure, "pack", lambda data, real=structure.pack: runs.append(data) or real(data))
+    payload, plain = structure.encode_sized(block, "csv")
+    assert runs.count(block) == 1 and plain == len(structure.pack(block))
+    assert payload == structure.encode(block, "csv") and structure.decode(payload, len(block)) == block
+    assert blocks.sized("lzma", block, "csv") == (structure.pack(block), plain) and blocks.sized("structure", block, "csv") == (payload, plain)
+
+
+def test_carried_columns_stay_with_blocks(spark):
+    lines = [b"\n".join(b"%d,%d" % (i, i * k) for i in range(900)) for k in (1, 2)]
+    rows = spark.createDataFrame([(i, bytearray(x), "csv", f"own {i}") for i, x in enumerate(lines)], "id long, data binary, mode string, note string")
+    made = blocks.compress_blocks(rows, "id", "data", block_bytes=2048, carry=["note"], plain=True)
+    assert made.count() > 4 and made.filter("plain is null or note <> concat('own ', stream_id)").isEmpty()
+    back = blocks.decompress_blocks(made, ["note", "plain"])
+    out = blocks.streams_of(back, F.first("note").alias("note"), F.sum("plain").alias("plain")).collect()
+    assert {(r.stream_id, r.note, r.ok, r.n_bytes) for r in out} == {(i, f"own {i}", True, len(x)) for i, x in enumerate(lines)}
