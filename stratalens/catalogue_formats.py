@@ -173,12 +173,7 @@ def compression_ratio(spark, sf_dir):
 
 def ratios(spark, sf_dir):
     """(kind, orig_bytes, n_streams, ratio, lzma_ratio): sizes vary by library version, so they are no query."""
-    rows = _rendered(spark, sf_dir)
-    kinds = rows.select(F.col("id").alias("stream_id"), "kind")
-
-    def total(back_end: str, name: str):
-        made = blocks.compress_blocks(rows, "id", "data", back_end=back_end).select("stream_id", "orig_len", F.octet_length("payload").alias("size"))
-        return kinds.join(made, "stream_id").groupBy("kind").agg(F.sum("orig_len").alias("orig_bytes"), F.countDistinct("stream_id").alias("n_streams"), F.sum("size").alias(name))
-
-    both = total("structure", "packed").join(total("lzma", "plain").select("kind", "plain"), "kind")
+    made = blocks.compress_blocks(_rendered(spark, sf_dir), "id", "data", carry=["kind"], plain=True)
+    streams = made.select("kind", "stream_id", "orig_len", F.octet_length("payload").alias("packed"), "plain").groupBy("kind", "stream_id").agg(*(F.sum(c).alias(c) for c in ("orig_len", "packed", "plain")))
+    both = streams.groupBy("kind").agg(F.sum("orig_len").alias("orig_bytes"), F.count("*").alias("n_streams"), F.sum("packed").alias("packed"), F.sum("plain").alias("plain"))
     return both.select("kind", "orig_bytes", "n_streams", F.round(F.col("orig_bytes") / F.col("packed"), 4).alias("ratio"), F.round(F.col("orig_bytes") / F.col("plain"), 4).alias("lzma_ratio"))

@@ -242,7 +242,7 @@ def test_gram_counts(spark, monkeypatch, k):
 
 def test_streams_are_packed_once(spark, monkeypatch):
     """LZMA over whole blocks is most of the work: both queries run it once a block, in one pass without a join."""
-    for name in ("structured_roundtrip",):
+    for name in ("structured_roundtrip", "compression_ratio"):
         plan = catalogue_formats.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join") == 0 and plan.count("MapInArrow") == (2 if name == "structured_roundtrip" else 1)
     block = b"\n".join(b"%d,%d,x" % (i, i * 7) for i in range(500))
