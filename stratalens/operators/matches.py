@@ -7,6 +7,8 @@ stream and a batch: k-grams of a stream are numbered and sorted within it, so no
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -18,6 +20,8 @@ from ..plans.placement import spread
 
 #: Candidates that are looked at, bytes compared backwards, first confidence at most.
 CANDIDATES, BACK, FRESH = 8, 64, 8
+#: Rides that a task holds before it hands them on.
+HELD = 1 << 16
 
 
 def gram_positions(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -131,26 +135,73 @@ def agreement(data: bytearray, a: int, b: int, most: int = BACK) -> int:
 
 
 def rides_of(data: bytes, k: int) -> list[tuple[int, int, int, int]]:
-    """(start, source, bytes that agreed backwards, bytes ridden) of every ride of a stream."""
-    ride, known, found = Ride(k), bytearray(), []
-    for byte in data:
-        if ride.source is not None and known[ride.source] == byte:
-            found[-1][3] += 1
-        known.append(byte)
-        if ride.push(known):
-            found.append([len(known), ride.source, ride.back, 0])
-    return [tuple(x) for x in found]
+    """(start, source, bytes that agreed backwards, bytes ridden) of every ride of a stream. Only where a k-gram
+    occurred before can a ride start, and nothing is looked up on a ride, so that bytes between are passed over."""
+    import numpy as np
+
+    numbers, found, at = gram_numbers(data, k), [], 0
+    if len(numbers) < 2:
+        return found
+    order = np.argsort(numbers, kind="stable")  # positions of a k-gram lie together, in order
+    edge = np.append(True, np.diff(numbers[order]) != 0)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    begin = np.maximum.accumulate(np.where(edge, np.arange(len(order)), 0))[rank]
+    again = np.flatnonzero(begin < rank)
+    starts, froms, tos = (array("q", x.astype(np.int64).tobytes()) for x in (again + k, np.maximum(begin, rank - CANDIDATES)[again], rank[again]))
+    ends = order + k
+    del numbers, edge, rank, begin, again
+    while at < len(starts):
+        n = starts[at]
+        back, source = max((_back(data, c, n), c) for c in ends[froms[at] : tos[at]].tolist())
+        ridden = _ahead(data, source, n)
+        found.append((n, source, back, ridden))
+        at = bisect_left(starts, n + ridden + 1, at + 1)  # the byte behind a ride is known before the next starts
+    return found
+
+
+def _back(data: bytes, a: int, b: int) -> int:
+    """``agreement`` of two positions, by the lowest byte that differs."""
+    most = min(a, BACK)
+    x = int.from_bytes(data[a - most : a]) ^ int.from_bytes(data[b - most : b])
+    return ((x & -x).bit_length() - 1) // 8 if x else most
+
+
+def _ahead(data: bytes, a: int, b: int) -> int:
+    """How many bytes from position a on equal those from position b on; a lies before b."""
+    n, step = 0, 16
+    while (own := data[b + n : b + n + step]) and data[a + n : a + n + len(own)] == own:
+        n, step = n + len(own), min(2 * step, 1 << 16)
+    if own:
+        x = int.from_bytes(data[a + n : a + n + len(own)], "little") ^ int.from_bytes(own, "little")
+        n += ((x & -x).bit_length() - 1) // 8
+    return n
 
 
 def rides(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(key, start, source, back, ridden) of all rides of all streams; null text has none."""
 
-    def run(batches: Iterator) -> Iterator:
+    def made(held: list):
+        import numpy as np
         import pyarrow as pa
 
-        names = ["stream_id", "start", "source", "back", "ridden"]
-        for batch in batches:
-            rows = [(i, *r) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in rides_of((t or "").encode(), k)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=names)
+        own, rows = np.repeat(np.arange(len(held)), [len(r) for _, r in held]), np.concatenate([r for _, r in held])
+        columns = [pa.array([i for i, _ in held], pa.int64()).take(pa.array(own)), *(pa.array(np.ascontiguousarray(rows[:, j])) for j in range(4))]
+        return pa.RecordBatch.from_arrays(columns, names=["stream_id", "start", "source", "back", "ridden"])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
 
-    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "stream_id long, start long, source long, back long, ridden long").withColumnRenamed("stream_id", key)
+        held, size = [], 0
+        for batch in batches:
+            for i, t in zip(batch.column(0), batch.column(1), strict=True):
+                if found := rides_of((t.as_py() or "").encode(), k):
+                    held.append((i.as_py(), np.array(found, np.int64)))
+                    size += len(found)
+                if size >= HELD:
+                    yield made(held)
+                    held, size = [], 0
+        if held:
+            yield made(held)
+
+    return spread(df.select(F.col(key).cast("long"), F.col(text).cast("string"))).mapInArrow(run, "stream_id long, start long, source long, back long, ridden long").withColumnRenamed("stream_id", key)

@@ -205,3 +205,32 @@ def test_cross_column_is_no_array_of_a_field(spark):
     made = numeric.cross_column(spark.createDataFrame(rows, "f string, o long, a long, b int, c long").repartition(7), "f", ["o"], ["a", "b", "c"], 2)
     assert "collect_list" not in made._jdf.queryExecution().toString()
     assert {tuple(r) for r in made.collect()} == {(f, *plain_cross([r[2:] for r in rows if r[0] == f], 2)) for f in ("a", None, "c")}
+
+
+def test_rides_of_a_batch_are_handed_on(spark, monkeypatch):
+    """Rides of one batch of texts are many rows, so a task holds a bounded number of them."""
+    text = "ab cd ef gh ab cd xx ef gh ab " * 3
+    texts = [(i if i % 5 else None, f"{text}{i}") for i in range(300)]
+
+    sizes = []
+    monkeypatch.setattr(matches, "HELD", 50)
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*texts, strict=True)], names=["id", "text"])
+            self.made = list(run(iter([batch])))
+            sizes.extend(x.num_rows for x in self.made)
+            return self
+
+        def withColumnRenamed(self, a, b):
+            return [tuple(r.values()) for x in self.made for r in x.to_pylist()]
+
+    monkeypatch.setattr(matches, "spread", lambda df: df, raising=False)
+    most = max(len(plain_rides(t.encode(), 4)) for _, t in texts)
+    assert matches.rides(Frame(), "id", "text", 4) == [(i, *r) for i, t in texts for r in plain_rides(t.encode(), 4)]
+    assert len(sizes) > 1 and max(sizes) <= 50 + most
