@@ -234,3 +234,19 @@ def test_rides_of_a_batch_are_handed_on(spark, monkeypatch):
     most = max(len(plain_rides(t.encode(), 4)) for _, t in texts)
     assert matches.rides(Frame(), "id", "text", 4) == [(i, *r) for i, t in texts for r in plain_rides(t.encode(), 4)]
     assert len(sizes) > 1 and max(sizes) <= 50 + most
+
+
+def test_rides_of_drawn_streams():
+    draw = random.Random(3)
+    for _ in range(150):
+        words = ["".join(draw.choice("abc") for _ in range(draw.choice([1, 3, 30, 200]))) for _ in range(6)]
+        data = "".join(draw.choice(words) for _ in range(draw.choice([3, 12, 20]))).encode()[:1500]
+        for k in (1, 2, 6, 9, 16, 20):
+            assert matches.rides_of(data, k) == plain_rides(data, k)
+
+
+def test_rides_look_at_no_byte_alone(monkeypatch):
+    """Bytes between rides and on them are passed over: the byte-wise automaton of the mixer is not run."""
+    monkeypatch.setattr(matches, "Ride", None)
+    data = b"the quick brown fox, the quick brown cat, the quick brown fox" * 3
+    assert matches.rides_of(data, 6) == plain_rides(data, 6)
