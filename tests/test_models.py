@@ -250,3 +250,9 @@ def test_rides_look_at_no_byte_alone(monkeypatch):
     monkeypatch.setattr(matches, "Ride", None)
     data = b"the quick brown fox, the quick brown cat, the quick brown fox" * 3
     assert matches.rides_of(data, 6) == plain_rides(data, 6)
+
+
+@pytest.mark.parametrize("k", [6, 16])
+def test_previous_of_documents_sorts_within_streams(spark, k):
+    plan = catalogue_models.QUERIES[f"match_previous_{k}"](spark, DATA)._jdf.queryExecution().toString()
+    assert "Window" not in plan and "gram" not in plan and "MapInArrow" in plan
