@@ -111,14 +111,28 @@ def _mixed(high, low):
     return h ^ (h >> np.uint64(32))
 
 
-def _first_seen(high, low, inside):
-    """Positions of ``inside`` in order without those whose k-gram stands before; a rare one may stay."""
+def _sorted(high, low, inside):
+    """(positions of ``inside`` by a hash of their k-gram and in order, whether the hash differs from the one before,
+    and whether it is equal but the k-gram differs)."""
     import numpy as np
 
     bits = np.uint64(int(len(low)).bit_length())
     key = np.sort((_mixed(high, low)[inside] >> bits << bits) | inside.astype(np.uint64))
     i = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    return np.sort(i[np.concatenate([[True], (low[i[1:]] != low[i[:-1]]) | (high[i[1:]] != high[i[:-1]])])])
+    key >>= bits
+    new, mixed = np.append(True, key[1:] != key[:-1]), np.zeros(len(i), bool)
+    same = np.flatnonzero(~new)
+    x, y = i[same], i[same - 1]
+    mixed[same] = (low[x] != low[y]) | (high[x] != high[y])
+    return i, new, mixed
+
+
+def _first_seen(high, low, inside):
+    """Positions of ``inside`` in order without those whose k-gram stands before; a rare one may stay."""
+    import numpy as np
+
+    i, new, mixed = _sorted(high, low, inside)
+    return np.sort(i[new | mixed])
 
 
 def _packed(texts: list[bytes], k: int) -> tuple[int, list[tuple[int, int, bytes]]]:
@@ -185,12 +199,15 @@ def _different(held: list[tuple[int, bytes]], k: int, m: int) -> int:
                 parts.setdefault(part, []).append((size, packed))
         return sum(_different(part, k, m) for part in parts.values())
     high, low = (np.concatenate(x) for x in zip(*((h[i], w[i]) for data, i in _unpacked(held, k) for h, w in [_words(data, k)]), strict=True))
-    h = _mixed(high, low)
-    order = np.argsort(h)
-    differ = lambda o: (low[o[1:]] != low[o[:-1]]) | (high[o[1:]] != high[o[:-1]])
-    if ((h[order[1:]] == h[order[:-1]]) & differ(order)).any():  # two k-grams of one hash
-        order = np.lexsort((low, high))
-    return int(len(low) > 0) + int(differ(order).sum())
+    if not len(low):
+        return 0
+    i, new, mixed = _sorted(high, low, np.arange(len(low)))
+    if not mixed.any():
+        return int(new.sum())
+    group = np.cumsum(new)  # those of one hash with several k-grams are counted one by one
+    several = np.unique(group[mixed])
+    own = i[np.isin(group, several)]
+    return int(new.sum()) - len(several) + len(set(zip(high[own].tolist(), low[own].tolist(), strict=True)))
 
 
 def repeat_coverage(df: DataFrame, order: str, text: str, k: int) -> DataFrame:
